@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows in a slice, about.
-SLICE_ROWS = 4096
+#: Rows in a slice, about, until there are MAX_SLICES; beyond, slices grow instead, as a key's slices are summed in one task.
+SLICE_ROWS, MAX_SLICES = 512, 20_000
 
 
 def running_start(df: DataFrame, key: str, order: list[Column], amount: Column, name: str, n_rows: int, spread: Column) -> DataFrame:
@@ -19,7 +19,7 @@ def running_start(df: DataFrame, key: str, order: list[Column], amount: Column,
 
     spread is uniform in [0, 1) and must not depend on amount; equal keys are told apart by `order`.
     """
-    slices = max(1, n_rows // SLICE_ROWS)
+    slices = max(1, min(n_rows // SLICE_ROWS, MAX_SLICES))
     dealt = df.withColumn("_slice", F.floor(spread * slices).cast("int")).withColumn("_amount", amount.cast("long"))
     sums = dealt.groupBy(key, "_slice").agg(F.sum("_amount").alias("_sum"))
     before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixture, shards, url_rules
+from . import chat, decontaminate, mixture, ngram_join, shards, url_rules
 from ._tables import table
 
 
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark, sf_dir):
     return mixture.mix_report(table(spark, sf_dir, "documents"))
 
@@ -26,5 +30,5 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.leak_report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op5_chat_format, op7_sharding, op9_url_filter, op10_decontaminate)}
-ORACLES = {"op3_mixing": mixture.ORACLE, "op5_chat_format": chat.ORACLE, "op9_url_filter": url_rules.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_mixing, op5_chat_format, op7_sharding, op9_url_filter, op10_decontaminate)}
+ORACLES = {"op1_ngram_join": ngram_join.ORACLE, "op3_mixing": mixture.ORACLE, "op5_chat_format": chat.ORACLE, "op9_url_filter": url_rules.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
