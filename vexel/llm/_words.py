@@ -15,7 +15,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text that are hashed at once; the working arrays take about 40 times as much.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32

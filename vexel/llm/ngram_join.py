@@ -1,15 +1,15 @@
 """N-gram Jaccard join by a token-group matrix: exact links and components of documents by shingle sets.
 
 1. Sets. A document's set holds the hashes of its distinct word shingles; equal sets are one node.
-2. Groups. Nodes that agree in a MinHash band are compared, exactly, with the band's first node only. What links is one
+2. Groups. Nodes that agree in a MinHash band are compared, exactly, with one node of the band only. What links is one
    group, by connected components: near copies meet in one group however many they are, at one comparison each.
-3. Token-group matrix. Rare shingles first (the frequent ones are counted over all documents), then by hash, each node
+3. Token-group matrix. Rare shingles first (counted over all documents), then by hash, each node
    has a prefix that no link can miss: of n shingles the first n - ceil(t n) + 1. The matrix holds, for each shingle,
    the groups with it in a member's prefix, so a group's row is the union of its members' prefixes.
 4. Bound. The shared shingles of a query node's prefix and a group's union are counted. With the sizes of node and group
    they bound the overlap with any member from above; groups out of reach stay closed.
-5. Open. A group that qualifies is compared with the node exactly, first by the node that gives it its name; only nodes
-   not yet tied to the group are then compared with each member of fitting size.
+5. Open. A node is compared exactly with the groups that qualify, first with the member that names the group, then with
+   a few members, and, if it is still not tied to the group, with each member of fitting size.
 
 Only links between different groups are missing after 2, and any such pair shares a prefix shingle, so no link is lost.
 Set ids and shingles are 64-bit hashes. Comparisons use whole sets, shipped to hubs; a hub with many partners has copies.
@@ -17,6 +17,7 @@ Set ids and shingles are 64-bit hashes. Comparisons use whole sets, shipped to h
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -30,17 +31,21 @@ from ._words import chunks, mix
 
 SHINGLE, SIMILARITY = 5, 0.75
 BANDS, BAND_ROWS = 6, 2
-#: A shingle is frequent in at least one of FREQUENT_PART documents, and at least FREQUENT_LEAST; so there are at most
-#: FREQUENT_PART times the mean size of a set, which bounds what is broadcast.
-FREQUENT_PART, FREQUENT_LEAST = 2000, 32
-#: Shingles of documents that are counted together in a task; those seen once in such a block count as not seen.
-BLOCK_SHINGLES = 4 << 20
+#: A shingle is frequent if FREQUENT_LEAST documents hold it, by a first count, of those that a block of documents holds
+#: twice, and by a second, exact count over the prefixes that the first one leaves. Neither takes a shingle with less
+#: than one in FREQUENT_MOST of all it counts, so each finds FREQUENT_MOST at most: that bounds what is broadcast.
+FREQUENT_LEAST, FREQUENT_MOST = 8, 1 << 20
+#: Shingles that a task packs at once.
+BLOCK_SHINGLES = 1 << 20
+#: Members of a group, about, that are compared before all are.
+FEW_MEMBERS = 16
 #: Members of a hub that are compared in one place.
 HUB_ROWS = 256
 #: Bits of the filter that names the documents whose sets are shipped. Fuller, it lets more sets through, never fewer.
 FILTER_BITS = 1 << 24
 #: Postings in a bucket of the matrix.
 BUCKET_POSTINGS = 1 << 20
+LEAST_BUCKETS = 64
 #: Pairs that are expanded at once.
 PAIR_BLOCK = 1 << 21
 
@@ -80,16 +85,15 @@ def _least(n: int, t: Fraction) -> int:
 
 
 def _survey(size: int):
-    """A row for each document with its node and bands, and rows of shingles that are frequent in a block of documents."""
+    """A row for each document: its id, set size, node and bands. And rows of shingles seen twice in a block, with times."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("token", pa.int64()), ("seen", pa.int64())])
 
-    def frequent(parts):
+    def several(parts):
         tokens, seen = np.unique(np.concatenate(parts), return_counts=True)
-        keep = seen > 1
-        m = int(keep.sum())
-        for at in range(0, m, 100_000):
-            t, s = tokens[keep][at : at + 100_000].view(np.int64), seen[keep][at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.list_(pa.int64())), pa.array(t), pa.array(s, pa.int64())], schema=schema)
+        tokens, seen = tokens[seen > 1].view(np.int64), seen[seen > 1]
+        for at in range(0, len(tokens), 100_000):
+            t, n = tokens[at : at + 100_000], seen[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(t), f.type) for f in list(schema)[:4]), pa.array(t), pa.array(n, pa.int64())], schema=schema)
 
     def run(batches):
         parts, held, nodes = [], 0, set()
@@ -98,22 +102,84 @@ def _survey(size: int):
             for tokens in shingle_sets(batch.column(1), size):
                 n.append(len(tokens))
                 node.append(own := node_of(tokens))
-                if len(tokens):
-                    low = mix(np.array([mix(tokens ^ s).min() for s in _SEEDS]) + _SEEDS).reshape(BANDS, BAND_ROWS)
-                    bands.append(mix(low.sum(axis=1)).view(np.int64).tolist())
-                    if own not in nodes:  # copies in a block count once
-                        nodes.add(own)
-                        parts.append(tokens)
-                        held += len(tokens)
-                        if held > BLOCK_SHINGLES:
-                            yield from frequent(parts)
-                            parts, held, nodes = [], 0, set()
-                else:
+                if not len(tokens):
                     bands.append(None)
+                    continue
+                low = mix(np.array([mix(tokens ^ s).min() for s in _SEEDS]) + _SEEDS).reshape(BANDS, BAND_ROWS)
+                bands.append(mix(low.sum(axis=1)).view(np.int64).tolist())
+                if own not in nodes:  # copies in a block count once
+                    nodes.add(own)
+                    parts.append(tokens)
+                    held += len(tokens)
+                    if held > 2 * BLOCK_SHINGLES:
+                        yield from several(parts)
+                        parts, held, nodes = [], 0, set()
             m = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=schema)
         if parts:
-            yield from frequent(parts)
+            yield from several(parts)
+
+    return run
+
+
+def _prefix(tokens: np.ndarray, frequent: np.ndarray, t: Fraction, rare_only: bool = False) -> np.ndarray:
+    """Of a set's sorted shingles, rare ones first, those that no link can miss."""
+    take = len(tokens) - _least(len(tokens), t) + 1
+    if len(frequent) and len(tokens):
+        common = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
+        if common.any():
+            tokens = tokens[~common] if rare_only else np.concatenate([tokens[~common], tokens[common]])
+    return tokens[:take]
+
+
+def _eligible(size: int, t: Fraction, buckets: int, shared):
+    """By bucket, packed: the rare shingles of prefixes by the first count; of copies in a block, one document's."""
+    schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary())])
+
+    def emit(parts):
+        tokens = np.concatenate(parts)
+        bucket = (mix(tokens) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        tokens, cuts = tokens[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = [(b, tokens[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    def run(batches):
+        parts, held, seen = [], 0, set()
+        for batch in batches:
+            for tokens in shingle_sets(batch.column(0), size):
+                if len(tokens) and (node := node_of(tokens)) not in seen:
+                    seen.add(node)
+                    parts.append(_prefix(tokens, shared.value, t, rare_only=True))
+                    held += len(parts[-1])
+                    if held > BLOCK_SHINGLES:
+                        yield emit(parts)
+                        parts, held, seen = [], 0, set()
+        if parts:
+            yield emit(parts)
+
+    return run
+
+
+def _frequent(least: int):
+    """Rows sorted by bucket: the shingles that at least so many documents hold."""
+    schema = pa.schema([("token", pa.int64())])
+
+    def found(parts):
+        tokens, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(tokens[n >= least].view(np.int64))], schema=schema)
+
+    def run(batches):
+        bucket, parts = None, []
+        for batch in batches:
+            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if b != bucket and parts:
+                    yield found(parts)
+                    parts = []
+                bucket = b
+                parts.append(np.frombuffer(raw.as_buffer(), np.uint64))
+        if parts:
+            yield found(parts)
 
     return run
 
@@ -174,13 +240,13 @@ def _compare(t: Fraction):
     return run
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, t: Fraction) -> DataFrame:
-    """Those of pairs (a: the hub, b: its partner; nodes) that link, written."""
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, t: Fraction) -> DataFrame:
+    """Those of pairs (a: the hub, b: its partner; nodes; a_id, b_id: their documents) that link, written."""
     pairs = written(pairs)
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("salts"))
-    as_hub = hubs.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    as_member = pairs.join(hubs, "a").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
-    sent = written(as_hub.unionByName(as_member).join(nodes.select("node", "id"), "node"))
+    hubs = pairs.groupBy("a", "a_id").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("salts"))
+    as_hub = hubs.select(F.col("a").alias("node"), F.col("a_id").alias("id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
+    as_member = pairs.join(hubs.select("a", "salts"), "a").select(F.col("b").alias("node"), F.col("b_id").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
+    sent = written(as_hub.unionByName(as_member))
     shared = docs.sparkSession.sparkContext.broadcast(_filter(sent.select("id").distinct()))
     place = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(FILTER_BITS)).alias(f"_h{k}") for k in (1, 2)]
     sets = docs.where("doc_id is not null").select("doc_id", "text", *place).mapInArrow(_sets(size, shared), "own_id bigint, node bigint, n bigint, tokens binary")
@@ -194,47 +260,41 @@ def _prefixes(size: int, t: Fraction, shared):
     schema = pa.schema([("own_id", pa.int64()), ("node", pa.int64()), ("prefix", pa.binary())])
 
     def run(batches):
-        frequent = shared.value
         for batch in batches:
             node, prefix = [], []
             for tokens in shingle_sets(batch.column(1), size):
                 node.append(node_of(tokens))
-                n = len(tokens)
-                take = n - _least(n, t) + 1 if n else 0
-                if len(frequent) and n:
-                    common = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
-                    if common.any():
-                        tokens = np.concatenate([tokens[~common], tokens[common]])
-                prefix.append(tokens[:take].tobytes())
+                prefix.append(_prefix(tokens, shared.value, t).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(prefix, pa.binary())], schema=schema)
 
     return run
 
 
 def _postings(buckets: int):
-    """Prefixes turned by bucket of the shingle: packed shingles (32 bits beside the bucket), nodes, short group names."""
-    schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("groups", pa.binary())])
+    """Prefixes turned by bucket of the shingle: packed shingles (32 bits beside the bucket), nodes, short group names, set sizes."""
+    schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("groups", pa.binary()), ("sizes", pa.binary())])
 
     def emit(held):
         tokens = np.concatenate([h[0] for h in held])
         sizes = [len(h[0]) for h in held]
         nodes = np.repeat(np.array([h[1] for h in held], np.int64), sizes)
         short = np.repeat(np.array([h[2] for h in held], np.uint32), sizes)
+        set_sizes = np.repeat(np.array([h[3] for h in held], np.uint32), sizes)
         mixed = mix(tokens)
         bucket = (mixed >> np.uint64(32)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
-        bucket, mixed, nodes, short = bucket[order], mixed[order].astype(np.uint32), nodes[order], short[order]
+        bucket, mixed, nodes, short, set_sizes = bucket[order], mixed[order].astype(np.uint32), nodes[order], short[order], set_sizes[order]
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = [(b, mixed[x:y].tobytes(), nodes[x:y].tobytes(), short[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+        rows = [(b, mixed[x:y].tobytes(), nodes[x:y].tobytes(), short[x:y].tobytes(), set_sizes[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            for node, group, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                held.append((np.frombuffer(raw.as_buffer(), np.uint64), node, group))
+            for node, group, m, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                held.append((np.frombuffer(raw.as_buffer(), np.uint64), node, group, m))
                 n += len(held[-1][0])
-                if n > BLOCK_SHINGLES // 2:
+                if n > BLOCK_SHINGLES:
                     yield emit(held)
                     held, n = [], 0
         if n:
@@ -243,29 +303,30 @@ def _postings(buckets: int):
     return run
 
 
-def _matches():
+def _matches(t: Fraction):
     """Buckets' rows, sorted by bucket: for each node and other group, how many prefix shingles the group's union has.
 
-    Of two groups, the one with the greater short name asks. Shingles of one group alone are dropped at once. Pairs are
+    Of two groups, the one with the greater short name asks, where its size and the union's members' allow a link. Shingles of one group alone are dropped at once. Pairs are
     expanded in blocks, each counted before the next.
     """
     schema = pa.schema([("q", pa.int64()), ("short", pa.int64()), ("hits", pa.int64())])
 
-    def expanded(token, nodes, groups):
+    def expanded(token, nodes, groups, sizes):
         # the union: a group's first entry of each shingle
         order = np.lexsort((groups, token))
-        token, nodes, groups = token[order], nodes[order], groups[order]
+        token, nodes, groups, sizes = token[order], nodes[order], groups[order], sizes[order].astype(np.float64)
         new_token = np.r_[True, token[1:] != token[:-1]]
         lead = new_token | np.r_[True, groups[1:] != groups[:-1]]
         run = np.cumsum(new_token) - 1
         n_groups = np.bincount(run, lead)
         keep = n_groups[run] > 1
-        token, nodes, groups, lead = token[keep], nodes[keep], groups[keep], lead[keep]
+        token, nodes, groups, sizes, lead = token[keep], nodes[keep], groups[keep], sizes[keep], lead[keep]
         if not len(token):
             return
         new_token = np.r_[True, token[1:] != token[:-1]]
         run = np.cumsum(new_token) - 1
-        names = groups[lead]
+        names, leads = groups[lead], np.flatnonzero(lead)
+        low, high = np.minimum.reduceat(sizes, leads), np.maximum.reduceat(sizes, leads)
         first = np.searchsorted(run[lead], np.arange(run[-1] + 1))  # of each shingle, in names
         rank = np.cumsum(lead) - 1  # of the entry's own group, in names
         less = rank - first[run]  # groups with a lesser name
@@ -277,7 +338,12 @@ def _matches():
             if m.sum():
                 own = np.repeat(np.arange(at, stop), m)
                 inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-                q, g = nodes[own], names[first[run[own]] + inner]
+                union = first[run[own]] + inner
+                fits = (sizes[own] * float(t) <= high[union] + 1e-6) & (low[union] * float(t) <= sizes[own] + 1e-6)
+                q, g = nodes[own[fits]], names[union[fits]]
+                if not len(q):
+                    at = stop
+                    continue
                 order = np.lexsort((g, q))
                 q, g = q[order], g[order]
                 new = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (g[1:] != g[:-1])])
@@ -290,14 +356,14 @@ def _matches():
     def run(batches):
         bucket, held = None, []
         for batch in batches:
-            for b, *packed in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3)), strict=True):
+            for b, *packed in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3, 4)), strict=True):
                 if b != bucket and held:
-                    yield from expanded(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+                    yield from expanded(*(np.concatenate([h[k] for h in held]) for k in range(4)))
                     held = []
                 bucket = b
-                held.append([np.frombuffer(x.as_buffer(), kind) for x, kind in zip(packed, (np.uint32, np.int64, np.uint32), strict=True)])
+                held.append([np.frombuffer(x.as_buffer(), kind) for x, kind in zip(packed, (np.uint32, np.int64, np.uint32, np.uint32), strict=True)])
         if held:
-            yield from expanded(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+            yield from expanded(*(np.concatenate([h[k] for h in held]) for k in range(4)))
 
     return run
 
@@ -309,12 +375,14 @@ def _hits_needed(n, low, high, t: Fraction):
     the rest of that set, ceil(t n) - 1 or ceil(t m) - 1, can follow. In m the difference falls, then rises from n / t
     or t n on, so the ends of the range decide.
     """
-    share = float(t / (1 + t))
-    rest = lambda m: F.ceil(m * float(t) - 1e-9) - 1
-    need = lambda m: F.ceil((n + m) * share - 1e-6) - F.greatest(rest(n), rest(m))
-    a, b = F.greatest(low, F.ceil(n * float(t) - 1e-9)), F.least(high, F.floor(n / float(t) + 1e-9))
-    # one less for the roundings in between
-    return F.when(a > b, F.lit(1 << 40)).otherwise(F.greatest(F.lit(1), F.least(need(a), need(b)) - 1))
+    share = t / (1 + t)
+    up = lambda x, by: F.ceil(x * by.numerator / by.denominator - 1e-9)
+    need = lambda m: up(n + m, share) - F.greatest(up(n, t), up(m, t)) + 1
+    a, b = F.greatest(low, up(n, t)), F.least(high, F.floor(n * t.denominator / t.numerator + 1e-9))
+    # above n it falls by t - share a shingle but for roundings, which this many steps outweigh
+    steps = math.ceil(2 / (t - share))
+    least = F.least(need(a), *[need(F.greatest(a, F.least(b, F.greatest(n, b - k)))) for k in range(steps)])
+    return F.when(a > b, F.lit(1 << 40)).otherwise(F.greatest(F.lit(1), least))
 
 
 def similar_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -329,45 +397,53 @@ def similar_documents(docs: DataFrame, text_col: str = "text", id_col: str = "do
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     survey = written(docs.mapInArrow(_survey(size), "doc_id bigint, n bigint, node bigint, bands array<bigint>, token bigint, seen bigint"))
-    rows = survey.where("token is null")
+    rows = survey.where("token is null").select("doc_id", "n", "node", "bands")
     nodes = written(rows.where("n > 0 and doc_id is not null").groupBy("node", "n").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")))
 
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    anchors = banded.groupBy("band", "key").agg(F.min("node").alias("anchor"), F.max("node").alias("last")).where("anchor <> last")
-    near = banded.join(anchors, ["band", "key"]).where("node <> anchor").select(F.col("anchor").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(docs, nodes, near, size, t)
-    grouped = _grouped(nodes, links)
+    banded = nodes.select("node", "id", F.posexplode("bands").alias("band", "key"))
+    shared_bands = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("there")).where("there > 1")
+    banded = written(banded.join(shared_bands, ["band", "key"]))
+    # of copies, the one that shares its bands with most others is the likeliest to link with them all
+    weight = banded.groupBy("node").agg(F.sum("there").alias("weight"))
+    anchors = banded.join(weight, "node").groupBy("band", "key").agg(F.max(F.struct("weight", "node", "id")).alias("anchor"))
+    near = banded.join(anchors, ["band", "key"]).where("node <> anchor.node").select(F.col("anchor.node").alias("a"), F.col("anchor.id").alias("a_id"), F.col("node").alias("b"), F.col("id").alias("b_id")).distinct()
+    links = _verified(docs, near, size, t)
+    grouped = _merged(nodes.select("node", "n", "id", F.col("node").alias("root")), links)
 
     total = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * float(t)) + 1), F.lit(0)).alias("postings")).first()
-    least = max(FREQUENT_LEAST, total.nodes // FREQUENT_PART)
-    frequent = survey.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).select("token").toArrow()
-    shared = spark.sparkContext.broadcast(np.sort(frequent.column(0).to_numpy().view(np.uint64)))
-    buckets = max(1, -(-total.postings // BUCKET_POSTINGS)) * 2
+    shingles = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = survey.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(FREQUENT_LEAST, -(-shingles // FREQUENT_MOST))).select("token").toArrow()
+    first = np.sort(often.column(0).to_numpy().view(np.uint64))
+    shared = spark.sparkContext.broadcast(first)
+    buckets = max(LEAST_BUCKETS, -(-total.postings // BUCKET_POSTINGS) * 2)
+    eligible = docs.where("doc_id is not null").select("text").mapInArrow(_eligible(size, t, buckets, shared), "bucket int, tokens binary")
+    counted = eligible.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_frequent(max(FREQUENT_LEAST, -(-total.postings // FREQUENT_MOST))), "token bigint").toArrow()
+    shared = spark.sparkContext.broadcast(np.sort(np.concatenate([first, counted.column(0).to_numpy().view(np.uint64)])))
 
     prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(size, t, shared), "own_id bigint, node bigint, prefix binary")
-    keyed = grouped.select(F.col("node").alias("own_node"), "id", "root")
-    joined = prefixes.join(keyed, (F.col("own_id") == F.col("id")) & (F.col("node") == F.col("own_node"))).select("node", _short(F.col("root")).alias("short"), "prefix")
-    packed = joined.mapInArrow(_postings(buckets), "bucket int, tokens binary, nodes binary, groups binary")
-    found = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches(), "q bigint, short bigint, hits bigint")
+    keyed = grouped.select(F.col("node").alias("own_node"), F.col("n").alias("own_n"), "id", "root")
+    joined = prefixes.join(keyed, (F.col("own_id") == F.col("id")) & (F.col("node") == F.col("own_node"))).select("node", _short(F.col("root")).alias("short"), F.col("own_n").alias("n"), "prefix")
+    packed = joined.mapInArrow(_postings(buckets), "bucket int, tokens binary, nodes binary, groups binary, sizes binary")
+    found = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches(t), "q bigint, short bigint, hits bigint")
     hits = found.groupBy("q", "short").agg(F.sum("hits").alias("hits"))
 
     grouped = grouped.withColumn("short", _short(F.col("root")))
     sizes = grouped.groupBy("root", "short").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    asking = grouped.select(F.col("node").alias("q"), F.col("n").alias("qn"), F.col("root").alias("q_root"))
-    open_ = written(hits.join(sizes, "short").join(asking, "q").where((F.col("root") != F.col("q_root")) & (F.col("hits") >= _hits_needed(F.col("qn"), F.col("low"), F.col("high"), t))).select("q", "qn", "root"))
-
-    by_name = open_.select(F.col("root").alias("a"), F.col("q").alias("b")).distinct()
-    links = written(links.unionByName(_verified(docs, nodes, by_name, size, t)).distinct())
-    again = _grouped(nodes, links)
-    # a node that is tied to the group by now needs no member of it
-    roots = again.select("node", F.col("root").alias("now"))
-    waiting = open_.join(roots.withColumnRenamed("node", "q"), "q").join(roots.select(F.col("node").alias("root"), F.col("now").alias("there")), "root").where("now <> there").select("q", "qn", "root")
-    members = grouped.select("root", F.col("node").alias("m"), F.col("n").alias("mn"))
-    fits = (F.col("qn") * float(t) <= F.col("mn") + 1e-9) & (F.col("mn") * float(t) <= F.col("qn") + 1e-9) & (F.col("m") != F.col("root"))
-    inside = waiting.join(members, "root").where(fits).select(F.col("q").alias("a"), F.col("m").alias("b")).distinct()
-    links = links.unionByName(_verified(docs, nodes, inside, size, t)).distinct()
-
-    last = _grouped(nodes, links)
+    asking = grouped.select(F.col("node").alias("q"), F.col("id").alias("q_id"), F.col("n").alias("qn"), F.col("root").alias("q_root"))
+    open_ = written(hits.join(sizes, "short").join(asking, "q").where((F.col("root") != F.col("q_root")) & (F.col("hits") >= _hits_needed(F.col("qn"), F.col("low"), F.col("high"), t))).select("q", "q_id", "qn", "root"))
+
+    members = grouped.select("root", F.col("node").alias("m"), F.col("id").alias("m_id"), F.col("n").alias("mn")).join(grouped.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("there")), F.col("root") == F.col("_root")).drop("_root")
+    spot = F.pmod(F.xxhash64("m", F.lit(5)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    fits = (F.col("qn") * float(t) <= F.col("mn") + 1e-9) & (F.col("mn") * float(t) <= F.col("qn") + 1e-9)
+    last = grouped
+    # first the member that names the group, then a few, then all; a node that is tied to the group by then needs no more
+    others = F.col("m") != F.col("root")
+    for which in (~others, others & (spot * F.col("there") < FEW_MEMBERS), others & (spot * F.col("there") >= FEW_MEMBERS)):
+        now = last.select("node", F.col("root").alias("now"))
+        waiting = open_.join(now.withColumnRenamed("node", "q"), "q").join(now.select(F.col("node").alias("root"), F.col("now").alias("its")), "root").where("now <> its").select("q", "q_id", "qn", "root")
+        pairs = waiting.join(members.where(which), "root").where(fits).select(F.col("q").alias("a"), F.col("q_id").alias("a_id"), F.col("m").alias("b"), F.col("m_id").alias("b_id")).distinct()
+        last = _merged(last, _verified(docs, pairs, size, t))
+
     named = last.groupBy("root").agg(F.min("id").alias("component_id"))
     by_node = last.select(F.col("node").alias("_node"), F.col("n").alias("_n"), "root").join(named, "root").select("_node", "_n", "component_id")
     linked = rows.join(by_node, (F.col("node") == F.col("_node")) & (F.col("n") == F.col("_n")), "left")
@@ -376,10 +452,12 @@ def similar_documents(docs: DataFrame, text_col: str = "text", id_col: str = "do
     return linked.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
-def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes (node, n, id) with root, the name of the group, written."""
-    found = components(links)
-    return written(nodes.select("node", "n", "id").join(found, "node", "left").select("node", "n", "id", F.coalesce("root", "node").alias("root")))
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (node, n, id, root) after links (a, b): links between groups alone, each once, go into the components."""
+    root = groups.select("node", "root")
+    between = links.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    found = components(between.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    return written(groups.join(found.select(F.col("node").alias("root"), F.col("root").alias("into")), "root", "left").select("node", "n", "id", F.coalesce("into", "root").alias("root")))
 
 
 def _short(root):
