@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixture, ngram_join, shards, url_rules
+from . import chat, decontaminate, fingerprints, mixture, ngram_join, quality, shards, url_rules
 from ._tables import table
 
 
@@ -10,10 +10,18 @@ def op1_ngram_join(spark, sf_dir):
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark, sf_dir):
     return mixture.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprint(spark, sf_dir):
+    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark, sf_dir):
     return chat.chat_report(table(spark, sf_dir, "conversations"))
 
@@ -30,5 +38,5 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.leak_report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_mixing, op5_chat_format, op7_sharding, op9_url_filter, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_mixing, op4_fingerprint, op5_chat_format, op7_sharding, op9_url_filter, op10_decontaminate)}
 ORACLES = {"op1_ngram_join": ngram_join.ORACLE, "op3_mixing": mixture.ORACLE, "op5_chat_format": chat.ORACLE, "op9_url_filter": url_rules.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
