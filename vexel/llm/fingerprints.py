@@ -75,11 +75,12 @@ def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("signature", signature(F.coalesce(F.col(text_col), F.lit("")))).withColumn("fingerprint", as_text(F.col("signature")))
 
 
-def with_next(docs: DataFrame, id_col: str, columns: tuple[str, ...]) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, columns: tuple[str, ...], derive=None) -> DataFrame:
     """docs with next_<column>: those of the next document, descending id (null ids last); after the last, the first.
 
     Ids are cut into ranges; each range also gets the greatest row of the range below, and the lowest gets the greatest
     of all, so that one shuffle of the rows and a window in each range do. Rows of one id stand in the order of columns.
+    `derive` may add columns to the rows before they move: to each once, after the lent rows are picked.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     rows = ids.count()
@@ -100,14 +101,16 @@ def with_next(docs: DataFrame, id_col: str, columns: tuple[str, ...]) -> DataFra
     guests = placed.join(lenders, (F.col("_range") == F.col("_r")) & F.col("_id").eqNullSafe(F.col("_t"))).withColumn("_range", F.col("_up")).withColumn("_guest", F.lit(1)).drop("_r", "_t", "_up")
     both = placed.withColumn("_guest", F.lit(0)).unionByName(guests)
     order = Window.partitionBy("_range").orderBy("_guest", *ordered)
+    if derive:
+        both = derive(both)
     led = both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns} | {"_last": F.lead("_guest").over(order)})
     return led.where("_guest = 0").drop("_id", "_range", "_guest", "_last")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each document."""
-    signed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("signature", signature(F.col("text")))
-    led = with_next(signed, "doc_id", ("text", "signature"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    led = with_next(texts, "doc_id", ("text", "signature"), lambda rows: rows.withColumn("signature", signature(F.col("text"))))
     n, cut = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
     changed = led.select("doc_id", n.cast("long").alias("n_chars"), "signature", "next_signature", edited.alias("edited")).withColumn("edited_signature", signature(F.col("edited")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprints, mixture, ngram_join, quality, shards, url_rules
+from . import chat, decontaminate, fingerprints, language_model, line_dedup, mixture, ngram_join, quality, shards, url_rules
 from ._tables import table
 
 
@@ -26,10 +26,18 @@ def op5_chat_format(spark, sf_dir):
     return chat.chat_report(table(spark, sf_dir, "conversations"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark, sf_dir):
     return shards.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark, sf_dir):
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark, sf_dir):
     return url_rules.url_report(table(spark, sf_dir, "pages"))
 
@@ -38,5 +46,5 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.leak_report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_mixing, op4_fingerprint, op5_chat_format, op7_sharding, op9_url_filter, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_mixing, op4_fingerprint, op5_chat_format, op6_line_dedup, op7_sharding, op8_lm_score, op9_url_filter, op10_decontaminate)}
 ORACLES = {"op1_ngram_join": ngram_join.ORACLE, "op3_mixing": mixture.ORACLE, "op5_chat_format": chat.ORACLE, "op9_url_filter": url_rules.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
