@@ -15,20 +15,38 @@ from ._tables import written
 
 #: Lines of fewer words are only compared for equality: one word is too much of them.
 LEAST_WORDS = 8
+#: Bits of the filter that says which lines' words are fetched; at most a 64th as many rows are broadcast.
+FILTER_BITS = 1 << 26
+LINES, NO_ID = 1 << 31, 1 << 64
 
 
 def _words(line: Column) -> Column:
     return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _half_keys(w: str) -> Column:
-    """For lengths m (n, and n - 1 beside a shorter line): the first m // 2 words, and the last m - m // 2."""
-    keys = []
+def _half_keys(w: str) -> dict[str, Column]:
+    """Of lengths m = n, and n - 1 beside a shorter line: the first m // 2 words (even), the last m - m // 2 (odd)."""
+    keys = {}
     for less in (0, 1):
         n, m = F.size(w), F.size(w) - less
         h = F.floor(m / 2).cast("int")
-        keys += [F.struct(F.xxhash64(F.lit(0), m, F.slice(w, F.lit(1), h)).alias("key"), F.lit(0).alias("tail"), F.lit(less).alias("less")), F.struct(F.xxhash64(F.lit(1), m, F.slice(w, n - (m - h) + 1, m - h)).alias("key"), F.lit(1).alias("tail"), F.lit(less).alias("less"))]
-    return F.array(*keys)
+        keys[f"k{2 * less}"] = F.xxhash64(F.lit(0), m, F.slice(w, F.lit(1), h))
+        keys[f"k{2 * less + 1}"] = F.xxhash64(F.lit(1), m, F.slice(w, n - (m - h) + 1, m - h))
+    return keys
+
+
+def _place(doc_id: str, line_no: str) -> Column:
+    """doc_id and line_no as one number in their order, null ids last: aggregates of it need no sort."""
+    return (F.coalesce(F.col(doc_id).cast("decimal(20,0)"), F.lit(NO_ID).cast("decimal(20,0)")) * F.lit(LINES).cast("decimal(11,0)") + F.col(line_no)).cast("decimal(38,0)")
+
+
+def _doc_of(place: Column) -> Column:
+    doc = F.floor(place / F.lit(LINES)).cast("decimal(20,0)")
+    return F.when(doc != F.lit(NO_ID).cast("decimal(20,0)"), doc.cast("long"))
+
+
+def _line_of(place: Column) -> Column:
+    return (place - F.floor(place / F.lit(LINES)) * F.lit(LINES)).cast("int")
 
 
 def _variants(w: str, key: Column, tail: Column, less: Column) -> Column:
@@ -64,7 +82,19 @@ def _near(a: Column, b: Column) -> Column:
 
 
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line")).select("doc_id", "line_no", _words(F.col("line")).alias("w"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "raw"))
+
+
+def _bit(place: Column) -> Column:
+    return F.pmod(F.xxhash64(place), F.lit(FILTER_BITS))
+
+
+def _only(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """Lines whose place, column at, may be among places: a broadcast bit map, made by aggregation. Some others pass too."""
+    bits = places.select(_bit(F.col("at")).alias("bit")).groupBy(F.shiftright("bit", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("_bits"))
+    marked = lines.withColumn("_bit", _bit(F.col("at")))
+    hit = marked.join(F.broadcast(bits), F.shiftright("_bit", 6) == F.col("_word"))
+    return hit.where(F.expr("shiftright(_bits, cast(_bit % 64 as int)) & 1L = 1L")).select(*lines.columns)
 
 
 def repeated_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -75,37 +105,36 @@ def repeated_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     of their own; first_doc and first_line name the earliest line that is near, whether or not that stays. A null text
     has no lines. Repeated rows count as one line; an empty table gives an empty result.
     """
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("line_no"))
-    lines = _lines(docs, text_col, id_col).where(F.size("w") > 0)
-    long_enough = F.size("w") >= least_words
-    keyed = lines.select("doc_id", "line_no", F.xxhash64("w").alias("line"), F.when(long_enough, _half_keys("w")).alias("halves"))
-    seen = written(keyed.select("doc_id", "line_no", "line", "halves"))
-    classes = written(seen.groupBy("line").agg(F.min(place).alias("at"), F.first("halves").alias("halves")))
-
-    halves = classes.where("halves is not null").select("line", "at", F.explode("halves").alias("half")).select("line", "at", "half.*")
-    shared = halves.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key")
-    going = written(halves.join(shared, "key"))
+    raw = _lines(docs, text_col, id_col)
+    lines = raw.select("doc_id", "line_no", _words(F.col("raw")).alias("w")).where(F.size("w") > 0)
+    halves = {k: F.when(F.size("w") >= least_words, h) for k, h in _half_keys("w").items()}
+    seen = written(lines.select(_place("doc_id", "line_no").alias("at"), F.xxhash64("w").alias("line"), *[h.alias(k) for k, h in halves.items()]))
+    classes = written(seen.groupBy("line").agg(F.min("at").alias("at"), *[F.min(k).alias(k) for k in halves]))
+
+    each = F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(i).alias("which")) for i in range(4)])).alias("half")
+    of_each = classes.where("k0 is not null").select("line", "at", each).select("line", "at", "half.*")
+    shared = of_each.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key")
+    going = written(of_each.join(shared, "key").select("line", "at", "key", (F.col("which") % 2).alias("tail"), F.floor(F.col("which") / 2).cast("int").alias("less")))
     # the words of the first line of each class that goes on
-    where = going.groupBy("line").agg(F.first("at").alias("at")).select("line", F.col("at.doc_id").alias("_doc"), F.col("at.line_no").alias("_no"), "at")
-    words = written(lines.join(where, lines["doc_id"].eqNullSafe(F.col("_doc")) & (lines["line_no"] == F.col("_no"))).groupBy("line").agg(F.first("at").alias("at"), F.first("w").alias("w")))
+    wanted = going.select("line", "at").distinct()
+    candidates = _only(raw.withColumn("at", _place("doc_id", "line_no")).select("at", "raw"), wanted)
+    words = written(candidates.join(wanted, "at").groupBy("line", "at").agg(F.min("raw").alias("raw")).select("line", "at", _words(F.col("raw")).alias("w")))
 
-    variants = going.select("line", "at", "key", "tail", "less").join(words.select("line", "w"), "line").select("line", "at", F.explode(_variants("w", F.col("key"), F.col("tail"), F.col("less"))).alias("v")).select("line", "at", "v.*")
-    variants = written(variants)
-    who = F.struct("at", "line")
-    met = variants.groupBy("variant").agg(*[F.min(F.when(F.col("kind") == k, who)).alias(f"k{k}") for k in range(3)], F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    emitted = going.join(words.select("line", "w"), "line").select("line", "at", F.explode(_variants("w", F.col("key"), F.col("tail"), F.col("less"))).alias("v")).select("line", "at", "v.*")
+    variants = written(emitted)
+    met = variants.groupBy("variant").agg(*[F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"a{k}") for k in range(3)], F.count(F.lit(1)).alias("rows")).where("rows > 1")
     # replaced: all are near each other; added or left out: short lines are near long ones
-    first = F.when(F.col("kind") == 0, F.col("k0")).when(F.col("kind") == 1, F.col("k2")).otherwise(F.col("k1"))
-    pairs = variants.join(met, "variant").select("line", "at", first.alias("to")).where("to is not null and to.at < at").groupBy("line", "to").agg(F.first("at").alias("at"))
-    mine = words.select("line", "w")
-    theirs = words.select(F.col("line").alias("_line"), F.col("w").alias("_w"))
-    verified = pairs.join(mine, "line").join(theirs, F.col("to.line") == F.col("_line")).where(_near(F.col("w"), F.col("_w")))
-    near = verified.groupBy("line").agg(F.min("to.at").alias("near_at"))
-
-    known = classes.select("line", "at").join(near, "line", "left").withColumnRenamed("line", "_line")
-    judged = seen.select("doc_id", "line_no", "line").join(known, F.col("line") == F.col("_line"))
-    later = place > F.col("at")
-    to = F.when(later, F.col("at")).otherwise(F.col("near_at"))
-    return judged.where(later | F.col("near_at").isNotNull()).select("doc_id", "line_no", F.when(later, F.lit("equal")).otherwise(F.lit("near")).alias("like"), to["doc_id"].alias("first_doc"), to["line_no"].alias("first_line"))
+    first = F.when(F.col("kind") == 0, F.col("a0")).when(F.col("kind") == 1, F.col("a2")).otherwise(F.col("a1"))
+    pairs = variants.join(met, "variant").select("line", "at", first.alias("to")).where("to < at").select("line", "to").distinct()
+    theirs = words.select(F.col("at").alias("to"), F.col("w").alias("_w"))
+    verified = pairs.join(words.select("line", "w"), "line").join(theirs, "to").where(_near(F.col("w"), F.col("_w")))
+    near = verified.groupBy("line").agg(F.min("to").alias("near_at"))
+
+    known = classes.select(F.col("line").alias("_line"), F.col("at").alias("first_at")).join(near.withColumnRenamed("line", "_near_line"), F.col("_line") == F.col("_near_line"), "left")
+    judged = seen.select("at", "line").join(known, F.col("line") == F.col("_line"))
+    later = F.col("at") > F.col("first_at")
+    to = F.when(later, F.col("first_at")).otherwise(F.col("near_at"))
+    return judged.where(later | F.col("near_at").isNotNull()).select(_doc_of(F.col("at")).alias("doc_id"), _line_of(F.col("at")).alias("line_no"), F.when(later, F.lit("equal")).otherwise(F.lit("near")).alias("like"), _doc_of(to).alias("first_doc"), _line_of(to).alias("first_line"))
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
