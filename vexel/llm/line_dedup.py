@@ -37,12 +37,12 @@ def _half_keys(w: str) -> dict[str, Column]:
 
 def _place(doc_id: str, line_no: str) -> Column:
     """doc_id and line_no as one number in their order, null ids last: aggregates of it need no sort."""
-    return (F.coalesce(F.col(doc_id).cast("decimal(20,0)"), F.lit(NO_ID).cast("decimal(20,0)")) * F.lit(LINES).cast("decimal(11,0)") + F.col(line_no)).cast("decimal(38,0)")
+    return (F.coalesce(F.col(doc_id).cast("decimal(20,0)"), F.lit(str(NO_ID)).cast("decimal(20,0)")) * F.lit(LINES).cast("decimal(11,0)") + F.col(line_no)).cast("decimal(38,0)")
 
 
 def _doc_of(place: Column) -> Column:
     doc = F.floor(place / F.lit(LINES)).cast("decimal(20,0)")
-    return F.when(doc != F.lit(NO_ID).cast("decimal(20,0)"), doc.cast("long"))
+    return F.when(doc != F.lit(str(NO_ID)).cast("decimal(20,0)"), doc.cast("long"))
 
 
 def _line_of(place: Column) -> Column:
