@@ -57,7 +57,7 @@ def _out(hits: DataFrame) -> DataFrame:
 
 E_SQL = "SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings"
 Q_SQL = "SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 5"
-SCORES = {"cosine": "list_cosine_similarity(v, q)", "dot": "list_inner_product(v, q)", "euclidean": "-list_inner_product(list_transform(list_zip(v, q), lambda p: p[1] - p[2]), list_transform(list_zip(v, q), lambda p: p[1] - p[2]))"}
+SCORES = {"cosine": "list_cosine_similarity(v, q)", "dot": "list_inner_product(v, q)", "euclidean": "0 - list_inner_product(list_transform(list_zip(v, q), lambda p: p[1] - p[2]), list_transform(list_zip(v, q), lambda p: p[1] - p[2]))"}
 
 
 def dense_sql(metric="cosine", k=10, where="true", extra="") -> str:
@@ -207,7 +207,7 @@ def payload_index_bool(spark, d):
 
 
 TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
-POSTINGS = f"SELECT id, length, term, count(*) AS tf FROM (SELECT CAST(doc_id AS VARCHAR) AS id, len({TOKENS}) AS length, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL"
+POSTINGS = f"SELECT id, length, term, count(*) AS tf FROM (WITH listed AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS id, {TOKENS} AS t FROM documents) SELECT id, len(t) AS length, unnest(t) AS term FROM listed) GROUP BY id, length, term"
 
 
 @query(f"SELECT doc_id, CAST(len({TOKENS}) AS INT) AS n_tokens, CAST(len(list_distinct({TOKENS})) AS INT) AS n_terms FROM documents")
@@ -227,8 +227,8 @@ def bm25_term_df(spark, d):
 
 def bm25_sql(asked: list, k: int) -> str:
     rows = ", ".join(f"({q}, '{t}', {n})" for q, t, n in asked)
-    return f"""p AS ({POSTINGS}), w(query_id, term, times) AS (VALUES {rows}), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-    st AS (SELECT count(*) AS n, avg(len({TOKENS})) AS avgdl FROM documents),
+    return f"""p AS MATERIALIZED ({POSTINGS}), w(query_id, term, times) AS (VALUES {rows}), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    st AS MATERIALIZED (SELECT count(*) AS n, avg(len({TOKENS})) AS avgdl FROM documents),
     b AS (SELECT query_id, id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / greatest(tf + 1.2 * (1 - 0.75 + 0.75 * length / greatest(avgdl, 1)), 1e-6)) AS score FROM p JOIN w USING (term) JOIN df USING (term), st GROUP BY 1, 2),
     bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= {k})"""
 

@@ -41,7 +41,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def score(a: Column, b: Column, metric: Metric) -> Column:
     """Higher is better for each metric: similarity, product, or the negative squared distance."""
-    return {Metric.COSINE: cosine, Metric.DOT: dot, Metric.EUCLIDEAN: lambda x, y: -l2_squared(x, y)}[Metric.parse(metric)](a, b)
+    return {Metric.COSINE: cosine, Metric.DOT: dot, Metric.EUCLIDEAN: lambda x, y: 0.0 - l2_squared(x, y)}[Metric.parse(metric)](a, b)
 
 
 def parse_vector(text: Column) -> Column:

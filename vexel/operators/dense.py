@@ -33,7 +33,7 @@ def _scores(q: np.ndarray, v: np.ndarray, metric: Metric) -> np.ndarray:
     if metric is Metric.DOT:
         return products
     if metric is Metric.EUCLIDEAN:
-        return -np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * products, 0)
+        return 0.0 - np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * products, 0)
     size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
     return np.divide(products, size, out=np.zeros_like(products), where=size > 0)
 
