@@ -257,22 +257,24 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, t: Fraction) -> Data
 
 def _prefixes(size: int, t: Fraction, shared):
     """node and the prefix of its set: rare shingles first, each part in the order of a hash."""
-    schema = pa.schema([("own_id", pa.int64()), ("node", pa.int64()), ("prefix", pa.binary())])
+    schema = pa.schema([("own_id", pa.int64()), ("node", pa.int64()), ("prefix", pa.binary()), ("often", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            node, prefix = [], []
+            node, prefix, often = [], [], []
             for tokens in shingle_sets(batch.column(1), size):
                 node.append(node_of(tokens))
-                prefix.append(_prefix(tokens, shared.value, t).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(prefix, pa.binary())], schema=schema)
+                own = _prefix(tokens, shared.value, t)
+                often.append(len(own) - len(_prefix(tokens, shared.value, t, rare_only=True)))
+                prefix.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(prefix, pa.binary()), pa.array(often, pa.int64())], schema=schema)
 
     return run
 
 
 def _postings(buckets: int):
     """Prefixes turned by bucket of the shingle: packed shingles (32 bits beside the bucket), nodes, short group names, set sizes."""
-    schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("groups", pa.binary()), ("sizes", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("groups", pa.binary()), ("sizes", pa.binary()), ("often", pa.binary())])
 
     def emit(held):
         tokens = np.concatenate([h[0] for h in held])
@@ -280,19 +282,23 @@ def _postings(buckets: int):
         nodes = np.repeat(np.array([h[1] for h in held], np.int64), sizes)
         short = np.repeat(np.array([h[2] for h in held], np.uint32), sizes)
         set_sizes = np.repeat(np.array([h[3] for h in held], np.uint32), sizes)
+        # twice the node's frequent shingles, and one more on those themselves, the last of a prefix
+        often = np.repeat(np.array([2 * h[4] for h in held], np.uint32), sizes)
+        for end, h in zip(np.cumsum(sizes), held, strict=True):
+            often[end - h[4] : end] += 1
         mixed = mix(tokens)
         bucket = (mixed >> np.uint64(32)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
-        bucket, mixed, nodes, short, set_sizes = bucket[order], mixed[order].astype(np.uint32), nodes[order], short[order], set_sizes[order]
+        bucket, mixed, nodes, short, set_sizes, often = bucket[order], mixed[order].astype(np.uint32), nodes[order], short[order], set_sizes[order], often[order]
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = [(b, mixed[x:y].tobytes(), nodes[x:y].tobytes(), short[x:y].tobytes(), set_sizes[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+        rows = [(b, mixed[x:y].tobytes(), nodes[x:y].tobytes(), short[x:y].tobytes(), set_sizes[x:y].tobytes(), often[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            for node, group, m, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
-                held.append((np.frombuffer(raw.as_buffer(), np.uint64), node, group, m))
+            for node, group, m, often, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
+                held.append((np.frombuffer(raw.as_buffer(), np.uint64), node, group, m, often))
                 n += len(held[-1][0])
                 if n > BLOCK_SHINGLES:
                     yield emit(held)
@@ -306,21 +312,30 @@ def _postings(buckets: int):
 def _matches(t: Fraction):
     """Buckets' rows, sorted by bucket: for each node and other group, how many prefix shingles the group's union has.
 
+    A frequent shingle counts only where a node has so many in its prefix that a link could do with those alone (more than
+    the pair's need, whose bound reach() is); elsewhere a link also shares rare ones, and the bound allows for the rest.
     Of two groups, the one with the greater short name asks, where its size and the union's members' allow a link. Shingles of one group alone are dropped at once. Pairs are
     expanded in blocks, each counted before the next.
     """
-    schema = pa.schema([("q", pa.int64()), ("short", pa.int64()), ("hits", pa.int64())])
+    schema = pa.schema([("q", pa.int64()), ("short", pa.int64()), ("hits", pa.int64()), ("often", pa.int64())])
 
-    def expanded(token, nodes, groups, sizes):
+    share = float(t / (1 + t))
+
+    def reach(n, m):
+        return share * (n + m) - float(t) * np.maximum(n, m)
+
+    def expanded(token, nodes, groups, sizes, often):
         # the union: a group's first entry of each shingle
         order = np.lexsort((groups, token))
         token, nodes, groups, sizes = token[order], nodes[order], groups[order], sizes[order].astype(np.float64)
+        often = often[order]
         new_token = np.r_[True, token[1:] != token[:-1]]
         lead = new_token | np.r_[True, groups[1:] != groups[:-1]]
         run = np.cumsum(new_token) - 1
         n_groups = np.bincount(run, lead)
         keep = n_groups[run] > 1
         token, nodes, groups, sizes, lead = token[keep], nodes[keep], groups[keep], sizes[keep], lead[keep]
+        often = often[keep]
         if not len(token):
             return
         new_token = np.r_[True, token[1:] != token[:-1]]
@@ -340,30 +355,33 @@ def _matches(t: Fraction):
                 inner = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
                 union = first[run[own]] + inner
                 fits = (sizes[own] * float(t) <= high[union] + 1e-6) & (low[union] * float(t) <= sizes[own] + 1e-6)
-                q, g = nodes[own[fits]], names[union[fits]]
+                n = sizes[own]
+                a, b = np.maximum(low[union], np.ceil(n * float(t) - 1e-9)), np.minimum(high[union], np.floor(n / float(t) + 1e-9))
+                fits &= (often[own] % 2 == 0) | (often[own] // 2 > np.minimum(reach(n, a), reach(n, b)))
+                q, g, of_q = nodes[own[fits]], names[union[fits]], often[own[fits]] // 2
                 if not len(q):
                     at = stop
                     continue
                 order = np.lexsort((g, q))
-                q, g = q[order], g[order]
+                q, g, of_q = q[order], g[order], of_q[order]
                 new = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (g[1:] != g[:-1])])
                 hits = np.diff(np.r_[new, len(q)])
                 for x in range(0, len(new), 100_000):
                     part = new[x : x + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(q[part], pa.int64()), pa.array(g[part].astype(np.int64)), pa.array(hits[x : x + 100_000], pa.int64())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[part], pa.int64()), pa.array(g[part].astype(np.int64)), pa.array(hits[x : x + 100_000], pa.int64()), pa.array(of_q[part].astype(np.int64))], schema=schema)
             at = stop
 
     def run(batches):
         bucket, held = None, []
         for batch in batches:
-            for b, *packed in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3, 4)), strict=True):
+            for b, *packed in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in (1, 2, 3, 4, 5)), strict=True):
                 if b != bucket and held:
-                    yield from expanded(*(np.concatenate([h[k] for h in held]) for k in range(4)))
+                    yield from expanded(*(np.concatenate([h[k] for h in held]) for k in range(5)))
                     held = []
                 bucket = b
-                held.append([np.frombuffer(x.as_buffer(), kind) for x, kind in zip(packed, (np.uint32, np.int64, np.uint32, np.uint32), strict=True)])
+                held.append([np.frombuffer(x.as_buffer(), kind) for x, kind in zip(packed, (np.uint32, np.int64, np.uint32, np.uint32, np.uint32), strict=True)])
         if held:
-            yield from expanded(*(np.concatenate([h[k] for h in held]) for k in range(4)))
+            yield from expanded(*(np.concatenate([h[k] for h in held]) for k in range(5)))
 
     return run
 
@@ -385,6 +403,13 @@ def _hits_needed(n, low, high, t: Fraction):
     return F.when(a > b, F.lit(1 << 40)).otherwise(F.greatest(F.lit(1), least))
 
 
+def _not_counted(often, n, low, high, t: Fraction):
+    """The most hits on frequent shingles that _matches() may have left out: all of the node's, or none."""
+    a, b = F.greatest(low, F.ceil(n * float(t) - 1e-9)), F.least(high, F.floor(n / float(t) + 1e-9))
+    m = F.greatest(a, F.least(b, n))
+    return F.when(often <= float(t / (1 + t)) * (n + m) - float(t) * F.greatest(n, m) + 1e-6, often).otherwise(F.lit(0))
+
+
 def similar_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id of each document: the smallest doc_id that links reach, itself included.
 
@@ -420,17 +445,17 @@ def similar_documents(docs: DataFrame, text_col: str = "text", id_col: str = "do
     counted = eligible.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_frequent(max(FREQUENT_LEAST, -(-total.postings // FREQUENT_MOST))), "token bigint").toArrow()
     shared = spark.sparkContext.broadcast(np.sort(np.concatenate([first, counted.column(0).to_numpy().view(np.uint64)])))
 
-    prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(size, t, shared), "own_id bigint, node bigint, prefix binary")
+    prefixes = docs.where("doc_id is not null").mapInArrow(_prefixes(size, t, shared), "own_id bigint, node bigint, prefix binary, often bigint")
     keyed = grouped.select(F.col("node").alias("own_node"), F.col("n").alias("own_n"), "id", "root")
-    joined = prefixes.join(keyed, (F.col("own_id") == F.col("id")) & (F.col("node") == F.col("own_node"))).select("node", _short(F.col("root")).alias("short"), F.col("own_n").alias("n"), "prefix")
-    packed = joined.mapInArrow(_postings(buckets), "bucket int, tokens binary, nodes binary, groups binary, sizes binary")
-    found = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches(t), "q bigint, short bigint, hits bigint")
-    hits = found.groupBy("q", "short").agg(F.sum("hits").alias("hits"))
+    joined = prefixes.join(keyed, (F.col("own_id") == F.col("id")) & (F.col("node") == F.col("own_node"))).select("node", _short(F.col("root")).alias("short"), F.col("own_n").alias("n"), "often", "prefix")
+    packed = joined.mapInArrow(_postings(buckets), "bucket int, tokens binary, nodes binary, groups binary, sizes binary, often binary")
+    found = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches(t), "q bigint, short bigint, hits bigint, often bigint")
+    hits = found.groupBy("q", "short").agg(F.sum("hits").alias("hits"), F.max("often").alias("often"))
 
     grouped = grouped.withColumn("short", _short(F.col("root")))
     sizes = grouped.groupBy("root", "short").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     asking = grouped.select(F.col("node").alias("q"), F.col("id").alias("q_id"), F.col("n").alias("qn"), F.col("root").alias("q_root"))
-    open_ = written(hits.join(sizes, "short").join(asking, "q").where((F.col("root") != F.col("q_root")) & (F.col("hits") >= _hits_needed(F.col("qn"), F.col("low"), F.col("high"), t))).select("q", "q_id", "qn", "root"))
+    open_ = written(hits.join(sizes, "short").join(asking, "q").where((F.col("root") != F.col("q_root")) & (F.col("hits") + _not_counted(F.col("often"), F.col("qn"), F.col("low"), F.col("high"), t) >= _hits_needed(F.col("qn"), F.col("low"), F.col("high"), t))).select("q", "q_id", "qn", "root"))
 
     members = grouped.select("root", F.col("node").alias("m"), F.col("id").alias("m_id"), F.col("n").alias("mn")).join(grouped.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("there")), F.col("root") == F.col("_root")).drop("_root")
     spot = F.pmod(F.xxhash64("m", F.lit(5)), F.lit(1 << 20)) / F.lit(float(1 << 20))
