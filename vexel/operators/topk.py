@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def union(lists: list[DataFrame]) -> DataFrame:
+    """All rows. Parts that are partitioned alike but into different numbers can't be zipped, so they are only appended."""
+    lists[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return reduce(DataFrame.unionByName, lists)
+
+
 def ranked(hits: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     """The k best of each query with their rank from 1; rows are cut in each task before they move."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), F.asc("id"))
@@ -16,13 +22,14 @@ def ranked(hits: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 
 def merge_top_k(lists: list[DataFrame], k: int) -> DataFrame:
     """Ranked lists of several shards as one; an id that several have keeps its best score."""
-    both = reduce(DataFrame.unionByName, [x.select("query_id", "id", "score") for x in lists])
+    both = union([x.select("query_id", "id", "score") for x in lists])
     return ranked(both.groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
 
 
 def rrf(lists: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion: the sum of 1 / (constant + rank). A query that one list alone answers keeps its raw scores."""
-    marked = reduce(DataFrame.unionByName, [ranked(x, 1 << 30).select("query_id", "id", "score", "rank", F.lit(n).alias("list")) for n, x in enumerate(lists)])
+    both = union([x.select("query_id", "id", "score", F.lit(n).alias("list")) for n, x in enumerate(lists)])
+    marked = both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "list").orderBy(F.desc("score"), F.asc("id"))))
     fused = marked.groupBy("query_id", "id").agg(F.sum(1 / (F.lit(constant) + F.col("rank"))).alias("fused"), F.first("score").alias("raw"))
     answered = marked.groupBy("query_id").agg(F.count_distinct("list").alias("answered"))
     return ranked(fused.join(answered, "query_id").select("query_id", "id", F.when(F.col("answered") == 1, F.col("raw")).otherwise(F.col("fused")).alias("score")), k)
@@ -40,11 +47,11 @@ def weighted(dense: DataFrame, lexical: list[DataFrame], alpha: float, k: int) -
     alpha = min(1.0, max(0.0, alpha))
     parts = [normalized(dense.select("query_id", "id", "score")).withColumn("score", F.col("score") * alpha)]
     if lexical:
-        both = reduce(DataFrame.unionByName, [x.select("query_id", "id", "score", F.lit(n).alias("list")) for n, x in enumerate(lexical)])
+        both = union([x.select("query_id", "id", "score", F.lit(n).alias("list")) for n, x in enumerate(lexical)])
         # normalised together before the repeats go
         one = normalized(both).groupBy("query_id", "id").agg(F.max_by("score", "list").alias("score"))
         parts.append(one.withColumn("score", F.col("score") * (1 - alpha)))
-    return ranked(reduce(DataFrame.unionByName, parts).groupBy("query_id", "id").agg(F.sum("score").alias("score")), k)
+    return ranked(union(parts).groupBy("query_id", "id").agg(F.sum("score").alias("score")), k)
 
 
 def restrict(hits: DataFrame, ids: DataFrame) -> DataFrame:
