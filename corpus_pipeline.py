@@ -43,7 +43,7 @@ STAGES = [
     ("mixing sources", source_mixing),
     ("sharding", sharding),
 ]
-#: SQL can't fit the classifier or pack bins; tests hold the stages against plain versions.
+#: SQL can't fit the classifier or pack bins.
 ORACLE_SQL = None
 
 
