@@ -6,8 +6,8 @@
 3. Token-group matrix. Rare shingles first (counted over all documents), then by hash, each node
    has a prefix that no link can miss: of n shingles the first n - ceil(t n) + 1. The matrix holds, for each shingle,
    the groups with it in a member's prefix, so a group's row is the union of its members' prefixes.
-4. Bound. The shared shingles of a query node's prefix and a group's union are counted. With the sizes of node and group
-   they bound the overlap with any member from above; groups out of reach stay closed.
+4. Bound. The shared shingles of a query node's prefix and a group's union are counted. With the sizes of the node and
+   of the members that hold them they bound the overlap with any member from above; groups out of reach stay closed.
 5. Open. A node is compared exactly with the groups that qualify, first with the member that names the group, then with
    a few members, and, if it is still not tied to the group, with each member of fitting size.
 
@@ -312,12 +312,15 @@ def _postings(buckets: int):
 def _matches(t: Fraction):
     """Buckets' rows, sorted by bucket: for each node and other group, how many prefix shingles the group's union has.
 
+    With it the set size of the node, and the least and greatest of the members that these shingles come from: a member
+    that links shares a counted shingle, so its size is between them.
+
     A frequent shingle counts only where a node has so many in its prefix that a link could do with those alone (more than
     the pair's need, whose bound reach() is); elsewhere a link also shares rare ones, and the bound allows for the rest.
     Of two groups, the one with the greater short name asks, where its size and the union's members' allow a link. Shingles of one group alone are dropped at once. Pairs are
     expanded in blocks, each counted before the next.
     """
-    schema = pa.schema([("q", pa.int64()), ("short", pa.int64()), ("hits", pa.int64()), ("often", pa.int64())])
+    schema = pa.schema([("q", pa.int64()), ("short", pa.int64()), ("hits", pa.int64()), ("often", pa.int64()), ("n", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
 
     share = float(t / (1 + t))
 
@@ -359,16 +362,18 @@ def _matches(t: Fraction):
                 a, b = np.maximum(low[union], np.ceil(n * float(t) - 1e-9)), np.minimum(high[union], np.floor(n / float(t) + 1e-9))
                 fits &= (often[own] % 2 == 0) | (often[own] // 2 > np.minimum(reach(n, a), reach(n, b)))
                 q, g, of_q = nodes[own[fits]], names[union[fits]], often[own[fits]] // 2
+                of_pair = [x.astype(np.int32) for x in (n[fits], low[union[fits]], high[union[fits]])]
                 if not len(q):
                     at = stop
                     continue
                 order = np.lexsort((g, q))
-                q, g, of_q = q[order], g[order], of_q[order]
+                q, g, of_q, (n, least, most) = q[order], g[order], of_q[order], (x[order] for x in of_pair)
                 new = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (g[1:] != g[:-1])])
                 hits = np.diff(np.r_[new, len(q)])
+                least, most = np.minimum.reduceat(least, new), np.maximum.reduceat(most, new)
                 for x in range(0, len(new), 100_000):
                     part = new[x : x + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(q[part], pa.int64()), pa.array(g[part].astype(np.int64)), pa.array(hits[x : x + 100_000], pa.int64()), pa.array(of_q[part].astype(np.int64))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[part], pa.int64()), pa.array(g[part].astype(np.int64)), pa.array(hits[x : x + 100_000], pa.int64()), pa.array(of_q[part].astype(np.int64)), pa.array(n[part]), pa.array(least[x : x + 100_000]), pa.array(most[x : x + 100_000])], schema=schema)
             at = stop
 
     def run(batches):
@@ -449,13 +454,14 @@ def similar_documents(docs: DataFrame, text_col: str = "text", id_col: str = "do
     keyed = grouped.select(F.col("node").alias("own_node"), F.col("n").alias("own_n"), "id", "root")
     joined = prefixes.join(keyed, (F.col("own_id") == F.col("id")) & (F.col("node") == F.col("own_node"))).select("node", _short(F.col("root")).alias("short"), F.col("own_n").alias("n"), "often", "prefix")
     packed = joined.mapInArrow(_postings(buckets), "bucket int, tokens binary, nodes binary, groups binary, sizes binary, often binary")
-    found = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches(t), "q bigint, short bigint, hits bigint, often bigint")
-    hits = found.groupBy("q", "short").agg(F.sum("hits").alias("hits"), F.max("often").alias("often"))
-
-    grouped = grouped.withColumn("short", _short(F.col("root")))
-    sizes = grouped.groupBy("root", "short").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    asking = grouped.select(F.col("node").alias("q"), F.col("id").alias("q_id"), F.col("n").alias("qn"), F.col("root").alias("q_root"))
-    open_ = written(hits.join(sizes, "short").join(asking, "q").where((F.col("root") != F.col("q_root")) & (F.col("hits") + _not_counted(F.col("often"), F.col("qn"), F.col("low"), F.col("high"), t) >= _hits_needed(F.col("qn"), F.col("low"), F.col("high"), t))).select("q", "q_id", "qn", "root"))
+    found = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches(t), "q bigint, short bigint, hits bigint, often bigint, n int, low int, high int")
+    hits = found.groupBy("q", "short").agg(F.sum("hits").alias("hits"), F.max("often").alias("often"), F.max("n").cast("long").alias("qn"), F.min("low").cast("long").alias("low"), F.max("high").cast("long").alias("high"))
+    range_ = (F.col("qn"), F.col("low"), F.col("high"), t)
+    within = hits.where(F.col("hits") + _not_counted(F.col("often"), *range_) >= _hits_needed(*range_)).select("q", "short", "qn")
+
+    roots = grouped.select("root").distinct().withColumn("short", _short(F.col("root")))
+    asking = grouped.select(F.col("node").alias("q"), F.col("id").alias("q_id"), F.col("root").alias("q_root"))
+    open_ = written(within.join(asking, "q").join(roots, "short").where(F.col("root") != F.col("q_root")).select("q", "q_id", "qn", "root"))
 
     members = grouped.select("root", F.col("node").alias("m"), F.col("id").alias("m_id"), F.col("n").alias("mn")).join(grouped.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("there")), F.col("root") == F.col("_root")).drop("_root")
     spot = F.pmod(F.xxhash64("m", F.lit(5)), F.lit(1 << 20)) / F.lit(float(1 << 20))
