@@ -100,3 +100,12 @@ def test_language_model_beats_the_base(spark):
     a, b = ({r.doc_id: r for r in x.collect()} for x in (got, small))
     assert all(abs(a[k].base_score - b[k].base_score) < 1e-6 and a[k].n_known == b[k].n_known for k in a)
     assert language_model.score_documents(documents(spark, ROWS)).count() == len(ROWS)
+
+
+def test_every_training_document_goes_through_backpropagation(spark):
+    # only documents that a sample of one in four by hash would leave out
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("pmod(xxhash64(doc_id, 11), 4) <> 0")
+    total = language_model.score_documents(docs).agg(F.sum("base_score"), F.sum("score")).first()
+    assert total[1] > 0.99 * total[0]
+    untrained = language_model.score_documents(docs, train_every=4).agg(F.sum("base_score"), F.sum("score")).first()
+    assert abs(untrained[1] / untrained[0] - 1) < 1e-3

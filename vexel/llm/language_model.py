@@ -22,8 +22,8 @@ from ._words import chunks
 VOCABULARY = 1 << 20
 HINTS, SOFT_BANDS, BAND_WORDS, FLAT_BANDS = 8, 4, 32, 4
 STATE, WINDOW, LANES, SCORE_LANES, SCORE_WINDOW = 16, 16, 64, 256, 64
-#: One in TRAIN_EVERY training documents, by hash of the id, goes through backpropagation; counts are over all.
-TRAIN_EVERY = 4
+#: One in TRAIN_EVERY training documents, by hash of the id, goes through backpropagation: all of them, unless a caller asks for less.
+TRAIN_EVERY = 1
 RATE, CLIP, SEED = 0.02, 1.0, 7
 #: Tokens that a task counts before it hands on.
 COUNT_TOKENS = 1 << 21
@@ -209,6 +209,7 @@ def _train(shared):
             size = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
             steps += 1
             rate = RATE * min(1.0, CLIP / (size + 1e-9)) if size > CLIP else RATE
+            rate *= n_used / (WINDOW * LANES)  # else a task's last long documents, alone in their lanes, outweigh all others
             rate *= np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps) / (1 + steps / 2000) ** 0.5
             for k, a in g.items():
                 m1[k] += 0.1 * (a - m1[k])
