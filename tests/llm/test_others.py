@@ -109,3 +109,16 @@ def test_every_training_document_goes_through_backpropagation(spark):
     assert total[1] > 0.99 * total[0]
     untrained = language_model.score_documents(docs, train_every=4).agg(F.sum("base_score"), F.sum("score")).first()
     assert abs(untrained[1] / untrained[0] - 1) < 1e-3
+
+
+def test_a_large_group_leaves_no_shard_empty(spark):
+    assert sorted(shards.pack_into([(4, name) for name in "abcd"], 3)[1]) == [4, 4, 8]
+    _, loads = shards.pack_into([(3000, "large"), *((1 + k % 7, f"s{k}") for k in range(1500))], 16)
+    small = sorted(loads)[:-1]
+    assert len(loads) == 16 and max(loads) == 3000 and sum(loads) == 3000 + sum(1 + k % 7 for k in range(1500)) and max(small) <= 1.02 * min(small)
+    copies = [(k, "same text here " * 20, "en", "s") for k in range(200)]
+    others = [(1000 + k, f"text {k} " * 12, "en", "s") for k in range(1000)]
+    got = shards.assign_shards(documents(spark, copies + others)).groupBy("shard").agg(F.sum("size").alias("n"), F.countDistinct("text").alias("texts")).collect()
+    assert len(got) == 16 and max(got, key=lambda r: r.n).texts == 1
+    small = sorted(r.n for r in got)[:-1]
+    assert small[-1] < 1.2 * small[0]

@@ -129,28 +129,50 @@ def best_fit_decreasing(items: Iterable[tuple[int, str]], capacity: int) -> tupl
 
 
 def pack_into(items: list[tuple[int, str]], shards: int) -> tuple[dict[str, int], list[int]]:
-    """best_fit_decreasing() with the least capacity, by bisection, that needs no more than `shards` bins."""
-    low = max(-(-sum(s for s, _ in items) // shards), max((s for s, _ in items), default=0), 1)
-    bins, loads = best_fit_decreasing(items, low)
-    high = low
-    while len(loads) > shards:
+    """Bins as by best_fit_decreasing(), `shards` of them if there are as many items.
+
+    An item larger than the average of the bins left has a bin to itself; the others get the least capacity, by
+    bisection, that needs no more than the bins left. Bins that stay empty take half of the fullest ones' items.
+    """
+    order = sorted(items, key=lambda x: (-x[0], x[1]))
+    alone, left = 0, sum(s for s, _ in order)
+    while alone < min(shards - 1, len(order)) and order[alone][0] * (shards - alone) > left:
+        left -= order[alone][0]
+        alone += 1
+    rest, most = order[alone:], shards - alone
+    low = high = max(-(-left // most), 1)
+    bins, loads = best_fit_decreasing(rest, low)
+    while len(loads) > most:
         high += -(-high // 64)
-        bins, loads = best_fit_decreasing(items, high)
+        bins, loads = best_fit_decreasing(rest, high)
     while high - low > 1 and high - low > low // 10_000:
         middle = (low + high) // 2
-        found = best_fit_decreasing(items, middle)
-        if len(found[1]) <= shards:
+        found = best_fit_decreasing(rest, middle)
+        if len(found[1]) <= most:
             high, (bins, loads) = middle, found
         else:
             low = middle
-    return bins, loads
+    held = [[] for _ in loads]
+    for item in rest:
+        held[bins[item[1]]].append(item)
+    while len(held) < most and (full := [k for k, x in enumerate(held) if len(x) > 1]):
+        k = max(full, key=lambda k: sum(s for s, _ in held[k]))
+        halves, sizes = ([], []), [0, 0]
+        for item in held[k]:
+            at = int(sizes[1] < sizes[0])
+            halves[at].append(item)
+            sizes[at] += item[0]
+        held[k] = halves[0]
+        held.append(halves[1])
+    held = [[x] for x in order[:alone]] + held
+    return {name: k for k, x in enumerate(held) for _, name in x}, [sum(s for s, _ in x) for x in held]
 
 
 def assign_shards(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = None, text_col: str = "text", id_col: str = "doc_id", fine: int = FINE, keep: tuple[str, ...] | None = None) -> DataFrame:
     """docs, all columns (or those in `keep`), with size long (UTF-8 bytes plus 1), shard int, slot long (from 0 without gaps in each shard).
 
     Equal texts share a shard; null texts are one group, each of size 1. Either `shards` is given, and sizes come out
-    near equal, or `capacity`, and best fit opens as few bins of it as it finds; a group above the capacity has a shard
+    near equal but for groups above the average, each in a shard of its own, or `capacity`, and best fit opens as few bins of it as it finds; a group above the capacity has a shard
     to itself. Repeated rows are rows of their own. An empty table gives an empty result. Own columns named like the
     three new ones are replaced.
     """
