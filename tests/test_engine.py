@@ -1,8 +1,10 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vexel import catalogue
 from vexel.engine import Engine
 from vexel.functions import text as T
 from vexel.functions.ring import shard_of
@@ -93,3 +95,41 @@ def test_engine_round_trip(spark, tmp_path):
     spark.createDataFrame([("n", [0.0, 1.0, 0.0], None, None)], "id string, values array<float>, payload string, sparse struct<indices:array<bigint>,values:array<float>>").write.parquet(source)
     engine.import_stream("docs", source, f"file://{tmp_path}/check")
     assert engine.describe("docs")["count"] == 4
+
+
+def brute_force(rows, score, k=10, keep=lambda r: True):
+    """query_id, id, rank of the k best of the rows that keep() lets by, for each row whose id is divisible by 20."""
+    found = set()
+    some = [r for r in rows if keep(r)]
+    x = np.array([r.embedding for r in some], float)
+    for q in rows:
+        if q.vec_id % 20 == 0:
+            scores = score(x, np.array(q.embedding, float))
+            order = sorted(range(len(some)), key=lambda i: (-scores[i], str(some[i].vec_id)))
+            found |= {(q.vec_id, str(some[i].vec_id), at + 1) for at, i in enumerate(order[:k])}
+    return found
+
+
+def test_whole_searches_against_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    cosine = lambda x, q: x @ q / np.linalg.norm(x, axis=1) / np.linalg.norm(q)
+    euclidean = lambda x, q: -((x - q) ** 2).sum(1)
+    dot = lambda x, q: x @ q
+    got = lambda name: {(r.query_id, r.id, r["rank"]) for r in catalogue.QUERIES[name](spark, sf).collect()}
+    nearest = brute_force(rows, cosine)
+    assert len({q for q, _, _ in nearest}) == sum(r.vec_id % 20 == 0 for r in rows) > 20
+    for name in ("dense_cosine_topk", "dense_batch_topk", "shard_merge_topk"):
+        assert got(f"{name}_whole") == nearest
+    assert got("filter_ids_semi_whole") == {x for x in nearest if int(x[1]) % 2 == 0}
+    assert got("dense_euclidean_topk_whole") == got("dense_batch_euclidean_whole") == brute_force(rows, euclidean)
+    assert got("dense_dot_topk_whole") == brute_force(rows, dot)
+    assert got("dense_overfetch_2k_whole") == brute_force(rows, cosine, 20)
+    labels = {"match": lambda n: n == 3, "any_of": lambda n: n in (1, 4, 7), "range": lambda n: 2 <= n < 5, "must_not": lambda n: n not in (0, 5, 6), "should": lambda n: n == 1 or n > 7, "nested": lambda n: n < 8 and n in (2, 6, 7), "exists": lambda n: True}
+    for name, law in labels.items():
+        assert got(f"filtered_dense_{name}_whole") == brute_force(rows, cosine, keep=lambda r, law=law: law(r.label))
+    votes = catalogue.QUERIES["knn_label_vote_whole"](spark, sf).groupBy("query_id").agg(F.sum("votes").alias("n")).collect()
+    assert {r.query_id for r in votes} == {q for q, _, _ in nearest} and all(r.n == 15 for r in votes)
+    for name in ("hybrid_rrf", "hybrid_rrf_single_list", "hybrid_weighted", "hybrid_weighted_dense", "minmax_normalize", "ann_ivf_topk"):
+        who = catalogue.QUERIES.get(f"{name}_whole", catalogue.QUERIES[name])(spark, sf).select("query_id").distinct().collect()
+        assert {r.query_id for r in who} == {q for q, _, _ in nearest}
+    assert catalogue.QUERIES["recall_ground_truth_whole"](spark, sf).first()[0] == 1

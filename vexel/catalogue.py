@@ -34,8 +34,10 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("values"), F.to_json(F.struct("label")).alias("payload"))
 
 
-def asked(spark, d, n: int = 5) -> DataFrame:
-    return _t(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query"))
+def asked(spark, d, n: int | None = 5) -> DataFrame:
+    """Rows as queries: ids below n, as the SQL has them, or for None all ids divisible by 20."""
+    own = F.col("vec_id") % 20 == 0 if n is None else F.col("vec_id") < n
+    return _t(spark, d, "embeddings").where(own).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query"))
 
 
 def texts(spark, d) -> DataFrame:
@@ -66,33 +68,33 @@ def dense_sql(metric="cosine", k=10, where="true", extra="") -> str:
 
 
 @query(dense_sql("cosine"))
-def dense_cosine_topk(spark, d):
-    return _out(dense.exact(points(spark, d), asked(spark, d), Metric.COSINE, 10))
+def dense_cosine_topk(spark, d, n=5):
+    return _out(dense.exact(points(spark, d), asked(spark, d, n), Metric.COSINE, 10))
 
 
 @query(dense_sql("euclidean"))
-def dense_euclidean_topk(spark, d):
-    return _out(dense.exact(points(spark, d), asked(spark, d), Metric.EUCLIDEAN, 10))
+def dense_euclidean_topk(spark, d, n=5):
+    return _out(dense.exact(points(spark, d), asked(spark, d, n), Metric.EUCLIDEAN, 10))
 
 
 @query(dense_sql("dot"))
-def dense_dot_topk(spark, d):
-    return _out(dense.exact(points(spark, d), asked(spark, d), Metric.DOT, 10))
+def dense_dot_topk(spark, d, n=5):
+    return _out(dense.exact(points(spark, d), asked(spark, d, n), Metric.DOT, 10))
 
 
 @query(dense_sql("cosine"))
-def dense_batch_topk(spark, d):
-    return _out(dense.batch(points(spark, d), asked(spark, d), Metric.COSINE, 10))
+def dense_batch_topk(spark, d, n=5):
+    return _out(dense.batch(points(spark, d), asked(spark, d, n), Metric.COSINE, 10))
 
 
 @query(dense_sql("euclidean").replace("vec_id < 5", "vec_id < 40"))
-def dense_batch_euclidean(spark, d):
-    return _out(dense.batch(points(spark, d), asked(spark, d, 40), Metric.EUCLIDEAN, 10))
+def dense_batch_euclidean(spark, d, n=40):
+    return _out(dense.batch(points(spark, d), asked(spark, d, n), Metric.EUCLIDEAN, 10))
 
 
 @query(dense_sql("cosine", 20))
-def dense_overfetch_2k(spark, d):
-    return _out(dense.exact(points(spark, d), asked(spark, d), Metric.COSINE, 2 * 10))
+def dense_overfetch_2k(spark, d, n=5):
+    return _out(dense.exact(points(spark, d), asked(spark, d, n), Metric.COSINE, 2 * 10))
 
 
 @query(f"""WITH e AS ({E_SQL} UNION ALL SELECT 'zero', list_transform(range(64), lambda x: 0.0::DOUBLE), 0),
@@ -112,51 +114,51 @@ def dense_single_query_limit(spark, d):
     return s.orderBy(F.desc("s"), "id").limit(7).select("id", F.round("s", 6).alias("score"))
 
 
-def _filtered(spark, d, rule, k=10):
+def _filtered(spark, d, rule, n, k=10):
     p = points(spark, d)
-    return _out(dense.exact(p.where(compile_filter(rule, payload_variant(F.col("payload")))), asked(spark, d), Metric.COSINE, k))
+    return _out(dense.exact(p.where(compile_filter(rule, payload_variant(F.col("payload")))), asked(spark, d, n), Metric.COSINE, k))
 
 
 @query(dense_sql(where="label = 3"))
-def filtered_dense_match(spark, d):
-    return _filtered(spark, d, {"must": [{"key": "label", "match": 3}]})
+def filtered_dense_match(spark, d, n=5):
+    return _filtered(spark, d, {"must": [{"key": "label", "match": 3}]}, n)
 
 
 @query(dense_sql(where="label IN (1, 4, 7)"))
-def filtered_dense_any_of(spark, d):
-    return _filtered(spark, d, {"must": [{"key": "label", "any_of": [1, 4, 7]}]})
+def filtered_dense_any_of(spark, d, n=5):
+    return _filtered(spark, d, {"must": [{"key": "label", "any_of": [1, 4, 7]}]}, n)
 
 
 @query(dense_sql(where="label >= 2 AND label < 5"))
-def filtered_dense_range(spark, d):
-    return _filtered(spark, d, {"must": [{"key": "label", "range": {"gte": 2, "lt": 5}}]})
+def filtered_dense_range(spark, d, n=5):
+    return _filtered(spark, d, {"must": [{"key": "label", "range": {"gte": 2, "lt": 5}}]}, n)
 
 
 @query(dense_sql(where="label IS NOT NULL"))
-def filtered_dense_exists(spark, d):
-    return _filtered(spark, d, {"must": [{"key": "label", "exists": True}, {"key": "none.such", "exists": False}]})
+def filtered_dense_exists(spark, d, n=5):
+    return _filtered(spark, d, {"must": [{"key": "label", "exists": True}, {"key": "none.such", "exists": False}]}, n)
 
 
 @query(dense_sql(where="label <> 0 AND label NOT IN (5, 6)"))
-def filtered_dense_must_not(spark, d):
-    return _filtered(spark, d, {"must_not": [{"key": "label", "match": 0}, {"key": "label", "any_of": [5, 6]}]})
+def filtered_dense_must_not(spark, d, n=5):
+    return _filtered(spark, d, {"must_not": [{"key": "label", "match": 0}, {"key": "label", "any_of": [5, 6]}]}, n)
 
 
 @query(dense_sql(where="label = 1 OR label > 7"))
-def filtered_dense_should(spark, d):
-    return _filtered(spark, d, {"should": [{"key": "label", "match": 1}, {"key": "label", "range": {"gt": 7}}]})
+def filtered_dense_should(spark, d, n=5):
+    return _filtered(spark, d, {"should": [{"key": "label", "match": 1}, {"key": "label", "range": {"gt": 7}}]}, n)
 
 
 @query(dense_sql(where="label < 8 AND (label = 2 OR NOT label < 6)"))
-def filtered_dense_nested(spark, d):
+def filtered_dense_nested(spark, d, n=5):
     inner = {"should": [{"key": "label", "match": 2}, {"filter": {"must_not": [{"key": "label", "range": {"lt": 6}}]}}]}
-    return _filtered(spark, d, {"must": [{"key": "label", "range": {"lt": 8}}, {"filter": inner}]})
+    return _filtered(spark, d, {"must": [{"key": "label", "range": {"lt": 8}}, {"filter": inner}]}, n)
 
 
 @query(dense_sql(extra="AND CAST(id AS BIGINT) % 2 = 0"))
-def filter_ids_semi(spark, d):
+def filter_ids_semi(spark, d, n=5):
     allowed = points(spark, d).where("cast(id as long) % 2 = 0").select("id")
-    return _out(topk.restrict(dense.exact(points(spark, d), asked(spark, d), Metric.COSINE, 10), allowed))
+    return _out(topk.restrict(dense.exact(points(spark, d), asked(spark, d, n), Metric.COSINE, 10), allowed))
 
 
 def _events(spark, d):
@@ -284,10 +286,10 @@ def sparse_dot_pairs(spark, d):
     return a.crossJoin(F.broadcast(b)).select("a", "b", F.round(V.sparse_dot(F.col("x"), F.col("y")), 6).alias("product"))
 
 
-def _fusion_lists(spark, d, k=20):
-    h = hybrid(spark, d)
-    dense_hits = dense.exact(h, asked(spark, d, 1), Metric.COSINE, k)
-    return dense_hits, lexical.bm25_search(texts(spark, d), words(spark, [(0, "The idiot, released")]), k)
+def _fusion_lists(spark, d, n, k=20):
+    h, q = hybrid(spark, d), asked(spark, d, n)
+    dense_hits = dense.exact(h, q, Metric.COSINE, k)
+    return dense_hits, lexical.bm25_search(texts(spark, d), q.select("query_id", F.lit("The idiot, released").alias("text")), k)
 
 
 FUSION = f"""{bm25_sql(ASK, 20)}, ds AS (SELECT CAST(0 AS BIGINT) AS query_id, id, list_cosine_similarity(v, q) AS score FROM ({E_SQL}) JOIN documents ON CAST(doc_id AS VARCHAR) = id, ({Q_SQL}) WHERE query_id = 0),
@@ -296,19 +298,19 @@ RRF = f"WITH {FUSION}, u AS (SELECT id, rank FROM dn UNION ALL SELECT id, rank F
 
 
 @query(f"{RRF} SELECT CAST(0 AS BIGINT) AS query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
-def hybrid_rrf(spark, d):
-    return _out(topk.rrf(list(_fusion_lists(spark, d)), 10))
+def hybrid_rrf(spark, d, n=1):
+    return _out(topk.rrf(list(_fusion_lists(spark, d, n)), 10))
 
 
 @query(f"WITH {FUSION} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM dn WHERE rank <= 10")
-def hybrid_rrf_single_list(spark, d):
-    dense_hits, other = _fusion_lists(spark, d)
+def hybrid_rrf_single_list(spark, d, n=1):
+    dense_hits, other = _fusion_lists(spark, d, n)
     return _out(topk.rrf([dense_hits, other.where("false")], 10))
 
 
 @query(f"{RRF}, t AS (SELECT * FROM r WHERE rank <= 10) SELECT CAST(0 AS BIGINT) AS query_id, id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank FROM t JOIN documents ON CAST(doc_id AS VARCHAR) = id WHERE lang = 'en'")
-def hybrid_rrf_filtered(spark, d):
-    hits = topk.rrf(list(_fusion_lists(spark, d)), 10)
+def hybrid_rrf_filtered(spark, d, n=1):
+    hits = topk.rrf(list(_fusion_lists(spark, d, n)), 10)
     passed = _t(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("id"))
     return _out(topk.ranked(hits.drop("rank").join(passed, "id", "left_semi"), 10))
 
@@ -320,36 +322,36 @@ def weighted_sql(alpha: float) -> str:
 
 
 @query(weighted_sql(0.5))
-def hybrid_weighted(spark, d):
-    a, b = _fusion_lists(spark, d)
+def hybrid_weighted(spark, d, n=1):
+    a, b = _fusion_lists(spark, d, n)
     return _out(topk.weighted(a, [b], 0.5, 10))
 
 
 @query(weighted_sql(0.75))
-def hybrid_weighted_dense(spark, d):
-    a, b = _fusion_lists(spark, d)
+def hybrid_weighted_dense(spark, d, n=1):
+    a, b = _fusion_lists(spark, d, n)
     return _out(topk.weighted(a, [b], 0.75, 10))
 
 
 @query(f"""WITH {FUSION}, l AS (SELECT id, score, 0 AS n FROM dn UNION ALL SELECT id, score, 1 FROM bm),
 m AS (SELECT id, n, (score - min(score) OVER ()) / greatest(max(score) OVER () - min(score) OVER (), 1e-6) AS s FROM l), o AS (SELECT id, arg_max(s, n) AS s FROM m GROUP BY id)
 SELECT CAST(0 AS BIGINT) AS query_id, id, round(s, 6) AS score, CAST(row_number() OVER (ORDER BY s DESC, id) AS INT) AS rank FROM o QUALIFY row_number() OVER (ORDER BY s DESC, id) <= 10""")
-def hybrid_weighted_lexical_concat(spark, d):
-    a, b = _fusion_lists(spark, d)
+def hybrid_weighted_lexical_concat(spark, d, n=1):
+    a, b = _fusion_lists(spark, d, n)
     return _out(topk.weighted(a.where("false"), [a, b], 0.0, 10))
 
 
 @query(f"""WITH s AS (SELECT query_id, id, {SCORES['cosine']} AS score FROM ({E_SQL}), ({Q_SQL}))
 SELECT query_id, id, round((score - min(score) OVER w) / greatest(max(score) OVER w - min(score) OVER w, 1e-6), 6) AS score FROM s WINDOW w AS (PARTITION BY query_id)""")
-def minmax_normalize(spark, d):
-    pairs = points(spark, d).crossJoin(F.broadcast(asked(spark, d))).select("query_id", "id", V.cosine(V.doubles("values"), F.col("query")).alias("score"))
+def minmax_normalize(spark, d, n=5):
+    pairs = points(spark, d).crossJoin(F.broadcast(asked(spark, d, n))).select("query_id", "id", V.cosine(V.doubles("values"), F.col("query")).alias("score"))
     return topk.normalized(pairs).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query(dense_sql())
-def shard_merge_topk(spark, d):
+def shard_merge_topk(spark, d, n=5):
     p = points(spark, d)
-    return _out(topk.merge_top_k([dense.exact(p.where(F.expr(f"pmod(cast(id as long), 4) = {n}")), asked(spark, d), Metric.COSINE, 20) for n in range(4)], 10))
+    return _out(topk.merge_top_k([dense.exact(p.where(F.expr(f"pmod(cast(id as long), 4) = {part}")), asked(spark, d, n), Metric.COSINE, 20) for part in range(4)], 10))
 
 
 @query("SELECT CAST(vec_id AS VARCHAR) AS id, label FROM embeddings WHERE CAST(vec_id AS VARCHAR) > '25' ORDER BY 1 LIMIT 33")
@@ -440,23 +442,23 @@ def quantize_online(spark, d):
 
 @query(f"""WITH s AS (SELECT query_id, id, label, {SCORES['cosine']} AS score FROM ({E_SQL}), ({Q_SQL}) WHERE id <> CAST(query_id AS VARCHAR)),
 t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 15) SELECT query_id, label, count(*) AS votes FROM t GROUP BY 1, 2""")
-def knn_label_vote(spark, d):
+def knn_label_vote(spark, d, n=5):
     """An extension: labels among a vector's neighbours."""
-    hits = dense.exact(points(spark, d), asked(spark, d), Metric.COSINE, 16).where(F.col("id") != F.col("query_id").cast("string"))
+    hits = dense.exact(points(spark, d), asked(spark, d, n), Metric.COSINE, 16).where(F.col("id") != F.col("query_id").cast("string"))
     hits = topk.ranked(hits.drop("rank"), 15)
     labels = points(spark, d).select("id", F.get_json_object("payload", "$.label").cast("int").alias("label"))
     return hits.join(labels, "id").groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("votes"))
 
 
 @query("SELECT 1.0::DOUBLE AS recall")
-def recall_ground_truth(spark, d):
-    truth = dense.exact(points(spark, d), asked(spark, d, 40), Metric.COSINE, 10)
-    return dense.recall(truth, dense.batch(points(spark, d), asked(spark, d, 40), Metric.COSINE, 10), 10)
+def recall_ground_truth(spark, d, n=40):
+    truth = dense.exact(points(spark, d), asked(spark, d, n), Metric.COSINE, 10)
+    return dense.recall(truth, dense.batch(points(spark, d), asked(spark, d, n), Metric.COSINE, 10), 10)
 
 
 @query()
 def ann_ivf_topk(spark, d):
-    return _out(dense.Ivf.build(points(spark, d), 16).search(asked(spark, d, 40), 10, 10))
+    return _out(dense.Ivf.build(points(spark, d), 16).search(asked(spark, d, None), 10, 10))
 
 
 WORDS = "list_distinct(regexp_extract_all(lower({0}), '([\\p{{L}}\\p{{N}}_]+)', 1))"
@@ -517,3 +519,40 @@ def rebalance_plan(spark, d):
 SELECT round((SELECT avg(value) FROM events), 6) AS avg, max(CASE WHEN i = round((n - 1) * 0.5) THEN x END) AS p50, max(CASE WHEN i = round((n - 1) * 0.95) THEN x END) AS p95, max(CASE WHEN i = round((n - 1) * 0.99) THEN x END) AS p99 FROM v""")
 def latency_percentiles(spark, d):
     return mutations.latency_summary(_t(spark, d, "events"), "value").withColumn("avg", F.round("avg", 6))
+
+
+def _whole(f):
+    """The same with every row whose id is divisible by 20 as a query. The SQL of f asks a prefix of the ids, so this has none."""
+
+    def run(spark, d):
+        return f(spark, d, None)
+
+    return run
+
+
+QUERIES |= {f"{f.__name__}_whole": _whole(f) for f in (
+    dense_cosine_topk,
+    dense_euclidean_topk,
+    dense_dot_topk,
+    dense_batch_topk,
+    dense_batch_euclidean,
+    dense_overfetch_2k,
+    filtered_dense_match,
+    filtered_dense_any_of,
+    filtered_dense_range,
+    filtered_dense_exists,
+    filtered_dense_must_not,
+    filtered_dense_should,
+    filtered_dense_nested,
+    filter_ids_semi,
+    hybrid_rrf,
+    hybrid_rrf_single_list,
+    hybrid_rrf_filtered,
+    hybrid_weighted,
+    hybrid_weighted_dense,
+    hybrid_weighted_lexical_concat,
+    minmax_normalize,
+    shard_merge_topk,
+    knn_label_vote,
+    recall_ground_truth,
+)}
