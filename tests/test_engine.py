@@ -133,3 +133,13 @@ def test_whole_searches_against_brute_force(spark, sf):
         who = catalogue.QUERIES.get(f"{name}_whole", catalogue.QUERIES[name])(spark, sf).select("query_id").distinct().collect()
         assert {r.query_id for r in who} == {q for q, _, _ in nearest}
     assert catalogue.QUERIES["recall_ground_truth_whole"](spark, sf).first()[0] == 1
+
+
+@pytest.mark.parametrize("d", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_the_registered_index(spark, d):
+    d = f"/root/testdata/{d}"
+    hits = catalogue.ann_ivf_topk(spark, d)
+    assert hits.groupBy("query_id", "id").count().where("count > 1").count() == 0
+    found, truth = ({(r.query_id, r.id) for r in x.collect()} for x in (hits, catalogue.QUERIES["dense_batch_topk_whole"](spark, d)))
+    share = len(found & truth) / len(truth)
+    assert share >= 0.9 and catalogue.ann_ivf_recall(spark, d).first()[0] == pytest.approx(share)

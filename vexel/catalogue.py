@@ -456,9 +456,20 @@ def recall_ground_truth(spark, d, n=40):
     return dense.recall(truth, dense.batch(points(spark, d), asked(spark, d, n), Metric.COSINE, 10), 10)
 
 
+#: What the index is registered with.
+IVF_LISTS, IVF_PROBES = 16, 10
+
+
 @query()
 def ann_ivf_topk(spark, d):
-    return _out(dense.Ivf.build(points(spark, d), 16).search(asked(spark, d, None), 10, 10))
+    return _out(dense.Ivf.build(points(spark, d), IVF_LISTS).search(asked(spark, d, None), 10, IVF_PROBES))
+
+
+@query()
+def ann_ivf_recall(spark, d):
+    """Of the true neighbours, the share that the index finds."""
+    truth = dense.batch(points(spark, d), asked(spark, d, None), Metric.COSINE, 10)
+    return dense.recall(truth, ann_ivf_topk(spark, d), 10)
 
 
 WORDS = "list_distinct(regexp_extract_all(lower({0}), '([\\p{{L}}\\p{{N}}_]+)', 1))"

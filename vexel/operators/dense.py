@@ -81,7 +81,7 @@ def check_dimension(points: DataFrame, dimension: int) -> DataFrame:
 
 
 class Ivf:
-    """Inverted lists: k-means centroids on the driver (lists * dimension numbers), points with their list's number."""
+    """Inverted lists: k-means centroids on the driver (lists * dimension numbers), points with the numbers of their two nearest lists."""
 
     def __init__(self, centroids: np.ndarray, assigned: DataFrame, metric: Metric):
         self.centroids, self.assigned, self.metric = centroids, assigned, metric
@@ -102,29 +102,59 @@ class Ivf:
                     centers[c] = x[near == c].mean(axis=0)
         shared = points.sparkSession.sparkContext.broadcast(centers)
 
-        @F.pandas_udf("int")
+        @F.pandas_udf("array<int>")
         def nearest(v: pd.Series) -> pd.Series:
             y = cls._scale(np.stack([np.asarray(r, float) for r in v]), metric)
             c = shared.value
-            return pd.Series(np.argmin((c * c).sum(1)[None] - 2 * y @ c.T, axis=1), dtype="int32")
+            return pd.Series(list(np.argsort((c * c).sum(1)[None] - 2 * y @ c.T, axis=1, kind="stable")[:, :2].astype("int32")))
 
-        return cls(centers, points.select("id", "values").withColumn("list", nearest("values")), metric)
+        return cls(centers, points.select("id", "values").withColumn("lists", nearest("values")), metric)
 
     @staticmethod
     def _scale(x: np.ndarray, metric: Metric) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if metric is Metric.COSINE else x
 
-    def search(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
-        """Each query's nearest lists join the points of those lists; scores there are exact."""
-        centers = self.centroids
-        rows = []
+    def search(self, queries: DataFrame, k: int, probes: int = 8, block: int = QUERY_BLOCK) -> DataFrame:
+        """Blocks of queries travel to the points; a query meets those whose first or second list is among its nearest lists. Scores are exact."""
+        centers, metric, scale, spark = self.centroids, self.metric, self._scale, queries.sparkSession
+        out, names, rows = None, [], []
+
+        def find(names, rows):
+            q = np.array(rows, float)
+            y = scale(q, metric)
+            order = np.argsort((centers * centers).sum(1)[None] - 2 * y @ centers.T, axis=1, kind="stable")[:, :probes]
+            probed = np.zeros((len(q), len(centers)), bool)
+            np.put_along_axis(probed, order, True, axis=1)
+            shared = spark.sparkContext.broadcast((np.array(names, np.int64), q, probed))
+
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                who, q, probed = shared.value
+                for b in batches:
+                    if not len(b):
+                        continue
+                    ids, v, lists = b["id"].to_numpy(), np.stack(b["v"].to_numpy()), np.stack(b["lists"].to_numpy())
+                    for c in np.unique(lists):
+                        some, own = np.flatnonzero(probed[:, c]), np.flatnonzero((lists == c).any(axis=1))
+                        if not len(some):
+                            continue
+                        first = lists[own, 0]
+                        # a point is met through its second list only where its first isn't probed
+                        met = (first == c)[None] | ~probed[some][:, first]
+                        hits = _best(ids[own], np.where(met, _scores(q[some], v[own], metric), -np.inf), who[some], k)
+                        yield hits[np.isfinite(hits["score"])]
+
+            return ranked(self.assigned.select("id", V.doubles("values").alias("v"), "lists").mapInPandas(run, HIT_TYPE), k)
+
         for r in queries.select("query_id", V.doubles("query").alias("query")).toLocalIterator():
-            q = self._scale(np.array([r.query]), self.metric)[0]
-            near = np.argsort(((centers - q) ** 2).sum(1), kind="stable")[:probes]
-            rows += [(r.query_id, [float(x) for x in r.query], int(c)) for c in near]
-        probed = queries.sparkSession.createDataFrame(rows, "query_id long, q array<double>, list int")
-        pairs = self.assigned.join(probed, "list").select("query_id", "id", V.score(V.doubles("values"), F.col("q"), self.metric).alias("score"))
-        return ranked(pairs, k)
+            names.append(r.query_id)
+            rows.append(r.query)
+            if len(names) == block:
+                part = find(names, rows)
+                out, names, rows = part if out is None else out.unionByName(part), [], []
+        if names:
+            part = find(names, rows)
+            out = part if out is None else out.unionByName(part)
+        return out if out is not None else spark.createDataFrame([], HIT_TYPE + ", rank int")
 
 
 def recall(truth: DataFrame, got: DataFrame, k: int) -> DataFrame:
