@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -143,3 +144,12 @@ def test_recall_of_the_registered_index(spark, d):
     found, truth = ({(r.query_id, r.id) for r in x.collect()} for x in (hits, catalogue.QUERIES["dense_batch_topk_whole"](spark, d)))
     share = len(found & truth) / len(truth)
     assert share >= 0.9 and catalogue.ann_ivf_recall(spark, d).first()[0] == pytest.approx(share)
+
+
+def test_sparse_pairs_with_all_documents(spark, sf):
+    lengths = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", T.tokens(F.col("text")).alias("t")).collect():
+        lengths[r.doc_id] = Counter(map(len, r.t or []))
+    want = {(str(a), str(b)): sum(n * y[k] for k, n in x.items()) for a, x in lengths.items() if a % 20 == 0 for b, y in lengths.items() if x.keys() & y.keys()}
+    assert len({b for _, b in want}) > 100
+    assert {(r.a, r.b): r["product"] for r in catalogue.QUERIES["sparse_dot_pairs_whole"](spark, sf).collect()} == want

@@ -286,6 +286,15 @@ def sparse_dot_pairs(spark, d):
     return a.crossJoin(F.broadcast(b)).select("a", "b", F.round(V.sparse_dot(F.col("x"), F.col("y")), 6).alias("product"))
 
 
+@query()
+def sparse_dot_pairs_whole(spark, d):
+    """Documents whose id is divisible by 20 with all documents that share an index, by postings."""
+    p = lexical.sparse_postings(_sparse_points(spark, d))
+    a = p.where("cast(id as long) % 20 = 0").select(F.col("id").alias("a"), "idx", F.col("weight").alias("x"))
+    b = p.select(F.col("id").alias("b"), "idx", F.col("weight").alias("y"))
+    return a.join(b, "idx").groupBy("a", "b").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("product"))
+
+
 def _fusion_lists(spark, d, n, k=20):
     h, q = hybrid(spark, d), asked(spark, d, n)
     dense_hits = dense.exact(h, q, Metric.COSINE, k)
