@@ -61,3 +61,12 @@ def test_texts_without_repeats_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b\nc", "x", 1), (2, "a b\nd", "y", 2), (3, None, "z", 3)], "doc_id long, text string, line string, at int")
     assert [tuple(r) for r in dedup_lines(docs).orderBy("doc_id").collect()] == [(1, "a b\nc", "x", 1), (2, "d", "y", 2), (3, None, "z", 3)]
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_documents_without_an_id_are_apart(spark):
+    same, near_it = "a b c d e f g h i j", "a b c d X f g h i j"
+    rows = [(None, f"{same}\nfirst text"), (None, f"{same}\nsecond text"), (None, f"{near_it}\nthird text"), (5, None)]
+    got = repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # every one of the three like lines but the earliest
+    assert all(r.doc_id is None and r.line_no == 0 and r.first_doc is None and r.first_line == 0 for r in got)
+    assert len(got) == 2 and "near" in {r.like for r in got}

@@ -36,13 +36,14 @@ def _half_keys(w: str) -> dict[str, Column]:
 
 
 def _place(doc_id: str, line_no: str) -> Column:
-    """doc_id and line_no as one number in their order, null ids last: aggregates of it need no sort."""
-    return (F.coalesce(F.col(doc_id).cast("decimal(20,0)"), F.lit(str(NO_ID)).cast("decimal(20,0)")) * F.lit(LINES).cast("decimal(11,0)") + F.col(line_no)).cast("decimal(38,0)")
+    """doc_id and line_no as one number in their order, null ids last, by a hash of their text: aggregates of it need no sort."""
+    no_id = (F.lit(str(NO_ID)).cast("decimal(20,0)") + F.col("text_hash").cast("decimal(19,0)")).cast("decimal(20,0)")
+    return (F.coalesce(F.col(doc_id).cast("decimal(20,0)"), no_id) * F.lit(LINES).cast("decimal(11,0)") + F.col(line_no)).cast("decimal(38,0)")
 
 
 def _doc_of(place: Column) -> Column:
     doc = F.floor(place / F.lit(LINES)).cast("decimal(20,0)")
-    return F.when(doc != F.lit(str(NO_ID)).cast("decimal(20,0)"), doc.cast("long"))
+    return F.when(doc < F.lit(str(NO_ID)).cast("decimal(20,0)"), doc.cast("long"))
 
 
 def _line_of(place: Column) -> Column:
@@ -82,7 +83,9 @@ def _near(a: Column, b: Column) -> Column:
 
 
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "raw"))
+    # 63 bits, of texts without an id alone
+    text_hash = F.when(F.col(id_col).isNull(), F.shiftrightunsigned(F.xxhash64(text_col), 1)).otherwise(0)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash.alias("text_hash"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "raw"))
 
 
 def _bit(place: Column) -> Column:
@@ -103,10 +106,11 @@ def repeated_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     Earlier is the smaller (doc_id, line_no), null ids last. Lines compare as lists of words, [^\\x20\\x09-\\x0D]+, as they
     stand; lines without words are left alone. `near` lines have at least `least_words` words and no equal earlier line
     of their own; first_doc and first_line name the earliest line that is near, whether or not that stays. A null text
-    has no lines. Repeated rows count as one line; an empty table gives an empty result.
+    has no lines. Repeated rows count as one line, and so do rows without an
+    id whose texts are equal; an empty table gives an empty result.
     """
     raw = _lines(docs, text_col, id_col)
-    lines = raw.select("doc_id", "line_no", _words(F.col("raw")).alias("w")).where(F.size("w") > 0)
+    lines = raw.select("doc_id", "text_hash", "line_no", _words(F.col("raw")).alias("w")).where(F.size("w") > 0)
     halves = {k: F.when(F.size("w") >= least_words, h) for k, h in _half_keys("w").items()}
     seen = written(lines.select(_place("doc_id", "line_no").alias("at"), F.xxhash64("w").alias("line"), *[h.alias(k) for k, h in halves.items()]))
     classes = written(seen.groupBy("line").agg(F.min("at").alias("at"), *[F.min(k).alias(k) for k in halves]))
