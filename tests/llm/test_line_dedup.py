@@ -1,3 +1,5 @@
+import time
+
 from vexel.llm.line_dedup import dedup_lines, repeated_lines
 
 
@@ -24,7 +26,7 @@ def brute(rows):
         if equal:
             out.add((doc, no, "equal", min(equal)[1], min(equal)[2]))
             continue
-        close = [x for x in lines if x[0] < at and len(w) >= 8 and len(x[3]) >= 8 and near(w, x[3])]
+        close = [x for x in lines if x[0] < at and len(w) >= 4 and len(x[3]) >= 4 and near(w, x[3])]
         if close:
             first = min(close, key=lambda x: x[0])
             out.add((doc, no, "near", first[1], first[2]))
@@ -63,10 +65,20 @@ def test_texts_without_repeats_and_clashing_columns(spark):
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
-def test_documents_without_an_id_are_apart(spark):
-    same, near_it = "a b c d e f g h i j", "a b c d X f g h i j"
-    rows = [(None, f"{same}\nfirst text"), (None, f"{same}\nsecond text"), (None, f"{near_it}\nthird text"), (5, None)]
-    got = repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+def test_near_lines_without_an_id_and_under_one(spark):
+    x, z, near_x = "a b c d e f g h i j", "k l m n o p q r s t", "a b c d X f g h i j"
+    report = lambda rows: [tuple(r) for r in repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert report([(None, x), (None, z), (5, near_x)]) == [(None, 0, "near", 5, 0)]
+    assert report([(1, x), (1, z), (5, near_x)]) == [(5, 0, "near", 1, 0)]
+    assert report([(1, x), (1, near_x), (1, x)]) == [(1, 0, "near", 1, 0)]
     # every one of the three like lines but the earliest
-    assert all(r.doc_id is None and r.line_no == 0 and r.first_doc is None and r.first_line == 0 for r in got)
-    assert len(got) == 2 and "near" in {r.like for r in got}
+    got = report([(None, f"{x}\nfirst text"), (None, f"{x}\nsecond text"), (None, f"{near_x}\nthird text"), (5, None)])
+    assert len(got) == 2 and all((r[0], r[1], r[3], r[4]) == (None, 0, None, 0) for r in got) and "near" in {r[2] for r in got}
+
+
+def test_long_lines_take_linear_time(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:150_000], "other", *words[150_001:]])), (3, " ".join(words[:77] + words[78:]))]
+    began = time.time()
+    got = {tuple(r) for r in repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2, 0, "near", 1, 0), (3, 0, "near", 1, 0)} and time.time() - began < 90

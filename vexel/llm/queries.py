@@ -47,4 +47,4 @@ def op10_decontaminate(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality, op3_mixing, op4_fingerprint, op5_chat_format, op6_line_dedup, op7_sharding, op8_lm_score, op9_url_filter, op10_decontaminate)}
-ORACLES = {"op1_ngram_join": ngram_join.ORACLE, "op3_mixing": mixture.ORACLE, "op5_chat_format": chat.ORACLE, "op9_url_filter": url_rules.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op1_ngram_join": ngram_join.ORACLE, "op3_mixing": mixture.ORACLE, "op5_chat_format": chat.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op9_url_filter": url_rules.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
