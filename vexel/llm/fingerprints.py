@@ -1,24 +1,27 @@
 """Document fingerprints by order MinHash, in DataFrame functions only.
 
-The k-mers of a text are runs of GRAM words, each numbered by its occurrence, so that repeats count. Of the pairs
-(k-mer, occurrence), hashed, the SAMPLE least are kept. They fall in BINS by hash; in each bin the TUPLE least stay, in
-the order of the text, and the tuple is hashed. A bin agrees between two texts if the same k-mers were chosen and stand in the
-same order, so likeness falls with edit distance, moved passages included.
+The k-mers of a text are runs of GRAM words, each numbered by its occurrence, so that repeats count. The pairs (k-mer,
+occurrence) are hashed, and the hash deals them over BINS; of all pairs in a bin the TUPLE least stay, in the order of the
+text, and the tuple is hashed. A bin agrees between two texts if the same k-mers were chosen and stand in the same order,
+so likeness falls with edit distance, moved passages included.
 
-Within a text, a k-mer is 40 bits of hash above 24 bits of position in one long: sorting longs then groups k-mers in the
-order of the text. Words past the 2**24th share positions again, from 0 on.
+Within a text, a k-mer is 37 bits of hash above its position in one long, so that sorting longs groups k-mers, each in
+the order of the text. An array of strings takes 16 bytes a word at least and 2**31 in all, so positions have room.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GRAM, BINS, TUPLE, SAMPLE = 2, 32, 2, 128
-POSITION = (1 << 24) - 1
-#: Texts in a range of ids, about, when the next document's text is fetched.
-RANGE_ROWS = 2048
-MAX_RANGES = 10_000
+GRAM, BINS, TUPLE = 2, 32, 2
+PLACE_BITS = 27
+PLACE = (1 << PLACE_BITS) - 1
+#: Texts in a range of ids, about, when the next document's text is fetched; from MAX_RANGES on, ranges grow instead.
+RANGE_ROWS, MAX_RANGES = 2048, 10_000
 
 
 def _let(value: Column, body):
@@ -27,36 +30,60 @@ def _let(value: Column, body):
 
 
 def _pack(h: Column, i: Column) -> Column:
-    return F.shiftleft(h, 24).bitwiseOR(F.pmod(i, F.lit(POSITION + 1)).cast("long"))
+    return F.shiftleft(h, PLACE_BITS).bitwiseOR(i)
 
 
 def _high(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 24)
+    return F.shiftrightunsigned(x, PLACE_BITS)
 
 
-def signature(text: Column) -> Column:
-    """BINS longs; null for a bin without k-mers. A text without words has nulls only, one of fewer than GRAM words one k-mer."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def _place(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(PLACE).cast("long"))
+
+
+def _heads(xs: Column, key) -> Column:
+    """The places, from 0, at which the key differs from the one before."""
+    return F.filter(F.transform(xs, lambda x, i: F.when((i == 0) | (key(x) != key(F.get(xs, i - 1))), i)), lambda i: i.isNotNull())
+
+
+def _kmers(words: Column) -> Column:
+    several = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))
+    return F.when(F.size(words) >= GRAM, several).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _numbered(packed: Column) -> Column:
+    """Sorted packed k-mers to sorted packed hashes of (k-mer, occurrence). Run lengths give the occurrences, in one pass."""
+    pair = lambda x, occurrence: _pack(F.xxhash64(_high(x), occurrence), _place(x))
+
+    def from_heads(heads):
+        lengths = F.zip_with(heads, F.concat(F.slice(heads, F.lit(2), F.size(heads)), F.array(F.size(packed))), lambda a, b: b - a)
+        occurrences = F.flatten(F.transform(lengths, lambda n: F.sequence(F.lit(0), n - 1)))
+        repeated = F.zip_with(packed, occurrences, pair)
+        return F.sort_array(F.when(F.size(heads) == F.size(packed), F.transform(packed, lambda x: pair(x, F.lit(0)))).otherwise(repeated))
 
-    def grams(w):
-        several = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.xxhash64(a, b))
-        return F.when(F.size(w) >= GRAM, several).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+    return _let(_heads(packed, _high), from_heads)
 
-    def numbered(s):
-        """Sorted packed k-mers to sorted packed hashes of (k-mer, occurrence)."""
-        return _let(F.transform(s, _high), lambda hs: F.sort_array(F.transform(s, lambda x, i: _pack(F.xxhash64(_high(x), F.when((i > 0) & (_high(x) == F.get(hs, i - 1)), i + 1 - F.array_position(hs, _high(x)).cast("int")).otherwise(F.lit(0))), x.bitwiseAND(F.lit(POSITION))))))
 
-    def bins(low):
-        def one(j):
-            least = F.slice(F.filter(low, lambda x: F.pmod(_high(x), F.lit(BINS)) == j), 1, TUPLE)
-            # position above hash, to stand in the order of the text
-            turned = F.sort_array(F.transform(least, lambda x: F.shiftleft(x.bitwiseAND(F.lit(POSITION)), 40).bitwiseOR(_high(x))))
-            return _let(turned, lambda t: F.when(F.size(t) > 0, F.xxhash64(F.transform(t, lambda x: x.bitwiseAND(F.lit((1 << 40) - 1))))))
+def _bins(pairs: Column) -> Column:
+    """Sorted packed pairs to a hash for each bin, null for those without pairs. Sorted, a bin's pairs stand together."""
+    bin_of = lambda x: F.shiftrightunsigned(x, 64 - (BINS - 1).bit_length()).cast("int")
 
-        return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), one)
+    def tuple_at(i):
+        least = F.filter(F.slice(pairs, i + 1, F.lit(TUPLE)), lambda x: bin_of(x) == bin_of(F.get(pairs, i)))
+        in_order = F.array_sort(F.transform(least, lambda x: F.struct(_place(x).alias("at"), _high(x).alias("h"))))
+        return F.struct(bin_of(F.get(pairs, i)).alias("bin"), F.xxhash64(F.transform(in_order, lambda x: x["h"])).alias("hash"))
 
-    packed = _let(words, lambda w: _let(grams(w), lambda g: F.sort_array(F.transform(g, lambda h, i: _pack(h, i)))))
-    return _let(packed, lambda s: _let(F.slice(numbered(s), 1, SAMPLE), bins))
+    def spread(found):
+        return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.get(F.filter(found, lambda x: x["bin"] == b), F.lit(0))["hash"])
+
+    return _let(F.transform(_heads(pairs, bin_of), tuple_at), spread)
+
+
+def signature(text: Column) -> Column:
+    """BINS longs; null for a bin without k-mers. A text without words has nulls only, one of fewer than GRAM words one k-mer."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    packed = _let(words, lambda w: _let(_kmers(w), lambda g: F.sort_array(F.transform(g, lambda h, i: _pack(h, i.cast("long"))))))
+    return _let(packed, lambda s: _let(_numbered(s), _bins))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -71,46 +98,62 @@ def as_text(signature_: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with signature array<bigint> and fingerprint string. A null text counts as empty. All other columns stay."""
+    """docs with signature array<bigint> and fingerprint string, in the place of own columns of these names.
+
+    A null or empty text has the signature of no k-mers; repeated rows are rows of their own; an empty table gives an empty result.
+    """
     return docs.withColumn("signature", signature(F.coalesce(F.col(text_col), F.lit("")))).withColumn("fingerprint", as_text(F.col("signature")))
 
 
-def with_next(docs: DataFrame, id_col: str, columns: tuple[str, ...], derive=None) -> DataFrame:
-    """docs with next_<column>: those of the next document, descending id (null ids last); after the last, the first.
+def _below(cuts: list[int], x: Column) -> Column:
+    """The number of sorted cuts below x, by every step-th cut and then those of one step."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    longs = lambda xs: F.array(*[F.lit(c).cast("long") for c in xs]).cast("array<bigint>")
+    count = lambda xs: F.size(F.filter(xs, lambda c: c < x))
+    coarse = count(longs(cuts[step - 1 :: step])) * step
+    return _let(coarse, lambda n: n + count(F.slice(longs(cuts), n + 1, F.lit(step))))
+
+
+def with_next(docs: DataFrame, id_col: str, text_col: str, derive=None) -> DataFrame:
+    """docs with next_<column> for the text and what `derive` adds: those of the next document, descending id; after the last, the first.
 
-    Ids are cut into ranges; each range also gets the greatest row of the range below, and the lowest gets the greatest
-    of all, so that one shuffle of the rows and a window in each range do. Rows of one id stand in the order of columns.
-    `derive` may add columns to the rows before they move: to each once, after the lent rows are picked.
+    Null ids stand last; rows of one id, or without one, stand by a hash of their texts. The order is cut into ranges, an id
+    with many rows into several by the hash; each range also gets the first row of the range after it, and the last gets
+    the first of all, so that one shuffle of the rows and a window in each range do. Repeated rows (one id, one text)
+    share a range. `derive` adds columns to the rows before they move, to each once.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    rows = ids.count()
+    own = [c for c in docs.columns if c not in ("_o", "_h", "_range", "_guest")]
+    keyed = docs.select(*own, F.bitwise_not(F.col(id_col).cast("long")).alias("_o"), F.xxhash64(text_col).alias("_h"))  # ~id falls as the id rises
+    rows, nulls = keyed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("_o").isNull().cast("long")), F.lit(0))).first()
     ranges = max(1, min(rows // RANGE_ROWS, MAX_RANGES))
-    cuts = ids.agg(F.percentile_approx("id", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 10 * ranges)).first()[0] if ranges > 1 else []
-    cuts = sorted(set(cuts or []))
-    # the number of cuts below the id: 0 for null ids
-    spot = F.coalesce(F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]).cast("array<bigint>"), lambda c: c < F.col("_id"))), F.lit(0)) if cuts else F.lit(0)
-    ordered = [F.desc_nulls_last("_id"), *[F.col(c) for c in columns]]
-    placed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_range", F.when(F.col("_id").isNull(), F.lit(0)).otherwise(spot))
-    # the first row of each range in the order: its id is the greatest
-    tops = placed.groupBy("_range").agg(F.max("_id").alias("_top")).orderBy("_range").collect()
-    above = {}
-    for here, upper in zip(tops, tops[1:], strict=False):
-        above[here["_range"]] = (here["_top"], upper["_range"])
-    lent = docs.sparkSession.createDataFrame([(r, t, u) for r, (t, u) in above.items()] + ([(tops[-1]["_range"], tops[-1]["_top"], tops[0]["_range"])] if tops else []), "_r int, _t bigint, _up int")
-    lenders = F.broadcast(lent)  # a row a range
-    guests = placed.join(lenders, (F.col("_range") == F.col("_r")) & F.col("_id").eqNullSafe(F.col("_t"))).withColumn("_range", F.col("_up")).withColumn("_guest", F.lit(1)).drop("_r", "_t", "_up")
-    both = placed.withColumn("_guest", F.lit(0)).unionByName(guests)
-    order = Window.partitionBy("_range").orderBy("_guest", *ordered)
-    if derive:
-        both = derive(both)
-    led = both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns} | {"_last": F.lead("_guest").over(order)})
-    return led.where("_guest = 0").drop("_id", "_range", "_guest", "_last")
+    found = keyed.agg(F.percentile_approx("_o", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 10 * ranges)).first()[0] if ranges > 1 else []
+    often = {c: n + 1 for c, n in Counter(found or []).items() if n > 1}
+    cuts = sorted({*(found or []), *(c - 1 for c in often if c > -(1 << 63))})
+    parts = {bisect_left(cuts, c): n for c, n in often.items()} | {len(cuts) + 1: max(1, min(nulls // RANGE_ROWS, MAX_RANGES))}
+    spot = F.when(F.col("_o").isNull(), F.lit(len(cuts) + 1)).otherwise(_below(cuts, F.col("_o")))
+    u = F.shiftrightunsigned(F.col("_h").bitwiseXOR(F.lit(-(1 << 63))), 11) / F.lit(float(1 << 53))  # rises with the hash
+    part = _let(spot, lambda s: F.struct(s.alias("spot"), F.floor(u * F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), s), F.lit(1))).cast("int").alias("part")))
+    placed = keyed.withColumn("_range", part)
+    first = placed.groupBy("_range").agg(F.min(F.struct("_o", "_h")).alias("_first")).orderBy("_range").collect()  # a row a range
+    lent = [(*r["_range"], *r["_first"], *first[k - 1]["_range"]) for k, r in enumerate(first)]
+    lenders = docs.sparkSession.createDataFrame(lent, "_s int, _p int, _ro bigint, _rh bigint, _ts int, _tp int")
+    mine = (F.col("_range.spot") == F.col("_s")) & (F.col("_range.part") == F.col("_p")) & F.col("_o").eqNullSafe(F.col("_ro")) & (F.col("_h") == F.col("_rh"))
+    firsts = placed.join(F.broadcast(lenders), mine).groupBy("_ts", "_tp").agg(F.first("_o").alias("_o"), F.first("_h").alias("_h"), F.min(text_col).alias(text_col))
+    guests = firsts.select(F.col(text_col), "_o", "_h", F.struct(F.col("_ts").alias("spot"), F.col("_tp").alias("part")).alias("_range"), F.lit(1).alias("_guest"))
+    both = placed.withColumn("_guest", F.lit(0)).unionByName(guests, allowMissingColumns=True)
+    led = derive(both) if derive else both
+    lead = [text_col, *[c for c in led.columns if c not in both.columns]]
+    order = Window.partitionBy("_range").orderBy("_guest", F.asc_nulls_last("_o"), "_h", text_col)
+    led = led.withColumns({f"next_{c}": F.lead(c).over(order) for c in lead})
+    return led.where("_guest = 0").drop("_o", "_h", "_range", "_guest")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each document."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    led = with_next(texts, "doc_id", ("text", "signature"), lambda rows: rows.withColumn("signature", signature(F.col("text"))))
+    led = with_next(texts, "doc_id", "text", lambda rows: rows.withColumn("signature", signature(F.col("text"))))
     n, cut = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
     changed = led.select("doc_id", n.cast("long").alias("n_chars"), "signature", "next_signature", edited.alias("edited")).withColumn("edited_signature", signature(F.col("edited")))
