@@ -5,12 +5,12 @@ Text is lower-cased (A-Z only) and cut into words of ASCII digits, ASCII letters
 are hashed in numpy, looked up in the sorted window hashes, and a hit is verified against the item's words.
 
 Items come in blocks of at most BLOCK_BYTES of text, so that what is broadcast is bounded. Nearly always there is one
-block; each further one is a further pass over the documents, whose hits so far travel as one narrow column.
+block. If there are more, the documents are written once with a row number; each block is a pass over numbers and texts
+that gives narrow rows of hits, which are joined with the documents once.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +28,13 @@ BLOCK_BYTES = 4 << 20
 
 
 class WindowIndex:
-    """Windows by length: sorted hashes with item numbers and places in the items' normalised words."""
+    """Windows by length: sorted hashes with a place in the items' normalised words and the items that have the window."""
 
     def __init__(self, items: list[tuple[str, str]], size: int):
         self.size = size
         self.ids = sorted({i for i, _ in items})
         number = {x: k for k, x in enumerate(self.ids)}
-        found: dict[int, list] = {}
+        found: dict[int, dict] = {}
         self.words: list[bytes] = []
         texts = pa.array([t for _, t in items], pa.string())
         for at, w in chunks(texts, ALNUM):
@@ -48,23 +48,25 @@ class WindowIndex:
                     if length not in hashes:
                         hashes[length] = w.windows(length)
                     for i in range(a, b - length + 1):
-                        found.setdefault(length, []).append((int(hashes[length][i]), number[items[at + k][0]], base + i))
+                        same = found.setdefault(length, {}).setdefault((int(hashes[length][i]), self._joined(base + i, length)), (base + i, set()))
+                        same[1].add(number[items[at + k][0]])
         self.by_length = {}
-        for length, rows in found.items():
-            rows.sort()
-            self.by_length[length] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
+        for length, windows in found.items():
+            rows = sorted((h, place, sorted(own)) for (h, _), (place, own) in windows.items())
+            self.by_length[length] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), [r[2] for r in rows])
 
-    def hits(self, w, first: int, last: int, looked: dict[int, np.ndarray]) -> Iterator[tuple[int, int, int]]:
-        """(word, length, item number) of each window in words first to last."""
-        for length, (keys, items, places) in self.by_length.items():
+    def _joined(self, place: int, length: int) -> bytes:
+        return b" ".join(self.words[place : place + length])
+
+    def hits(self, w, first: int, last: int, looked: dict[int, np.ndarray]) -> Iterator[tuple[int, int, list[int]]]:
+        """(word, length, item numbers) of each window in words first to last. A window is verified once for all its items."""
+        for length, (keys, places, items) in self.by_length.items():
             spots = looked[length]
             for i in spots[np.searchsorted(spots, first) : np.searchsorted(spots, last - length, "right")]:
-                own = None
-                lo, hi = np.searchsorted(keys, w.all_windows[length][i]), np.searchsorted(keys, w.all_windows[length][i], "right")
-                for k in range(lo, hi):
-                    own = own or w.text(i, i + length)
-                    if own == b" ".join(self.words[places[k] : places[k] + length]):
-                        yield int(i), length, int(items[k])
+                own, h = w.text(i, i + length), w.all_windows[length][i]
+                for k in range(np.searchsorted(keys, h), np.searchsorted(keys, h, "right")):
+                    if own == self._joined(places[k], length):
+                        yield int(i), length, items[k]
 
     def look(self, w) -> dict[int, np.ndarray]:
         """Words at which a window's hash occurs, by length."""
@@ -89,37 +91,39 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
     yield rows
 
 
-def _scan(shared, text_at: int, spans_at: int):
-    """Appends this block's verified hits to the narrow columns hit_from, hit_to (words) and hit_items."""
+HITS = (("hit_from", "array<bigint>", pa.list_(pa.int64())), ("hit_to", "array<bigint>", pa.list_(pa.int64())), ("hit_items", "array<string>", pa.list_(pa.string())))
+
+
+def _scan(shared, text_at: int, only_hits: bool = False, drop_text: bool = False):
+    """The columns with n_words and the verified hits; of all rows, or of those with hits."""
 
     def run(batches):
         index = shared.value
         for batch in batches:
-            texts = batch.column(text_at)
             starts, ends, items, n_words = ([] for _ in range(4))
-            for _, w in chunks(texts, ALNUM):
+            for _, w in chunks(batch.column(text_at), ALNUM):
                 looked = index.look(w)
                 n_words += w.counts().tolist()
                 spots = np.unique(np.concatenate([np.empty(0, np.int64), *looked.values()]))
                 hot = np.unique(np.searchsorted(w.first, spots, "right") - 1)
                 base = len(starts)
-                starts += [[] for _ in range(len(w))]
-                ends += [[] for _ in range(len(w))]
-                items += [[] for _ in range(len(w))]
+                for held in (starts, ends, items):
+                    held += [[] for _ in range(len(w))]
                 for d in hot:
                     merged, ids = [], set()
-                    for i, length, item in sorted(index.hits(w, int(w.first[d]), int(w.first[d + 1]), looked)):
+                    for i, length, own in sorted(index.hits(w, int(w.first[d]), int(w.first[d + 1]), looked), key=lambda x: x[0]):
                         i -= int(w.first[d])
-                        ids.add(item)
+                        ids.update(own)
                         if merged and i <= merged[-1][1]:
                             merged[-1][1] = max(merged[-1][1], i + length)
                         else:
                             merged.append([i, i + length])
                     starts[base + d], ends[base + d] = [m[0] for m in merged], [m[1] for m in merged]
                     items[base + d] = [index.ids[k] for k in sorted(ids)]
-            old = [batch.column(spans_at + k).to_pylist() for k in range(3)]
-            new = [pa.array([(a or []) + b for a, b in zip(o, n, strict=True)], t) for o, n, t in zip(old, (starts, ends, items), (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:spans_at], *new, pa.array(n_words, pa.int64())], names=[*batch.schema.names[: spans_at + 3], "n_words"])
+            kept = [k for k in range(batch.num_columns) if not (drop_text and k == text_at)]
+            columns = [batch.column(k) for k in kept] + [pa.array(n_words, pa.int64())] + [pa.array(x, t) for x, (_, _, t) in zip((starts, ends, items), HITS, strict=True)]
+            out = pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[k] for k in kept] + ["n_words"] + [c for c, _, _ in HITS])
+            yield out.filter(pa.array([bool(x) for x in starts], pa.bool_())) if only_hits else out
 
     return run
 
@@ -129,21 +133,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
     A null or empty text has no words and no hits. Null items' texts are passed over; an item without an id counts as
     item `null`. Repeated items count once. Repeated documents are rows of their own. An empty benchmark hits nothing;
-    an empty table gives an empty result. Columns that are not in `carry` are not read.
+    an empty table gives an empty result. Columns that are not in `carry` are not read; those in it that are named like
+    the four new ones are replaced.
     """
     spark = docs.sparkSession
+    carry = tuple(c for c in carry if c not in ("n_words", *(c for c, _, _ in HITS)))
     inner = [f"_c{k}" for k in range(len(carry))]
-    state = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, inner, strict=True)], F.col(text_col).alias("_text"), *[F.lit(None).cast(t).alias(c) for c, t in (("hit_from", "array<bigint>"), ("hit_to", "array<bigint>"), ("hit_items", "array<string>"))])
-    schema = T.StructType([*state.schema.fields, T.StructField("n_words", T.LongType())])
-    at = len(carry)
-    waiting = None
-    for block in _blocks(benchmark, item_id, item_text, block_bytes):
-        if waiting is not None:
-            state = written(waiting.drop("n_words"))
-        shared = spark.sparkContext.broadcast(WindowIndex(block, size))
-        waiting = state.mapInArrow(_scan(shared, at, at + 1), schema)
-    out = waiting.drop("_text")
-    return _merged(out).select(*[F.col(n).alias(c) for c, n in zip(carry, inner, strict=True)], "n_words", "hit_from", "hit_to", "hit_items")
+    text = inner[carry.index(text_col)] if text_col in carry else "_text"
+    state = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, inner, strict=True)], *([] if text in inner else [F.col(text_col).alias("_text")]))
+    narrow = [T.StructField("n_words", T.LongType())] + [T.StructField(c, T.DataType.fromDDL(t)) for c, t, _ in HITS]
+    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
+    block, another = next(blocks), next(blocks, None)
+    share = lambda items: spark.sparkContext.broadcast(WindowIndex(items, size))
+    if another is None:
+        at = state.columns.index(text)
+        fields = [f for f in state.schema.fields if f.name != "_text"]
+        out = state.mapInArrow(_scan(share(block), at, drop_text=text == "_text"), T.StructType(fields + narrow))
+    else:
+        numbered = written(state.withColumn("_row", F.monotonically_increasing_id()))
+        found = []
+        while block is not None:  # of the first block all rows, for n_words
+            passed = numbered.select("_row", text).mapInArrow(_scan(share(block), 1, bool(found), True), T.StructType([T.StructField("_row", T.LongType()), *narrow]))
+            found.append(written(passed))
+            block, another = another, next(blocks, None)
+        every = found[0].sparkSession.read.schema(found[0].schema).parquet(*[x.vexel_path for x in found])
+        summed = every.groupBy(F.col("_row").alias("_of")).agg(F.max("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c, _, _ in HITS])
+        out = _merged(numbered.drop("_text").join(summed, F.col("_row") == F.col("_of")))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, inner, strict=True)], "n_words", "hit_from", "hit_to", "hit_items")
 
 
 def _merged(df: DataFrame) -> DataFrame:
@@ -156,9 +172,8 @@ def _merged(df: DataFrame) -> DataFrame:
         joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last.hit_from.alias("hit_from"), F.greatest(last.hit_to, x.hit_to).alias("hit_to"))))
         return F.when((F.size(acc) > 0) & (x.hit_from <= F.try_element_at(acc, F.lit(-1)).hit_to), joined).otherwise(F.concat(acc, F.array(x)))
 
-    one = F.size("hit_from") <= 1
-    merged = F.aggregate(spans, zero, add)
-    return df.withColumn("_spans", F.when(one, spans).otherwise(merged)).withColumns({"hit_from": F.col("_spans.hit_from"), "hit_to": F.col("_spans.hit_to"), "hit_items": F.array_sort(F.array_distinct("hit_items"))}).drop("_spans")
+    merged = F.when(F.size("hit_from") <= 1, spans).otherwise(F.aggregate(spans, zero, add))
+    return df.withColumn("_spans", merged).withColumns({"hit_from": F.col("_spans.hit_from"), "hit_to": F.col("_spans.hit_to"), "hit_items": F.array_sort(F.array_distinct("hit_items"))}).drop("_spans")
 
 
 def n_hit():
@@ -170,15 +185,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
     A cut text keeps everything outside the spans as it stood. Nulls, empties and repeats as in find_leaks().
     """
-    own = docs.columns
-    if remove == "documents":
-        out = find_leaks(docs, benchmark, text_col, carry=tuple(own), **options)
-        return out.where(F.size("hit_from") == 0).select(*own)
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove!r}")
-    out = find_leaks(docs, benchmark, text_col, carry=tuple(own), **options)
-    cut = out.mapInArrow(_cutter(own.index(text_col)), out.schema)
-    return cut.select(*own)
+    inner = [f"_own{k}" for k in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, inner, strict=True)])
+    out = find_leaks(plain, benchmark, inner[at], carry=tuple(inner), **options)
+    out = out.where(F.size("hit_from") == 0) if remove == "documents" else out.mapInArrow(_cutter(at), out.schema)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, inner, strict=True)])
 
 
 def _cutter(text_at: int):
@@ -207,10 +221,6 @@ def leak_report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> D
     return found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.size("hit_from") > 0).alias("contaminated"))
 
 
-def sha256_of(ids) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
-
-
 ORACLE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents
