@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     if found := conf.get("spark.checkpoint.dir"):
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="vexel-")
     conf.set("spark.checkpoint.dir", made)
@@ -61,3 +62,15 @@ def drop(df: DataFrame) -> None:
 def n_words(text):
     """The number of [^\\x20\\x09-\\x0D]+ in a text column; a null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+#: Up to so many groups, join_groups() broadcasts them; beyond, it deals a group's rows over SALTS parts.
+BROADCAST_GROUPS, SALTS = 200_000, 64
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, same: Column, salt: Column, most: int = BROADCAST_GROUPS) -> DataFrame:
+    """rows with the group that each belongs to; groups is written, one narrow row each, and any may have most of the rows."""
+    if groups.count() <= most:
+        return rows.join(F.broadcast(groups), same)
+    dealt = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(dealt, same & (F.col("_salt") == F.col("_part"))).drop("_salt", "_part")

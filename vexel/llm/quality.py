@@ -1,9 +1,9 @@
 """Quality classifier: document evidence combined with host and path posteriors, by hierarchical empirical Bayes.
 
 A logistic model on text statistics, fitted on labelled documents, gives each document a probability. Over all
-documents, probabilities are summed by path (host and language) and host. A host's posterior shrinks its mean toward the
-global mean, a path's toward its host's, each with a strength that the spread between groups gives (method of moments),
-so that sparse sites say little. A document's final log-odds are the model's plus what its path differs from the whole.
+documents, probabilities are summed by path and host. A host's posterior shrinks its mean toward the global mean, a path's
+toward its host's, each with a strength that the spread between groups gives (method of moments), so that sparse sites
+say little. A document's final log-odds are the model's plus what its path, the document left out, differs from the whole.
 """
 
 from __future__ import annotations
@@ -12,12 +12,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import n_words, written
+from ._tables import join_groups, n_words, written
 
 #: Labelled documents that the model is fitted on, at most: those with the least hashes of their ids.
 FIT_ROWS = 20_000
-#: Up to so many paths, their posteriors are broadcast; beyond, joined by a shuffle.
-BROADCAST_PATHS = 10_000
 #: Strengths are kept in this range of pseudo-documents.
 STRENGTH = (1.0, 10_000.0)
 RIDGE = 1e-3
@@ -67,61 +65,66 @@ def _logit(p):
     return F.log(p / (1 - p))
 
 
-def posteriors(scored: DataFrame) -> DataFrame:
-    """host, lang, host_posterior, path_posterior, base from rows host, lang, p: one row for each path."""
-    paths = written(scored.groupBy("host", "lang").agg(F.sum("p").alias("k"), F.count(F.lit(1)).alias("n")))
-    hosts = written(paths.groupBy("host").agg(F.sum("k").alias("k"), F.sum("n").alias("n")))
-    total = hosts.agg(F.sum("k").alias("k"), F.sum("n").alias("n")).first()
+def posteriors(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """One row for each path, host, path, host_k, host_n, path_k, path_n (sums of p and rows), and the priors.
+
+    The priors are the global mean `base` and the strengths, in pseudo-documents, of a host's prior and of a path's.
+    """
+    paths = written(scored.groupBy("host", "path").agg(F.sum("p").alias("path_k"), F.count(F.lit(1)).alias("path_n")))
+    hosts = written(paths.groupBy("host").agg(F.sum("path_k").alias("host_k"), F.sum("path_n").alias("host_n")))
+    total = hosts.agg(F.sum("host_k").alias("k"), F.sum("host_n").alias("n")).first()
     base = min(max((total.k or 0.0) / (total.n or 1), 1e-4), 1 - 1e-4)
 
-    def strength(groups, mean):
-        """Pseudo-documents of the prior: how little group means vary beyond what their sizes let expect."""
-        got = groups.agg(F.sum(F.col("n") * (F.col("k") / F.col("n") - mean) ** 2).alias("s"), F.sum("n").alias("n"), F.sum(F.col("n") ** 2).alias("nn"), F.count(F.lit(1)).alias("g")).first()
+    def strength(groups, name, mean):
+        """How little group means vary beyond what their sizes let expect."""
+        k, n = F.col(f"{name}_k"), F.col(f"{name}_n")
+        got = groups.agg(F.sum(n * (k / n - mean) ** 2).alias("s"), F.sum(n).alias("n"), F.sum(n**2).alias("nn"), F.count(F.lit(1)).alias("g")).first()
         if not got.g or got.g < 2:
             return STRENGTH[1]
         noise, room = base * (1 - base), got.n - got.nn / got.n
         between = ((got.s or 0.0) - (got.g - 1) * noise) / room if room > 0 else 0.0
         return float(np.clip(noise / between - 1 if between > 0 else STRENGTH[1], *STRENGTH))
 
-    m = strength(hosts, F.lit(base))
-    hosts = hosts.select(F.col("host").alias("_host"), (F.col("k") / F.col("n")).alias("host_mean"), ((F.col("k") + m * base) / (F.col("n") + m)).alias("host_posterior"))
-    both = paths.join(hosts, paths["host"].eqNullSafe(hosts["_host"]))
-    inner = strength(both, F.col("host_mean"))
-    return both.select("host", "lang", "host_posterior", ((F.col("k") + inner * F.col("host_posterior")) / (F.col("n") + inner)).alias("path_posterior"), F.lit(base).alias("base"))
+    both = paths.join(hosts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
+    return both, {"base": base, "host": strength(hosts, "host", F.lit(base)), "path": strength(both, "path", F.col("host_k") / F.col("host_n"))}
 
 
 def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", keep: float = KEEP, carry: tuple[str, ...] | None = None) -> DataFrame:
-    """docs' columns (or those in `carry`), with doc_score, host_posterior, path_posterior, quality and keep.
+    """docs' columns (or those in `carry`), with doc_score, host_posterior, path_posterior, quality and keep; as `documents` has no urls, a host is its source and a path its language there.
 
     doc_score is the model's probability of good quality, quality the one after host and path have their say, keep
-    whether that is at least `keep`. Null hosts and paths are groups of their own; a null or empty text has all
-    statistics 0. Repeated rows are rows of their own. An empty table gives an empty result. Own columns named like the
-    new ones are replaced.
+    whether that is at least `keep`. The posteriors are those of a document's host and path without the document itself,
+    so that its evidence counts once. Null hosts and paths are groups of their own; a null or empty text has all statistics
+    0. Repeated rows are rows of their own. An empty table gives an empty result. Own columns named like the new ones are
+    replaced, all others come through whatever their names.
     """
     made = ("doc_score", "host_posterior", "path_posterior", "quality", "keep")
     own = [c for c in carry or docs.columns if c not in made]
-    x = F.array(*[f.cast("double") for f in features(F.col(text_col))])
-    # narrow rows: the statistics are taken once for fitting, sums and scores
-    measured = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("lang"), x.alias("x"))
-    kept = written(measured)
+    inner = [f"_c{k}" for k in range(len(own))]
+    x = F.array(*[f.cast("double") for f in features(F.col(text_col))]).alias("x")
+    host, path = F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path")
+    # narrow rows: the statistics are taken once for fitting and sums
+    kept = written(docs.select(F.col(id_col).alias("doc_id"), host, path, x))
     beta = fit(kept, labels)
 
     def odds(values):
-        terms = [F.lit(float(beta[0]))] + [values[k] * float(b) for k, b in enumerate(beta[1:])]
-        out = terms[0]
-        for term in terms[1:]:
-            out = out + term
+        out = F.lit(float(beta[0]))
+        for k, b in enumerate(beta[1:]):
+            out = out + values[k] * float(b)
         return out
 
     chance = lambda z: 1 / (1 + F.exp(-z))
-    sites = written(posteriors(kept.select("host", "lang", chance(odds(F.col("x"))).alias("p"))))
-    sites_here = sites.withColumnsRenamed({"host": "_host", "lang": "_lang"})
-    if sites.count() <= BROADCAST_PATHS:
-        sites_here = F.broadcast(sites_here)
-    wide = docs.withColumns({"_x": x, "_h": F.col(host_col).cast("string"), "_l": F.col(path_col).cast("string")}).drop(*[c for c in made if c in docs.columns])
-    placed = wide.join(sites_here, F.col("_h").eqNullSafe(F.col("_host")) & F.col("_l").eqNullSafe(F.col("_lang")))
-    scored = placed.withColumn("_z", odds(F.col("_x"))).withColumns({"doc_score": chance(F.col("_z")), "quality": chance(F.col("_z") + _logit(F.col("path_posterior")) - _logit(F.col("base")))})
-    return scored.withColumn("keep", F.col("quality") >= keep).select(*own, *made)
+    sites, prior = posteriors(kept.select("host", "path", chance(odds(F.col("x"))).alias("p")))
+    sites = written(sites.withColumnsRenamed({"host": "_host", "path": "_path"}))
+    wide = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(own, inner, strict=True)], F.col(id_col).cast("string").alias("_id"), x, host, path)
+    same = F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))
+    placed = join_groups(wide, sites, same, F.xxhash64("_id", "x"))
+    scored = placed.withColumn("_z", odds(F.col("x"))).withColumn("doc_score", chance(F.col("_z")))
+    without = lambda k, n, m, mean: (F.greatest(F.col(k) - F.col("doc_score"), F.lit(0.0)) + m * mean) / (F.col(n) - 1 + m)
+    scored = scored.withColumn("host_posterior", without("host_k", "host_n", prior["host"], F.lit(prior["base"])))
+    scored = scored.withColumn("path_posterior", without("path_k", "path_n", prior["path"], F.col("host_posterior")))
+    scored = scored.withColumn("quality", chance(F.col("_z") + _logit(F.col("path_posterior")) - _logit(F.lit(prior["base"]))))
+    return scored.withColumn("keep", F.col("quality") >= keep).select(*[F.col(n).alias(c) for c, n in zip(own, inner, strict=True)], *made)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
