@@ -12,22 +12,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._slices import running_start
-from ._tables import n_words, written
+from ._tables import join_groups, n_words, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 EPOCHS = 2
 SEED = "mix-1"
-#: Up to so many sources, their budgets are broadcast; beyond, joined by a shuffle.
-BROADCAST_SOURCES = 10_000
-
-
 KEY_BITS = 60
 
 
-def _key(id_col: str, seed: str):
-    """A hash-random place in [0, 2**60): the first 15 hex digits of an MD5, which SQL engines share."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")), 1, 15), 16, 10).cast("long")
+def _key(id_col: str, text_col: str, seed: str):
+    """A hash-random place in [0, 2**60): the first 15 hex digits of an MD5, which SQL engines share; of the text where there is no id."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), name).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, share: float = SHARE, max_epochs: float = EPOCHS, weights: Sequence[float] = WEIGHTS) -> DataFrame:
@@ -63,14 +60,13 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     text has size 0 and takes 0; a null source is a source. Repeated rows are documents of their own; which of two
     equal ones comes first makes no difference. An empty table gives an empty result. Other columns are not read.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"), _key(id_col, seed).alias("_key"))
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    aims = targets(per_source, share, max_epochs, weights)
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"), _key(id_col, text_col, seed).alias("_key"))
+    per_source = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")))
+    aims = written(targets(per_source, share, max_epochs, weights).withColumnRenamed("source", "_source"))
     most = per_source.agg(F.max("_rows")).first()[0] or 0
     spread = F.col("_key") / F.lit(float(1 << KEY_BITS))
     placed = running_start(sized, "source", [F.col("_key"), F.col("doc_id"), F.col("size"), F.col("text_hash")], F.col("size"), "_before", most, spread)
-    aims = aims.withColumnRenamed("source", "_source")
-    joined = placed.join(aims, placed["source"].eqNullSafe(aims["_source"]))
+    joined = join_groups(placed, aims, F.col("source").eqNullSafe(F.col("_source")), F.col("_key"))
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size")
@@ -90,13 +86,11 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(1)).cast("int")
     inside = F.col("taken") - epochs * F.col("size")
     cuts = plan.groupBy(F.col("source").alias("_source")).agg(F.first(epochs).alias("_epochs"), F.max(F.when((inside > 0) & (inside * 2 >= F.col("size")), F.col("key"))).alias("_cut"))
-    cuts = written(cuts)
-    if cuts.count() <= BROADCAST_SOURCES:
-        cuts = F.broadcast(cuts)
-    keyed = docs.withColumn("_key", _key(id_col, seed))
-    joined = keyed.join(cuts, keyed[source_col].eqNullSafe(F.col("_source")))
+    inner = [f"_c{k}" for k in range(len(docs.columns))]
+    keyed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, inner, strict=True)], F.col(source_col).alias("_of"), _key(id_col, text_col, seed).alias("_key"))
+    joined = join_groups(keyed, written(cuts), F.col("_of").eqNullSafe(F.col("_source")), F.col("_key"))
     times = F.col("_epochs") + F.coalesce((F.col("_key") <= F.col("_cut")).cast("int"), F.lit(0))
-    return joined.withColumn("_time", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*[joined[c] for c in docs.columns])
+    return joined.withColumn("_time", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, inner, strict=True)])
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -106,7 +100,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x{20}\x{09}-\x{0D}]+')) AS BIGINT) AS size, ('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT AS k FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x{20}\x{09}-\x{0D}]+')) AS BIGINT) AS size, ('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS k FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source
 ), w AS (SELECT *, 2.0::DOUBLE * source_size AS cap, ([3.0, 1.0, 2.0]::DOUBLE[])[CAST((n - 1) % 3 + 1 AS INT)] AS w FROM s),
