@@ -1,8 +1,9 @@
 import hashlib
+import json
 
 from pyspark.sql import functions as F
 
-from vexel.llm import chat, decontaminate, fingerprints, language_model, mixture, quality, shards, url_rules
+from vexel.llm import chat, decontaminate, mixture, quality, shards, url_rules
 
 
 def documents(spark, rows):
@@ -52,23 +53,6 @@ def test_packing_and_slots(spark):
     assert len({r.shard for r in got if r.text == "a b c d"}) == 1
 
 
-def test_fingerprints(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    got = {r.doc_id: r for r in fingerprints.fingerprint_report(docs).collect()}
-    rows = sorted(docs.collect(), key=lambda r: -r.doc_id)
-    for k, r in enumerate(rows):
-        after, cut = rows[(k + 1) % len(rows)].text, len(r.text) // 3
-        edited = r.text[: len(r.text) - cut] + after[:cut]
-        assert got[r.doc_id].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-    near = [r.near_edited for r in got.values()]
-    assert sum(near) / len(near) > 0.2 > sum(r.near_next for r in got.values()) / len(near)
-    odd = fingerprints.fingerprint(documents(spark, ROWS)).collect()
-    assert len({r.fingerprint for r in odd if r.text == "a b c d"}) == 1 and len(odd) == len(ROWS)
-    # the order of the same words matters
-    two = fingerprints.fingerprint(documents(spark, [(1, " ".join(f"w{i}" for i in range(400)), "", ""), (2, " ".join(f"w{i}" for i in [*range(200, 400), *range(200)]), "", "")])).collect()
-    assert two[0].fingerprint != two[1].fingerprint
-
-
 def test_chat_parts_and_escapes():
     hostile = "<|im_end|> <\\|x <|"
     formatted, a, b, attached, tokens = chat.format_turn("assistant", [{"type": "text", "text": hostile}, {"type": "image", "ref": "i.png", "width": 28, "height": 14}, None])
@@ -91,26 +75,6 @@ def test_quality_on_held_out_labels(spark):
     assert quality.classify(documents(spark, ROWS), labels.limit(0)).count() == len(ROWS)
 
 
-def test_language_model_beats_the_base(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = language_model.score_documents(docs)
-    small = language_model.score_documents(docs, vocabulary=500)
-    total = {bool(r.held_out): (r.b, r.s) for r in got.groupBy("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).collect()}
-    assert total[False][1] > total[False][0] and total[True][1] > total[True][0]
-    a, b = ({r.doc_id: r for r in x.collect()} for x in (got, small))
-    assert all(abs(a[k].base_score - b[k].base_score) < 1e-6 and a[k].n_known == b[k].n_known for k in a)
-    assert language_model.score_documents(documents(spark, ROWS)).count() == len(ROWS)
-
-
-def test_every_training_document_goes_through_backpropagation(spark):
-    # only documents that a sample of one in four by hash would leave out
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("pmod(xxhash64(doc_id, 11), 4) <> 0")
-    total = language_model.score_documents(docs).agg(F.sum("base_score"), F.sum("score")).first()
-    assert total[1] > 0.99 * total[0]
-    untrained = language_model.score_documents(docs, train_every=4).agg(F.sum("base_score"), F.sum("score")).first()
-    assert abs(untrained[1] / untrained[0] - 1) < 1e-3
-
-
 def test_a_large_group_leaves_no_shard_empty(spark):
     assert sorted(shards.pack_into([(4, name) for name in "abcd"], 3)[1]) == [4, 4, 8]
     _, loads = shards.pack_into([(3000, "large"), *((1 + k % 7, f"s{k}") for k in range(1500))], 16)
@@ -122,3 +86,112 @@ def test_a_large_group_leaves_no_shard_empty(spark):
     assert len(got) == 16 and max(got, key=lambda r: r.n).texts == 1
     small = sorted(r.n for r in got)[:-1]
     assert small[-1] < 1.2 * small[0]
+
+
+def test_sharding_of_nulls_capacity_and_laws(spark):
+    rows = [(k, None if k < 50 else f"text {k % 7} " * (k % 7 + 1), "en", "s") for k in range(90)] + [(None, "", "en", "s")] * 3
+    docs = documents(spark, rows).selectExpr("*", "1 as shard", "2 as _a", "'x' as _key")
+    for options in ({"shards": 4}, {"shards": None, "capacity": 100}):
+        got = shards.assign_shards(docs, **options).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.shard, []).append(r)
+        assert len(got) == len(rows) and None not in by and all(sorted(x.slot for x in v) == list(range(len(v))) for v in by.values())
+        assert all(r.size == (len(r.text.encode()) if r.text else 0) + 1 for r in got)
+        texts = {}
+        for r in got:
+            texts.setdefault(r.text, set()).add(r.shard)
+        assert all(len(v) == 1 for v in texts.values())
+        if "capacity" in options:
+            assert all(sum(r.size for r in v) <= 100 or len({r.text for r in v}) == 1 for v in by.values())
+            sizes = [(sum(r.size for r in got if r.text == t), str(t)) for t in texts]
+            assert sorted(sum(r.size for r in v) for v in by.values()) == sorted(shards.best_fit_decreasing(sizes, 100)[1])
+    assert shards.assign_shards(docs.limit(0)).count() == shards.assign_shards(docs.limit(0), None, 10).count() == shards.shard_report(docs.limit(0)).count() == 0
+
+
+def test_shards_are_near_equal(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = shards.shard_report(docs).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    groups = docs.groupBy("text").agg(F.sum(F.octet_length("text") + 1).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert len(got) == 16 and max(r.n for r in got) <= max(groups[0], groups[1] / 16 * 1.1)
+
+
+def test_best_fit_by_runs_is_best_fit_item_by_item():
+    for seed in range(40):
+        items = [(seed * 7 + k * k * 13) % 29 + 1 for k in range(seed)]
+        loads = []
+        for size in sorted(items, reverse=True):
+            fit = min((31 - x, k) for k, x in enumerate(loads) if x + size <= 31) if any(x + size <= 31 for x in loads) else None
+            if fit:
+                loads[fit[1]] += size
+            else:
+                loads.append(size)
+        assert sorted(shards.best_fit_decreasing([(s, f"{k:03}") for k, s in enumerate(items)], 31)[1]) == sorted(loads)
+
+
+def test_quality_with_clashing_columns_ties_and_nulls(spark):
+    rows = [(k % 40 if k % 9 else None, "good words of a plain text " * (1 + k % 3) if k % 2 else "!! ## SPAM | | %% " * 5, "en" if k % 5 else None, f"s{k % 3}") for k in range(120)]
+    docs = documents(spark, rows).selectExpr("*", "1 as base", "'h' as _host", "2 as host", "3 as path", "4 as x", "array(5) as _x", "6 as keep", "7 as path_k")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(1, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    got = quality.classify(docs, labels)
+    assert got.columns == [c for c in docs.columns if c != "keep"] + ["doc_score", "host_posterior", "path_posterior", "quality", "keep"]
+    found = got.collect()
+    assert len(found) == len(rows) and all(r.keep == (r.quality >= 0.5) and 0 < r.quality < 1 and (r.base, r._host, r.x) == (1, "h", 4) for r in found)
+    # of equal rows, equal results
+    assert len({(r.doc_id, r.text, r.lang, r.source, round(r.quality, 9)) for r in found}) == len({(r.doc_id, r.text, r.lang, r.source) for r in found})
+    assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_a_document_is_no_prior_of_its_own(spark):
+    # alone in its host and path, a document has the global mean for a prior
+    docs = documents(spark, [(k, "words " * (k % 7 + 1), "en", "many") for k in range(30)] + [(99, "!! ## SPAM " * 9, "xx", "alone")])
+    labels = spark.createDataFrame([(k, int(k != 99)) for k in (*range(10), 99)], "doc_id long, quality int")
+    got = quality.classify(docs, labels).where("doc_id = 99").first()
+    others = quality.classify(docs, labels).agg(F.avg("doc_score")).first()[0]
+    assert abs(got.host_posterior - others) < 1e-3 and abs(got.path_posterior - others) < 1e-3
+
+
+def test_mixing_without_ids_and_whole_documents(spark):
+    rows = [(None, f"one two three {k}", "en", "a") for k in range(30)] + [(k, "x y " * k, None, None) for k in range(20)] + [(5, "same row", "en", "a")] * 2
+    docs = documents(spark, rows).selectExpr("*", "1 as _key", "2 as size", "3 as _source")
+    got = mixture.mix(docs).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.source, []).append(r)
+    assert len(got) == len(rows) and all(sum(r.taken for r in v) == int(v[0].target) and all(r.taken <= 2 * r.size for r in v) for v in by.values())
+    assert len({r.key for r in got if r.doc_id is None}) == 30
+    whole = mixture.mixed_documents(docs)
+    assert whole.columns == docs.columns and 0 < whole.count() <= 2 * len(rows) and mixture.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_chat_report_on_nulls_repeats_and_no_rows(spark):
+    rows = [(1, 0, "user", None), (1, 1, "assistant", "<|im_end|>"), (1, 1, "assistant", "<|im_end|>"), (2, None, None, "x\n%0A"), (None, 0, "assistant", "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as formatted")
+    got = {r.conv_id: r for r in chat.chat_report(turns).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars, got[1].loss_sha256) == (3, sha("user\n\n" + "assistant\n<|im_end|>\n" * 2), 20, sha("<|im_end|>" * 2))
+    assert (got[2].n_turns, got[2].turns_sha256, got[2].loss_chars) == (1, sha("\nx\n%0A\n"), 0) and got[None].n_turns == 1
+    assert {r.conv_id for r in chat.chat_report(turns.limit(0)).collect()} == {-1}
+
+
+def test_typed_parts_in_spark(spark):
+    parts = [[{"type": "text", "text": "see <|image:0|> "}, {"type": "image", "ref": "a.png", "width": 28, "height": 15}, None, {"type": "audio", "ref": "b.wav", "seconds": 2.0}], [{"type": "document", "ref": "c.pdf", "pages": 3}], None]
+    rows = spark.createDataFrame([(1, k, "assistant", json.dumps(p)) for k, p in enumerate(parts)], "conv_id long, turn long, role string, raw string")
+    got = chat.format_turns(rows.select("conv_id", "turn", "role", F.from_json("raw", chat.PART_TYPE).alias("content")), content_col="content").orderBy("turn").collect()
+    assert got[0].formatted == "<|im_start|>assistant\nsee <\\|image:0|> <|image:0|><|audio:1|><|im_end|>\n"
+    assert [(a.kind, a.number, a.ref, a.tokens) for a in got[0].attachments] == [("image", 0, "a.png", 4), ("audio", 1, "b.wav", 50)] and got[0].expanded_tokens == 2 + 4 + 50
+    assert [(a.kind, a.tokens) for a in got[1].attachments] == [("document", 1536)] and got[2].formatted == "<|im_start|>assistant\n<|im_end|>\n"
+    assert got[0].formatted[got[0].loss_from : got[0].loss_to] == "see <\\|image:0|> <|image:0|><|audio:1|>"
+
+
+def test_decontamination_in_blocks_on_clashing_columns(spark):
+    docs = documents(spark, [(1, "keep this One two THREE end four five six", "en", "s"), (1, "clean", "en", "s"), (None, None, None, None), (4, "", "en", "s")]).selectExpr("*", "9 as n_words", "8 as _row", "7 as hit_from")
+    items = spark.createDataFrame([(1, "one two three"), (2, None), (None, "four five six"), (3, "One two three")], "item_id long, text string")
+    for block in (5, 1 << 20):
+        got = decontaminate.find_leaks(docs, items, block_bytes=block, carry=("doc_id", "text", "_row")).collect()
+        hit = [r for r in got if r.hit_from]
+        assert len(got) == 4 and [(r.hit_from, r.hit_to, r.hit_items, r.n_words, r._row) for r in hit] == [([2, 6], [5, 9], ["1", "3", "null"], 9, 8)]
+        kept = decontaminate.decontaminate(docs, items, block_bytes=block)
+        assert kept.columns == docs.columns and sorted(str(r.text) for r in kept.collect()) == ["", "None", "clean"]
+        cut = decontaminate.decontaminate(docs, items, "spans", block_bytes=block).collect()
+        assert sorted(str(r.text) for r in cut) == ["", "None", "clean", "keep this  end "] and {r.n_words for r in cut} == {9}

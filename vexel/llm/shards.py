@@ -1,15 +1,18 @@
 """Sharding by best-fit-decreasing bin packing, the open bins in a balanced tree by remaining capacity.
 
-Indivisible groups (equal texts) enter bins by falling size, each the tightest bin that holds it. Groups of at least
-1/FINE of a bin are packed one by one: there are at most bins * FINE. Smaller ones first meet by hash in bundles, at
-most bins * FINE too, which are packed as one item each. So the driver packs a number of items that parameters bound,
-whatever the data, and the rows' shards come from two small broadcast tables.
+Indivisible groups (equal texts) enter bins by falling size, each the tightest bin that holds it. Groups of one size are
+a run: the bin that is tightest for the first of them stays tightest until it is full, so a run enters a bin at a time. The
+driver packs runs, (size, number of groups). It gets a row for each size that some group has, at most sqrt(2 * all bytes)
+whatever the groups are, and makes a row for each run and bin that meet. Groups take their bins by their rank among
+those of their size, which prefix sums over slices give, and rows take theirs from their groups, by a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,10 @@ from ._slices import running_start
 from ._tables import written
 
 SHARDS = 16
-FINE = 256
+#: The capacity of `shards` bins is found to one part in so many.
+FINE = 2000
+#: Groups of a run that one row stands for before it is spread out.
+RUN_ROWS = 1 << 16
 
 
 class _Node:
@@ -110,100 +116,133 @@ class CapacityTree:
         return node
 
 
-def best_fit_decreasing(items: Iterable[tuple[int, str]], capacity: int) -> tuple[dict[str, int], list[int]]:
-    """Bin of each item (size, name), and the bins' loads. An item larger than the capacity has a bin to itself."""
-    tree, bins, loads = CapacityTree(), {}, []
-    for size, name in sorted(items, key=lambda x: (-x[0], x[1])):
-        spot = tree.tightest(size)
-        if spot is None:
-            at, left = len(loads), capacity
-            loads.append(0)
-        else:
-            left, at = spot
-            tree.remove(spot)
-        loads[at] += size
-        bins[name] = at
-        if left > size:
-            tree.add((left - size, at))
-    return bins, loads
+Run = tuple[int, int]  # size, number of groups
+Part = tuple[int, int, int]  # size, the first of its run that is meant, how many
+
+
+def best_fit_runs(runs: Iterable[Run], capacity: int) -> list[list[Part]]:
+    """The bins' contents, by best fit, for runs of falling size. A group larger than the capacity has a bin to itself."""
+    tree, bins = CapacityTree(), []
+    for size, many in runs:
+        first = 0
+        while first < many:
+            spot = tree.tightest(size)
+            if spot is None:
+                left, at = capacity, len(bins)
+                bins.append([])
+            else:
+                left, at = spot
+                tree.remove(spot)
+            here = max(1, min(many - first, left // size))
+            bins[at].append((size, first, here))
+            first += here
+            if left > here * size:
+                tree.add((left - here * size, at))
+    return bins
 
 
-def pack_into(items: list[tuple[int, str]], shards: int) -> tuple[dict[str, int], list[int]]:
-    """Bins as by best_fit_decreasing(), `shards` of them if there are as many items.
+def load(parts: Iterable[Part]) -> int:
+    return sum(size * many for size, _, many in parts)
 
-    An item larger than the average of the bins left has a bin to itself; the others get the least capacity, by
-    bisection, that needs no more than the bins left. Bins that stay empty take half of the fullest ones' items.
+
+def _halves(parts: list[Part]) -> tuple[list[Part], list[Part]]:
+    """Two bins from one, each part dealt to make them even."""
+    out, loads = ([], []), [0, 0]
+    for size, first, many in parts:
+        one = min(many, max(0, (loads[1] - loads[0] + many * size + size) // (2 * size)))
+        for k, (at, n) in enumerate(((first, one), (first + one, many - one))):
+            if n:
+                out[k].append((size, at, n))
+                loads[k] += n * size
+    return out
+
+
+def runs_into(runs: Iterable[Run], shards: int) -> list[list[Part]]:
+    """Bins as by best_fit_runs(), `shards` of them if there are as many groups.
+
+    A group larger than the average of the bins left has a bin to itself; the others get the least capacity, by
+    bisection, that needs no more than the bins left. Bins that stay empty take half of the fullest ones' groups.
     """
-    order = sorted(items, key=lambda x: (-x[0], x[1]))
-    alone, left = 0, sum(s for s, _ in order)
-    while alone < min(shards - 1, len(order)) and order[alone][0] * (shards - alone) > left:
-        left -= order[alone][0]
-        alone += 1
-    rest, most = order[alone:], shards - alone
-    low = high = max(-(-left // most), 1)
-    bins, loads = best_fit_decreasing(rest, low)
-    while len(loads) > most:
+    runs = sorted(((s, n) for s, n in runs if n), reverse=True)
+    total, alone, taken = sum(s * n for s, n in runs), [], {}
+    for size, many in runs:
+        for k in range(many):
+            if len(alone) == shards - 1 or size * (shards - len(alone)) <= total:
+                break
+            alone.append([(size, k, 1)])
+            taken[size] = k + 1
+            total -= size
+        if taken.get(size, 0) < many:
+            break
+    rest, most = [(s, n - taken.get(s, 0)) for s, n in runs if n > taken.get(s, 0)], shards - len(alone)
+    low = high = max(-(-total // most), 1)
+    bins = best_fit_runs(rest, low)
+    while len(bins) > most:
         high += -(-high // 64)
-        bins, loads = best_fit_decreasing(rest, high)
-    while high - low > 1 and high - low > low // 10_000:
+        bins = best_fit_runs(rest, high)
+    while high - low > max(1, low // FINE):
         middle = (low + high) // 2
-        found = best_fit_decreasing(rest, middle)
-        if len(found[1]) <= most:
-            high, (bins, loads) = middle, found
+        found = best_fit_runs(rest, middle)
+        if len(found) <= most:
+            high, bins = middle, found
         else:
             low = middle
-    held = [[] for _ in loads]
-    for item in rest:
-        held[bins[item[1]]].append(item)
-    while len(held) < most and (full := [k for k, x in enumerate(held) if len(x) > 1]):
-        k = max(full, key=lambda k: sum(s for s, _ in held[k]))
-        halves, sizes = ([], []), [0, 0]
-        for item in held[k]:
-            at = int(sizes[1] < sizes[0])
-            halves[at].append(item)
-            sizes[at] += item[0]
-        held[k] = halves[0]
-        held.append(halves[1])
-    held = [[x] for x in order[:alone]] + held
-    return {name: k for k, x in enumerate(held) for _, name in x}, [sum(s for s, _ in x) for x in held]
-
-
-def assign_shards(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = None, text_col: str = "text", id_col: str = "doc_id", fine: int = FINE, keep: tuple[str, ...] | None = None) -> DataFrame:
+    while len(bins) < most and (full := [k for k, x in enumerate(bins) if sum(n for *_, n in x) > 1]):
+        k = max(full, key=lambda k: load(bins[k]))
+        bins[k], other = _halves(bins[k])
+        bins.append(other)
+    # ranks of the rest begin after those that stand alone
+    return alone + [[(s, first + taken.get(s, 0), n) for s, first, n in x] for x in bins]
+
+
+def _named(items: Iterable[tuple[int, str]], pack) -> tuple[dict[str, int], list[int]]:
+    runs = {size: [name for _, name in same] for size, same in groupby(sorted(items, key=lambda x: (-x[0], x[1])), key=lambda x: x[0])}
+    bins = pack([(size, len(names)) for size, names in runs.items()])
+    return {name: k for k, x in enumerate(bins) for size, first, n in x for name in runs[size][first : first + n]}, [load(x) for x in bins]
+
+
+def best_fit_decreasing(items: Iterable[tuple[int, str]], capacity: int) -> tuple[dict[str, int], list[int]]:
+    """Bin of each item (size, name), and the bins' loads. An item larger than the capacity has a bin to itself."""
+    return _named(items, lambda runs: best_fit_runs(runs, capacity))
+
+
+def pack_into(items: Iterable[tuple[int, str]], shards: int) -> tuple[dict[str, int], list[int]]:
+    """Bin of each item (size, name), and the bins' loads, as by runs_into()."""
+    return _named(items, lambda runs: runs_into(runs, shards))
+
+
+def assign_shards(docs: DataFrame, shards: int | None = SHARDS, capacity: int | None = None, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] | None = None) -> DataFrame:
     """docs, all columns (or those in `keep`), with size long (UTF-8 bytes plus 1), shard int, slot long (from 0 without gaps in each shard).
 
-    Equal texts share a shard; null texts are one group, each of size 1. Either `shards` is given, and sizes come out
-    near equal but for groups above the average, each in a shard of its own, or `capacity`, and best fit opens as few bins of it as it finds; a group above the capacity has a shard
-    to itself. Repeated rows are rows of their own. An empty table gives an empty result. Own columns named like the
-    three new ones are replaced.
+    Equal texts share a shard; null texts are one group, apart from empty ones, each of size 1. Either `shards` is given,
+    and sizes come out near equal but for groups above the average, each in a shard of its own, or `capacity`, and best
+    fit opens as few bins of it as it finds; a group above the capacity has a shard to itself. Repeated rows are rows of
+    their own. An empty table gives an empty result. Own columns named like the three new ones are replaced.
     """
     if (shards is None) == (capacity is None):
         raise ValueError("give either shards or capacity")
     size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")
-    # 96 bits of hash and the length: equal for equal texts alone
-    group = F.struct(F.xxhash64(text_col).alias("a"), F.crc32(F.col(text_col).cast("binary")).alias("b"), size.alias("n"))
     own = [c for c in keep or docs.columns if c not in ("size", "shard", "slot")]
-    marked = docs.withColumn("_group", group).withColumn("size", F.col("_group.n"))
+    inner = [f"_c{k}" for k in range(len(own))]
+    # 96 bits of hash and the length: equal for equal texts alone
+    marked = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(own, inner, strict=True)], F.col(id_col).cast("string").alias("_id"), F.xxhash64(text_col).alias("_a"), F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(-1)).alias("_b"), size.alias("_size"))
     # one row a group, in the shared folder: the totals and the packing read it, not the texts
-    groups = written(marked.groupBy("_group").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows")))
-    total, rows = groups.agg(F.coalesce(F.sum("_bytes"), F.lit(0)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
-    bin_size = capacity or max(1, -(-total // shards))
-    bundles = max(1, -(-total // bin_size)) * fine
-    large = F.col("_bytes") * fine >= bin_size
-    bundle = F.pmod(F.xxhash64(F.col("_group.a"), F.lit(7)), F.lit(bundles)).cast("int")
-    singles = groups.where(large).select("_group", "_bytes").collect()
-    sums = groups.where(~large).groupBy(bundle.alias("_bundle")).agg(F.sum("_bytes").alias("_bytes")).collect()
-    items = [(r._bytes, f"g{r._group.a}.{r._group.b}.{r._group.n}") for r in singles] + [(r._bytes, f"b{r._bundle}") for r in sums]
-    bins, _ = pack_into(items, shards) if shards else best_fit_decreasing(items, capacity)
-    spark = docs.sparkSession
-    by_group = spark.createDataFrame([(r._group.a, r._group.b, r._group.n, bins[f"g{r._group.a}.{r._group.b}.{r._group.n}"]) for r in singles], "_a long, _b long, _n long, _one int")
-    by_bundle = spark.createDataFrame([(r._bundle, bins[f"b{r._bundle}"]) for r in sums], "_k int, _many int")
-    # at most bins * fine rows each
-    placed = marked.join(F.broadcast(by_group), (F.col("_group.a") == F.col("_a")) & (F.col("_group.b") == F.col("_b")) & (F.col("_group.n") == F.col("_n")), "left")
-    placed = placed.join(F.broadcast(by_bundle), bundle == F.col("_k"), "left")
-    placed = placed.withColumn("shard", F.coalesce("_one", "_many")).withColumn("_key", F.xxhash64(F.col(id_col).cast("string"), F.col("_group.a")))
-    spread = F.pmod(F.shiftrightunsigned("_key", 11), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    slotted = running_start(placed.select(*own, "size", "shard", "_key"), "shard", [F.col("_key")], F.lit(1), "slot", rows, spread)
-    return slotted.select(*own, "size", "shard", "slot")
+    groups = written(marked.groupBy("_a", "_b", "_size").agg(F.sum("_size").alias("_bytes"), F.count(F.lit(1)).alias("_rows")))
+    n_groups, rows = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+    sizes = groups.groupBy("_bytes").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    runs = sorted(zip(sizes.column("_bytes").to_pylist(), sizes.column("n").to_pylist(), strict=True), reverse=True)
+    bins = runs_into(runs, shards) if shards else best_fit_runs(runs, capacity)
+    parts = [(s, first, first + n - 1, k) for k, x in enumerate(bins) for s, first, n in x]
+    packed = docs.sparkSession.createDataFrame(pa.table({c: pa.array([p[k] for p in parts], pa.int64()) for k, c in enumerate(("_of", "_from", "_to", "_shard"))}))
+    stretches = packed.select("_of", "_shard", "_to", F.explode(F.sequence("_from", "_to", F.lit(RUN_ROWS))).alias("_at")).repartition("_of", "_at")
+    spots = stretches.select("_of", F.col("_shard").cast("int").alias("shard"), F.explode(F.sequence(F.col("_at"), F.least(F.col("_to"), F.col("_at") + RUN_ROWS - 1))).alias("_spot"))
+    spread = lambda h: F.pmod(F.shiftrightunsigned(h, 11), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    ranked = running_start(groups, "_bytes", [F.col("_a"), F.col("_b"), F.col("_size")], F.lit(1), "_rank", n_groups, spread(F.col("_a")))
+    by_group = ranked.join(spots, (F.col("_bytes") == F.col("_of")) & (F.col("_rank") == F.col("_spot"))).select(F.col("_a").alias("_ga"), F.col("_b").alias("_gb"), F.col("_size").alias("_gn"), "shard")
+    placed = marked.join(written(by_group), (F.col("_a") == F.col("_ga")) & (F.col("_b") == F.col("_gb")) & (F.col("_size") == F.col("_gn")))
+    placed = placed.withColumn("_key", F.xxhash64("_id", "_a")).select(*inner, F.col("_size").alias("size"), "shard", "_key")
+    slotted = running_start(placed, "shard", [F.col("_key")], F.lit(1), "slot", rows, spread(F.col("_key")))
+    return slotted.select(*[F.col(n).alias(c) for c, n in zip(own, inner, strict=True)], "size", "shard", "slot")
 
 
 def shard_report(docs: DataFrame) -> DataFrame:
