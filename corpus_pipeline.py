@@ -15,10 +15,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the smallest id stays."""
-    found = ngram_join.similar_documents(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of each component of near copies, the row with the smallest id stays, null ids last.
+
+    Rows are told apart by a number of their own, written with them: two texts may share an id or have none.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = ngram_join.similar_documents(rows, id_col=row)
+    # a row without links stays
+    linked = written(found.where("n_links > 0").select(F.col("doc_id").alias(row), F.col("component_id").alias("_component")))
+    stay = linked.join(rows.select(row, "doc_id"), row).groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row].alias(row))
+    gone = linked.select(row).join(stay.select(row), row, "left_anti")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
