@@ -6,7 +6,12 @@ hint have a softmax over their words, conditioned on the state; later bands, and
 their unigram distribution. So every word, known or not, has a probability, and they sum to one with unseen words as one.
 
 The VOCABULARY most frequent words travel as one broadcast table of bounded size; rarer words' counts are joined by a
-shuffle. Replicas of the model are trained where documents lie, by truncated backpropagation, and averaged.
+shuffle. Documents are encoded once, two bytes a token, for training and for scoring.
+
+All training documents are dealt by a hash of their ids over shards of about SHARD_TOKENS tokens, and each shard's over
+ROUNDS. In a round every shard trains a replica of the model on its part, by truncated backpropagation; then the replicas
+are averaged by their tokens, and the next round begins with the average. Sums of weights are whole numbers, so neither the
+partitions of the input nor the order in which tasks end have a say in the model.
 """
 
 from __future__ import annotations
@@ -16,15 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import written
+from ._tables import drop, written
 from ._words import chunks
 
 VOCABULARY = 1 << 20
-HINTS, SOFT_BANDS, BAND_WORDS, FLAT_BANDS = 8, 4, 32, 4
-STATE, WINDOW, LANES, SCORE_LANES, SCORE_WINDOW = 16, 16, 64, 256, 64
-#: One in TRAIN_EVERY training documents, by hash of the id, goes through backpropagation: all of them, unless a caller asks for less.
-TRAIN_EVERY = 1
+HINTS, SOFT_BANDS, BAND_WORDS, FLAT_BANDS = 8, 8, 64, 4
+STATE, WINDOW, LANES, SCORE_LANES, SCORE_WINDOW = 16, 16, 256, 256, 64
+#: Tokens of a shard, about; rounds; windows of a stretch, the part of a shard that is laid over the lanes at once.
+SHARD_TOKENS, ROUNDS, STRETCH = 1 << 22, 4, 64
 RATE, CLIP, SEED = 0.02, 1.0, 7
+#: In sums of replicas, weights are multiples of 1 / GRAIN and tokens of TOKEN_GRAIN: whole numbers below 2**63 for 2**43 tokens.
+GRAIN, TOKEN_GRAIN = 1 << 20, 1 << 8
+#: Tasks that sum replicas; each sends one row to the driver.
+SUM_TASKS = 8
 #: Tokens that a task counts before it hands on.
 COUNT_TOKENS = 1 << 21
 END = np.uint64(0x5E17D0C5E17D0C51)
@@ -105,9 +114,15 @@ class Vocabulary:
         self.word_bias = np.full((len(self.soft), BAND_WORDS), -30.0)
         in_soft = self.row[self.of] >= 0
         self.word_bias[self.row[self.of[in_soft]], self.slot[in_soft]] = np.log(weight[in_soft] / class_mass[self.of[in_soft]])
-        self.inputs = len(self.soft) * BAND_WORDS + self.classes
+        self.inputs = len(self.soft) * BAND_WORDS + self.classes  # 2**16 at most, by the constants
         self.input = np.where(in_soft, self.row[self.of] * BAND_WORDS + self.slot, len(self.soft) * BAND_WORDS + self.of).astype(np.int32)
-        self.rare_input = len(self.soft) * BAND_WORDS + self.rare
+        self.rare_input, self.end_input = self.inputs - 2, self.inputs - 1
+        # class, row of soft classes (or -1) and slot of each input number
+        self.input_class = np.r_[np.repeat(self.soft, BAND_WORDS), np.arange(self.classes)]
+        self.input_row = np.r_[np.repeat(np.arange(len(self.soft)), BAND_WORDS), np.full(self.classes, -1)].astype(np.int16)  # short numbers sort in linear time
+        self.input_slot = np.r_[np.tile(np.arange(BAND_WORDS), len(self.soft)), np.zeros(self.classes, np.int64)]
+        #: what a word's share of a flat class adds to its class's log probability
+        self.flat = np.where(in_soft, 0.0, self.log_weight - self.log_mass[self.of])
 
     def look(self, hashes):
         """Places in the table, -1 for other words."""
@@ -121,201 +136,307 @@ def start_weights(v: Vocabulary) -> dict[str, np.ndarray]:
     return {"x": make(v.inputs, 3 * STATE), "u": make(STATE, 3 * STATE), "c": make(STATE, v.classes) * 0, "cb": v.class_bias.astype(np.float32), "w": make(len(v.soft), STATE, BAND_WORDS) * 0, "wb": v.word_bias.astype(np.float32)}
 
 
+def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in sorted(p)])
+
+
+def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    cuts = np.cumsum([like[k].size for k in sorted(like)])[:-1]
+    return {k: part.reshape(like[k].shape).astype(np.float32) for k, part in zip(sorted(like), np.split(flat, cuts), strict=True)}
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def _step(p, ids, h):
-    x, u = p["x"][ids], h @ p["u"]
+def _gates(x, h, u):
+    """The state after an input whose row is x, and what its derivative needs."""
+    u = h @ u
     zr = _sigmoid(x[:, : 2 * STATE] + u[:, : 2 * STATE])
     z, r, un = zr[:, :STATE], zr[:, STATE:], u[:, 2 * STATE :]
     n = np.tanh(x[:, 2 * STATE :] + r * un)
     return n + z * (h - n), z, r, n, un
 
 
-def _log_softmax(x):
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def _softmax(x):
+    """In place."""
+    x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=-1, keepdims=True)
+    return x
+
+
+def _log_chance(x, at):
+    """Natural log of the softmax of each row of x at one place; x is overwritten."""
+    x -= x.max(axis=-1, keepdims=True)
+    own = x[np.arange(len(x)), at].astype(np.float64)
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=-1))
+
+
+class Inner:
+    """The states of tokens in soft classes, sorted by class, and the scores of their classes' words."""
+
+    def __init__(self, p: dict[str, np.ndarray], hs: np.ndarray, rows: np.ndarray):
+        order = np.argsort(rows, kind="stable")
+        self.at = order[np.searchsorted(rows[order], 0) :]  # without those of other classes, -1
+        sorted_rows = rows[self.at].astype(np.int64)
+        self.hs, self.weights = hs[self.at], p["w"]
+        starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]]) if len(self.at) else []
+        self.starts, self.rows = starts, sorted_rows[starts]
+        self.cuts = [(int(k), int(x), int(y)) for k, x, y in zip(self.rows, starts, np.r_[starts[1:], len(self.at)], strict=True)] if len(self.at) else []
+        self.scores = p["wb"][sorted_rows]
+        for k, x, y in self.cuts:
+            self.scores[x:y] += self.hs[x:y] @ self.weights[k]
+
+    def gradients(self, d: np.ndarray, g: dict[str, np.ndarray], d_out: np.ndarray) -> None:
+        """From the derivative by the scores, those by the weights, into g, and by the states, added to d_out."""
+        back = np.empty_like(self.hs)
+        for k, x, y in self.cuts:
+            g["w"][k] = self.hs[x:y].T @ d[x:y]
+            back[x:y] = d[x:y] @ self.weights[k].T
+        if self.cuts:
+            g["wb"][self.rows] = np.add.reduceat(d, self.starts, axis=0)
+            d_out[self.at] += back
+
+
+class Learner:
+    """One replica in training: Adam on the cross entropy of class and, in soft classes, word, by truncated backpropagation."""
+
+    def __init__(self, v: Vocabulary, p: dict[str, np.ndarray], steps: int = 0):
+        self.v, self.p, self.steps, self.first = v, {k: a.copy() for k, a in p.items()}, steps, steps
+        self.m1, self.m2 = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
+
+    def stretch(self, documents: list[np.ndarray]) -> int:
+        """Learns documents (words' input numbers, each with the end after it) laid over the lanes one after another; their tokens."""
+        v = self.v
+        starts = np.cumsum([0, *(len(d) for d in documents)])
+        n = int(starts[-1])
+        lanes = max(1, min(LANES, n // WINDOW))
+        length = -(-n // lanes)
+        targets = np.full(lanes * length, v.end_input)
+        targets[:n] = np.concatenate(documents)
+        inputs = np.r_[v.end_input, targets[:-1]]
+        keep = np.ones(lanes * length, np.float32)
+        keep[starts[:-1]] = 0  # a document begins without a state
+        keep[::length] = 0
+        used = (np.arange(lanes * length) < n).astype(np.float32)
+        inputs, targets, keep, used = (x.reshape(lanes, length).T for x in (inputs, targets, keep, used))
+        h = np.zeros((lanes, STATE), np.float32)
+        for at in range(0, length, WINDOW):
+            h = self._window(inputs[at : at + WINDOW], targets[at : at + WINDOW], keep[at : at + WINDOW, :, None], used[at : at + WINDOW], h)
+        return n
+
+    def _window(self, inputs, targets, keep, used, h):
+        v, p = self.v, self.p
+        span, lanes = inputs.shape
+        n_used = float(used.sum())
+        x = p["x"][inputs]
+        before, after, saved = np.empty((span, lanes, STATE), np.float32), np.empty((span, lanes, STATE), np.float32), []
+        for t in range(span):
+            before[t] = h * keep[t]
+            h, *rest = _gates(x[t], before[t], p["u"])
+            after[t] = h
+            saved.append(rest)
+        hs, target, share = after.reshape(-1, STATE), targets.ravel(), used.ravel() / n_used
+        prob = _softmax(hs @ p["c"] + p["cb"])
+        prob[np.arange(len(hs)), v.input_class[target]] -= 1
+        prob *= share[:, None]
+        g = {"c": hs.T @ prob, "cb": prob.sum(axis=0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
+        d_out = prob @ p["c"].T
+        inner = Inner(p, hs, np.where(share > 0, v.input_row[target], np.int16(-1)))
+        prob = _softmax(inner.scores)
+        prob[np.arange(len(prob)), v.input_slot[target[inner.at]]] -= 1
+        prob /= n_used
+        inner.gradients(prob, g, d_out)
+        d_out = d_out.reshape(span, lanes, STATE)
+        dx, du = np.empty((span, lanes, 3 * STATE), np.float32), np.empty((span, lanes, 3 * STATE), np.float32)
+        back, dh = np.ascontiguousarray(p["u"].T), np.zeros((lanes, STATE), np.float32)
+        for t in range(span - 1, -1, -1):
+            z, r, n, un = saved[t]
+            d = dh + d_out[t]
+            dn = d * (1 - z) * (1 - n * n)
+            dx[t, :, :STATE] = d * (before[t] - n) * z * (1 - z)
+            dx[t, :, STATE : 2 * STATE] = dn * un * r * (1 - r)
+            dx[t, :, 2 * STATE :] = dn
+            du[t] = dx[t]
+            du[t, :, 2 * STATE :] *= r
+            dh = (d * z + du[t] @ back) * keep[t]
+        g["u"] = before.reshape(-1, STATE).T @ du.reshape(-1, 3 * STATE)
+        flat = inputs.ravel().astype(np.uint16)
+        order = np.argsort(flat, kind="stable")
+        new = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
+        g["x"] = np.zeros_like(p["x"])
+        g["x"][flat[order[new]]] = np.add.reduceat(dx.reshape(-1, 3 * STATE)[order], new, axis=0)
+        self._update(g, n_used / (WINDOW * LANES))
+        return h
+
+    def _update(self, g, fill: float):
+        """A stretch's last, half empty windows take smaller steps."""
+        self.steps += 1
+        size = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
+        k = self.steps - self.first
+        rate = RATE * min(1.0, CLIP / (size + 1e-9)) * min(1.0, fill) ** 0.5
+        rate *= np.sqrt(1 - 0.999**k) / (1 - 0.9**k) / (1 + self.steps / 500) ** 0.5
+        for name, a in g.items():
+            m1, m2 = self.m1[name], self.m2[name]
+            m1 += 0.1 * (a - m1)
+            m2 += 0.001 * (a * a - m2)
+            self.p[name] -= (rate * m1 / (np.sqrt(m2) + 1e-8)).astype(np.float32)
+
+
+SUM_SCHEMA = pa.schema([("tokens", pa.int64()), ("units", pa.int64()), ("steps", pa.int64()), ("weights", pa.binary())])
+SUM_TYPE = "tokens bigint, units bigint, steps bigint, weights binary"
+
+
+def _summed(found):
+    """One row of the sums of (tokens, units, steps, whole weights)."""
+    tokens, units, steps, total = 0, 0, 0, None
+    for n, u, k, w in found:
+        tokens, units, steps, total = tokens + n, units + u, max(steps, k), w if total is None else total + w
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in (tokens, units, steps)), pa.array([total.tobytes()], pa.binary())], schema=SUM_SCHEMA)
+
+
+def _sum(batches):
+    yield from _summed((*row, np.frombuffer(w.as_buffer(), np.int64)) for b in batches for *row, w in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True))
 
 
 def _train(shared):
-    """One row: this task's weights after its documents, flat, and the tokens they saw."""
-    schema = pa.schema([("tokens", pa.int64()), ("weights", pa.list_(pa.float32()))])
+    """Rows (shard, tokens) sorted by shard: the sum of the task's replicas, each by its tokens."""
 
-    def run(batches):
-        v = shared.value
-        p = start_weights(v)
-        m1, m2 = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
-        seen = steps = 0
-        waiting: list[tuple] = []
-        lanes: list = [None] * LANES
-        h = np.zeros((LANES, STATE), np.float32)
-
-        def learn():
-            nonlocal h, seen, steps
-            ids, targets, used = np.zeros((WINDOW, LANES), np.int64), np.zeros((WINDOW, LANES), np.int64), np.zeros((WINDOW, LANES), np.float32)
-            slots = np.zeros((WINDOW, LANES), np.int64)
-            for lane in range(LANES):
-                if lanes[lane] is None and waiting:
-                    lanes[lane] = (*waiting.pop(), 0)
-                    h[lane] = 0
-                if lanes[lane] is None:
-                    continue
-                inputs, of, slot, at = lanes[lane]
-                part = min(WINDOW, len(of) - at)
-                ids[:part, lane], targets[:part, lane], slots[:part, lane], used[:part, lane] = inputs[at : at + part], of[at : at + part], slot[at : at + part], 1
-                lanes[lane] = None if at + part >= len(of) else (inputs, of, slot, at + part)
-            n_used = float(used.sum())
-            if not n_used:
-                return
-            states, saved = [h], []
-            for t in range(WINDOW):
-                new, *rest = _step(p, ids[t], states[-1])
-                on = used[t][:, None]
-                states.append(on * new + (1 - on) * states[-1])
-                saved.append(rest)
-            hs = np.stack(states[:-1]).reshape(-1, STATE)
-            flat_of, flat_slot, flat_on = targets.ravel(), slots.ravel(), used.ravel()[:, None]
-            prob = np.exp(_log_softmax(hs @ p["c"] + p["cb"]))
-            prob[np.arange(len(hs)), flat_of] -= 1
-            prob *= flat_on / n_used
-            g = {"c": hs.T @ prob, "cb": prob.sum(axis=0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
-            d_out = prob @ p["c"].T
-            rows = v.row[flat_of]
-            for k in np.unique(rows[(rows >= 0) & (flat_on[:, 0] > 0)]):
-                at = np.flatnonzero((rows == k) & (flat_on[:, 0] > 0))
-                inner = np.exp(_log_softmax(hs[at] @ p["w"][k] + p["wb"][k]))
-                inner[np.arange(len(at)), flat_slot[at]] -= 1
-                inner /= n_used
-                g["w"][k], g["wb"][k] = hs[at].T @ inner, inner.sum(axis=0)
-                d_out[at] += inner @ p["w"][k].T
-            d_out = d_out.reshape(WINDOW, LANES, STATE)
-            dx, g["u"], dh = np.zeros((WINDOW, LANES, 3 * STATE), np.float32), np.zeros_like(p["u"]), np.zeros((LANES, STATE), np.float32)
-            for t in range(WINDOW - 1, -1, -1):
-                z, r, n, un = saved[t]
-                on, before = used[t][:, None], states[t]
-                d = dh * on
-                dn = d * (1 - z) * (1 - n * n)
-                dz = d * (before - n) * z * (1 - z)
-                dr = dn * un * r * (1 - r)
-                dx[t] = np.concatenate([dz, dr, dn], axis=1)
-                du = np.concatenate([dz, dr, dn * r], axis=1)
-                g["u"] += before.T @ du
-                dh = dh * (1 - on) + d * z + du @ p["u"].T + d_out[t]
-            flat = ids.ravel()
-            g["x"] = np.zeros_like(p["x"])
-            np.add.at(g["x"], flat, dx.reshape(-1, 3 * STATE))
-            h = states[-1]
-            size = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-            steps += 1
-            rate = RATE * min(1.0, CLIP / (size + 1e-9)) if size > CLIP else RATE
-            rate *= n_used / (WINDOW * LANES)  # else a task's last long documents, alone in their lanes, outweigh all others
-            rate *= np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps) / (1 + steps / 2000) ** 0.5
-            for k, a in g.items():
-                m1[k] += 0.1 * (a - m1[k])
-                m2[k] += 0.001 * (a * a - m2[k])
-                p[k] -= (rate * m1[k] / (np.sqrt(m2[k]) + 1e-8)).astype(np.float32)
-            seen += int(n_used)
+    def replicas(batches):
+        v, flat, steps = shared.value
+        p = _shaped(flat, start_weights(v))
+        shard, learner, seen, held, n = None, None, 0, [], 0
 
-        for batch in batches:
-            for _, w in chunks(batch.column(0)):
-                place = v.look(w.hashes)
-                for k in range(len(w)):
-                    own = place[w.first[k] : w.first[k + 1]]
-                    of = np.r_[np.where(own >= 0, v.of[own], v.rare), v.end]
-                    inputs = np.r_[v.inputs - 1, np.where(own >= 0, v.input[own], v.rare_input)]
-                    waiting.append((inputs, of, np.r_[np.where(own >= 0, v.slot[own], 0), 0]))
-                while len(waiting) > LANES:
-                    learn()
-        while waiting or any(x is not None for x in lanes):
-            learn()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([np.concatenate([p[k].ravel() for k in sorted(p)]).tolist()], pa.list_(pa.float32()))], schema=schema)
+        def close():
+            nonlocal seen, held, n
+            if held:
+                seen += learner.stretch(held)
+                held, n = [], 0
+            units = max(1, seen // TOKEN_GRAIN)
+            return seen, units, learner.steps, np.rint(_flat(learner.p).astype(np.float64) * GRAIN).astype(np.int64) * units
 
-    return run
+        for batch in batches:
+            for own, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if own != shard:
+                    if learner is not None:
+                        yield close()
+                    shard, learner, seen = own, Learner(v, p, steps), 0
+                held.append(np.r_[np.frombuffer(raw.as_buffer(), np.uint16), np.uint16(v.end_input)])
+                n += len(held[-1])
+                if n >= STRETCH * WINDOW * LANES:
+                    seen += learner.stretch(held)
+                    held, n = [], 0
+        if learner is not None:
+            yield close()
+
+    return lambda batches: _summed(replicas(batches))
+
+
+def trained(spark, v: Vocabulary, encoded: DataFrame, total: int, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> tuple[dict[str, np.ndarray], int]:
+    """The weights after all rounds over encoded (doc_id, tokens), the training documents, and the tokens that they saw; without any, those of the start."""
+    like = start_weights(v)
+    flat, steps, seen = _flat(like), 0, 0
+    shards = max(1, -(-total // shard_tokens))
+    spot = F.xxhash64("doc_id", "tokens")
+    dealt = encoded.select(F.pmod(spot, F.lit(rounds)).alias("round"), F.pmod(F.xxhash64(spot, F.lit(5)), F.lit(shards)).alias("shard"), spot.alias("spot"), "tokens")
+    for k in range(rounds):
+        shared = spark.sparkContext.broadcast((v, flat, steps))
+        rows = dealt.where(F.col("round") == k).repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "spot", "tokens").select("shard", "tokens")
+        replicas = rows.mapInArrow(_train(shared), SUM_TYPE)
+        sums = replicas.repartition(SUM_TASKS).mapInArrow(_sum, SUM_TYPE).toArrow()
+        units = sum(sums.column("units").to_pylist())
+        seen += sum(sums.column("tokens").to_pylist())
+        if units:
+            whole = sum(np.frombuffer(w.as_buffer(), np.int64) for w in sums.column("weights"))
+            flat, steps = (whole / (units * GRAIN)).astype(np.float32), max(sums.column("steps").to_pylist())
+        shared.unpersist()
+    return _shaped(flat, like), seen
 
 
 def document_scores(v: Vocabulary, p: dict, docs: list[np.ndarray]) -> np.ndarray:
-    """log10 probability by the model of each document (places in the table, without end), rare words' inner part left out."""
+    """log10 probability by the model of each document (its words' input numbers), without the words' shares of flat classes."""
     out = np.zeros(len(docs))
     order = sorted(range(len(docs)), key=lambda k: -len(docs[k]))
-    offset = v.log_weight - v.log_mass[v.of] if len(v.words) else np.zeros(0)  # inner part of flat classes
-    soft = v.row[v.of] >= 0 if len(v.words) else np.zeros(0, bool)
     for at in range(0, len(order), SCORE_LANES):
         own = order[at : at + SCORE_LANES]
         lengths = np.array([len(docs[k]) + 1 for k in own])
         h = np.zeros((len(own), STATE), np.float32)
-        last = np.full(len(own), v.inputs - 1, np.int64)  # input before the first word: the end's
-        total = np.zeros(len(own))
+        last = np.full(len(own), v.end_input)  # input before the first word: the end's
         for t0 in range(0, int(lengths[0]), SCORE_WINDOW):
-            active = int(np.searchsorted(-lengths, -t0, "left"))  # lengths > t0
             span = min(SCORE_WINDOW, int(lengths[0]) - t0)
-            places = np.full((span, active), -2, np.int64)
-            for lane in range(active):
+            active = [int(np.searchsorted(-lengths, -(t0 + t), "left")) for t in range(span)]  # lengths > t0 + t
+            targets = np.full((span, active[0]), v.end_input)
+            for lane in range(active[0]):
                 part = docs[own[lane]][t0 : t0 + span]
-                places[: len(part), lane] = part
-                if t0 <= lengths[lane] - 1 < t0 + span:
-                    places[lengths[lane] - 1 - t0, lane] = -3  # the end
-            states, lanes, marks = [], [], []
-            for t in range(span):
-                n = int(np.searchsorted(-lengths[:active], -(t0 + t), "left"))
-                if not n:
-                    break
+                targets[: len(part), lane] = part
+            inputs = np.concatenate([last[None, : active[0]], targets[:-1]])
+            last[: active[0]] = targets[-1]
+            x = p["x"][inputs]
+            states = []
+            for t, n in enumerate(active):
                 # the state before the token has seen what came before it
-                h[:n] = _step(p, last[:n], h[:n])[0]
+                h[:n] = _gates(x[t, :n], h[:n], p["u"])[0]
                 states.append(h[:n].copy())
-                lanes.append(np.arange(n))
-                here = places[t, :n]
-                marks.append(here)
-                last[:n] = np.where(here >= 0, v.input[here], v.rare_input)
-            hs, lane, mark = np.concatenate(states), np.concatenate(lanes), np.concatenate(marks)
-            of = np.where(mark >= 0, v.of[mark], np.where(mark == -3, v.end, v.rare))
-            logs = hs @ p["c"] + p["cb"]
-            value = (logs[np.arange(len(hs)), of] - np.log(np.exp(logs - (top := logs.max(axis=1, keepdims=True))).sum(axis=1)) - top[:, 0]).astype(np.float64) / np.log(10)
-            known = mark >= 0
-            value[known] += np.where(soft[mark[known]], 0.0, offset[mark[known]])
-            rows = np.where(known, v.row[of], -1)
-            by = np.argsort(rows, kind="stable")
-            cuts = np.searchsorted(rows[by], np.arange(len(v.soft) + 1))
-            for k in range(len(v.soft)):
-                if cuts[k + 1] > cuts[k]:
-                    i = by[cuts[k] : cuts[k + 1]]
-                    inner = _log_softmax(hs[i] @ p["w"][k] + p["wb"][k])
-                    value[i] += inner[np.arange(len(i)), v.slot[mark[i]]] / np.log(10)
-            total[: len(own)] += np.bincount(lane, value, len(own))
-        out[own] = total
+            hs, target = np.concatenate(states), np.concatenate([targets[t, :n] for t, n in enumerate(active)])
+            value = _log_chance(hs @ p["c"] + p["cb"], v.input_class[target])
+            inner = Inner(p, hs, v.input_row[target])
+            value[inner.at] += _log_chance(inner.scores, v.input_slot[target[inner.at]])
+            out[own] += np.bincount(np.concatenate([np.arange(n) for n in active]), value, len(own)) / np.log(10)
     return out
 
 
-def _score(shared):
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("others", pa.list_(pa.int64()))])
+def _encode(shared):
+    """A row for each document: its counts, the base's sum without the norm, the words' shares of flat classes, the words outside the table, its tokens."""
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("flat", pa.float64()), ("others", pa.list_(pa.int64())), ("tokens", pa.binary())])
 
     def run(batches):
-        v, p = shared.value
+        v = shared.value
         end = v.look(np.array([END]))[0]
         end_weight = v.log_weight[end] if end >= 0 else np.log10(0.5)
         for batch in batches:
-            docs, hashes = [], []
+            parts = []
             for _, w in chunks(batch.column(2)):
                 place = v.look(w.hashes)
-                for k in range(len(w)):
-                    docs.append(place[w.first[k] : w.first[k + 1]])
-                    hashes.append(w.hashes[w.first[k] : w.first[k + 1]][docs[-1] < 0].view(np.int64))
-            model = document_scores(v, p, docs)
-            base = [float(v.log_weight[d[d >= 0]].sum() + end_weight) for d in docs]
-            known = [int((d >= 0).sum()) + int(end >= 0) for d in docs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(d) + 1 for d in docs], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(model), pa.array(hashes, pa.list_(pa.int64()))], schema=schema)
+                known = place >= 0
+                inputs = np.full(len(place), v.rare_input, np.uint16)
+                inputs[known] = v.input[place[known]]
+                weight, flat = np.zeros(len(place)), np.zeros(len(place))
+                weight[known], flat[known] = v.log_weight[place[known]], v.flat[place[known]]
+                sums = [np.diff(np.r_[0, np.cumsum(x)][w.first]) for x in (known, weight, flat)]
+                parts.append((np.diff(w.first), *sums, w.hashes[~known].view(np.int64), inputs))
+            n, known, weight, flat, others, inputs = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 6
+            tokens = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.r_[0, np.cumsum(2 * n)].astype(np.int32)), pa.py_buffer(inputs.astype(np.uint16).tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n + 1, pa.int64()), pa.array(known + int(end >= 0), pa.int64()), pa.array(weight + end_weight, pa.float64()), pa.array(flat, pa.float64()), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n - known)].astype(np.int32)), pa.array(others, pa.int64())), tokens], schema=schema)
 
     return run
 
 
-def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", hint_col: str | None = "lang", vocabulary: int = VOCABULARY, train_every: int = TRAIN_EVERY) -> DataFrame:
+def _score(shared):
+    """The model's sum in the place of each row's last column, the tokens."""
+
+    def run(batches):
+        v, p = shared.value
+        for batch in batches:
+            docs = [np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(document_scores(v, p, docs))], names=[*batch.schema.names[:-1], "model"])
+
+    return run
+
+
+ROW = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, flat double, others array<bigint>"
+
+
+def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", hint_col: str | None = "lang", vocabulary: int = VOCABULARY, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document.
 
-    Training documents are those whose crc32 of the id as text, modulo 5, isn't 1; a null id is one of them. Words are
-    [^\\x20\\x09-\\x0D]+, A-Z lower-cased; every document ends with an end token. A null or empty text is the end alone.
-    hint_col only groups words into classes; nulls are a group. Without training documents everything is unseen.
-    Repeated rows are rows of their own. An empty table gives an empty result. Other columns are not read.
+    Training documents, all of which go through backpropagation, are those whose crc32 of the id as text, modulo 5, isn't
+    1; a null id is one of them. Words are [^\\x20\\x09-\\x0D]+, A-Z lower-cased; every document ends with an end token.
+    A null or empty text is the end alone. hint_col only groups words into classes; nulls are a group. Without training
+    documents everything is unseen. Repeated rows are rows of their own. An empty table gives an empty result. Other
+    columns are not read.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
@@ -340,19 +461,13 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     frequent = counts.where((F.col("n") >= cutoff) | (F.col("word") == int(END.astype(np.int64)))).toArrow()
     v = Vocabulary(frequent.column("word").to_numpy().view(np.uint64), frequent.column("n").to_numpy(), frequent.column("hint").to_numpy(), got.total, got.kinds)
     shared = spark.sparkContext.broadcast(v)
-    learning = rows.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(train_every)) == 0)).select("text")
-    replicas = learning.mapInArrow(_train(shared), "tokens bigint, weights array<float>")
-    averaged = replicas.select("tokens", F.posexplode("weights").alias("at", "x")).groupBy("at").agg((F.sum(F.col("x").cast("double") * F.col("tokens")) / F.sum("tokens")).alias("x")).toArrow()
-    p = start_weights(v)
-    if averaged.num_rows:
-        flat = np.empty(averaged.num_rows, np.float32)
-        flat[averaged.column("at").to_numpy()] = averaged.column("x").to_numpy()
-        at = 0
-        for k in sorted(p):
-            p[k] = flat[at : at + p[k].size].reshape(p[k].shape)
-            at += p[k].size
+    encoded = written(rows.select("doc_id", "held_out", "text").mapInArrow(_encode(shared), ROW + ", tokens binary").withColumn("row", F.monotonically_increasing_id()))
+    p, seen = trained(spark, v, encoded.where(~F.col("held_out")), int(got.total), shard_tokens, rounds)
+    if seen != got.total:
+        raise RuntimeError(f"{seen} of {got.total} training tokens were learned")
     both = spark.sparkContext.broadcast((v, p))
-    scored = written(rows.select("doc_id", "held_out", "text").mapInArrow(_score(both), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, model double, others array<bigint>").withColumn("row", F.monotonically_increasing_id()))
+    scored = written(encoded.select(*encoded.columns[:7], "row", "tokens").mapInArrow(_score(both), ROW + ", row bigint, model double"))
+    drop(encoded)
     # words outside the table: their own counts, or unseen
     others = scored.select("row", F.explode("others").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
     seen = others.join(counts.select("word", "n"), "word", "left")
@@ -360,4 +475,6 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     weight = F.log10(F.coalesce("n", F.lit(0)) + 0.5)
     extra = seen.groupBy("row").agg(F.sum(F.col("times") * weight).alias("w"), F.sum("times").alias("t"), F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))), F.lit(0)).alias("known"))
     joined = scored.drop("others").join(extra, "row", "left").fillna({"w": 0.0, "t": 0, "known": 0})
-    return joined.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"), F.lit(int(got.total)).cast("long").alias("train_tokens"), (F.col("base") + F.col("w") - F.col("n_tokens") * float(v.norm)).alias("base_score"), (F.col("model") + F.col("w") - F.col("t") * rare_mass).alias("score"))
+    base = F.col("base") + F.col("w") - F.col("n_tokens") * float(v.norm)
+    score = F.col("model") + F.col("flat") + F.col("w") - F.col("t") * rare_mass
+    return joined.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"), F.lit(int(got.total)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
