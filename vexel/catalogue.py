@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import Engine, run_search
 from .functions import text as T
 from .functions import vectors as V
 from .functions.ring import plan_rebalance, shard_column
 from .operators import dense, lexical, mutations, quantize, rag, topk
 from .plans.filters import compile_filter, index_numbers, index_tokens, payload_variant
-from .types import Metric
+from .types import CollectionConfig, Metric, SearchRequest
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -34,10 +39,9 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("values"), F.to_json(F.struct("label")).alias("payload"))
 
 
-def asked(spark, d, n: int | None = 5) -> DataFrame:
-    """Rows as queries: ids below n, as the SQL has them, or for None all ids divisible by 20."""
-    own = F.col("vec_id") % 20 == 0 if n is None else F.col("vec_id") < n
-    return _t(spark, d, "embeddings").where(own).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query"))
+def asked(spark, d) -> DataFrame:
+    """Every row whose id is divisible by 20, as a query."""
+    return _t(spark, d, "embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query"))
 
 
 def texts(spark, d) -> DataFrame:
@@ -58,7 +62,7 @@ def _out(hits: DataFrame) -> DataFrame:
 
 
 E_SQL = "SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings"
-Q_SQL = "SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 5"
+Q_SQL = "SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0"
 SCORES = {"cosine": "list_cosine_similarity(v, q)", "dot": "list_inner_product(v, q)", "euclidean": "0 - list_inner_product(list_transform(list_zip(v, q), lambda p: p[1] - p[2]), list_transform(list_zip(v, q), lambda p: p[1] - p[2]))"}
 
 
@@ -68,97 +72,95 @@ def dense_sql(metric="cosine", k=10, where="true", extra="") -> str:
 
 
 @query(dense_sql("cosine"))
-def dense_cosine_topk(spark, d, n=5):
-    return _out(dense.exact(points(spark, d), asked(spark, d, n), Metric.COSINE, 10))
+def dense_cosine_topk(spark, d):
+    return _out(dense.exact(points(spark, d), asked(spark, d), Metric.COSINE, 10))
 
 
 @query(dense_sql("euclidean"))
-def dense_euclidean_topk(spark, d, n=5):
-    return _out(dense.exact(points(spark, d), asked(spark, d, n), Metric.EUCLIDEAN, 10))
+def dense_euclidean_topk(spark, d):
+    return _out(dense.exact(points(spark, d), asked(spark, d), Metric.EUCLIDEAN, 10))
 
 
 @query(dense_sql("dot"))
-def dense_dot_topk(spark, d, n=5):
-    return _out(dense.exact(points(spark, d), asked(spark, d, n), Metric.DOT, 10))
+def dense_dot_topk(spark, d):
+    return _out(dense.exact(points(spark, d), asked(spark, d), Metric.DOT, 10))
 
 
 @query(dense_sql("cosine"))
-def dense_batch_topk(spark, d, n=5):
-    return _out(dense.batch(points(spark, d), asked(spark, d, n), Metric.COSINE, 10))
+def dense_batch_topk(spark, d):
+    return _out(dense.batch(points(spark, d), asked(spark, d), Metric.COSINE, 10))
 
 
-@query(dense_sql("euclidean").replace("vec_id < 5", "vec_id < 40"))
-def dense_batch_euclidean(spark, d, n=40):
-    return _out(dense.batch(points(spark, d), asked(spark, d, n), Metric.EUCLIDEAN, 10))
+@query(dense_sql("euclidean"))
+def dense_batch_euclidean(spark, d):
+    return _out(dense.batch(points(spark, d), asked(spark, d), Metric.EUCLIDEAN, 10))
 
 
 @query(dense_sql("cosine", 20))
-def dense_overfetch_2k(spark, d, n=5):
-    return _out(dense.exact(points(spark, d), asked(spark, d, n), Metric.COSINE, 2 * 10))
+def dense_overfetch_2k(spark, d):
+    return _out(dense.exact(points(spark, d), asked(spark, d), Metric.COSINE, 2 * 10))
 
 
-@query(f"""WITH e AS ({E_SQL} UNION ALL SELECT 'zero', list_transform(range(64), lambda x: 0.0::DOUBLE), 0),
-z AS (SELECT id, CASE WHEN list_inner_product(v, v) = 0 THEN 0.0 ELSE list_cosine_similarity(v, q) END AS score FROM e, ({Q_SQL}) q WHERE query_id = 0)
-SELECT id, round(score, 6) AS score FROM z""")
+@query(f"""WITH e AS ({E_SQL} UNION ALL SELECT 'zero', list_transform(range(64), lambda x: 0.0::DOUBLE), 0)
+SELECT query_id, id, round(CASE WHEN list_inner_product(v, v) = 0 THEN 0.0 ELSE list_cosine_similarity(v, q) END, 6) AS score FROM e, ({Q_SQL}) q""")
 def dense_cosine_zero_norm(spark, d):
     zero = spark.range(1).select(F.lit("zero").alias("id"), F.array_repeat(F.lit(0.0), 64).alias("v"))
     both = points(spark, d).select("id", V.doubles("values").alias("v")).unionByName(zero)
-    one = asked(spark, d, 1)
-    return both.crossJoin(F.broadcast(one)).select("id", F.round(V.cosine(F.col("v"), F.col("query")), 6).alias("score"))
+    return both.crossJoin(F.broadcast(asked(spark, d))).select("query_id", "id", F.round(V.cosine(F.col("v"), F.col("query")), 6).alias("score"))
 
 
-@query(f"SELECT id, round(list_cosine_similarity(v, q), 6) AS score FROM ({E_SQL}), ({Q_SQL}) WHERE query_id = 3 ORDER BY list_cosine_similarity(v, q) DESC, id LIMIT 7")
+@query(f"SELECT id, round(list_cosine_similarity(v, q), 6) AS score FROM ({E_SQL}), ({Q_SQL}) WHERE query_id = 0 ORDER BY list_cosine_similarity(v, q) DESC, id LIMIT 7")
 def dense_single_query_limit(spark, d):
-    one = asked(spark, d).where("query_id = 3")
+    one = asked(spark, d).where("query_id = 0")
     s = points(spark, d).crossJoin(F.broadcast(one)).select("id", V.cosine(V.doubles("values"), F.col("query")).alias("s"))
     return s.orderBy(F.desc("s"), "id").limit(7).select("id", F.round("s", 6).alias("score"))
 
 
-def _filtered(spark, d, rule, n, k=10):
+def _filtered(spark, d, rule, k=10):
     p = points(spark, d)
-    return _out(dense.exact(p.where(compile_filter(rule, payload_variant(F.col("payload")))), asked(spark, d, n), Metric.COSINE, k))
+    return _out(dense.exact(p.where(compile_filter(rule, payload_variant(F.col("payload")))), asked(spark, d), Metric.COSINE, k))
 
 
 @query(dense_sql(where="label = 3"))
-def filtered_dense_match(spark, d, n=5):
-    return _filtered(spark, d, {"must": [{"key": "label", "match": 3}]}, n)
+def filtered_dense_match(spark, d):
+    return _filtered(spark, d, {"must": [{"key": "label", "match": 3}]})
 
 
 @query(dense_sql(where="label IN (1, 4, 7)"))
-def filtered_dense_any_of(spark, d, n=5):
-    return _filtered(spark, d, {"must": [{"key": "label", "any_of": [1, 4, 7]}]}, n)
+def filtered_dense_any_of(spark, d):
+    return _filtered(spark, d, {"must": [{"key": "label", "any_of": [1, 4, 7]}]})
 
 
 @query(dense_sql(where="label >= 2 AND label < 5"))
-def filtered_dense_range(spark, d, n=5):
-    return _filtered(spark, d, {"must": [{"key": "label", "range": {"gte": 2, "lt": 5}}]}, n)
+def filtered_dense_range(spark, d):
+    return _filtered(spark, d, {"must": [{"key": "label", "range": {"gte": 2, "lt": 5}}]})
 
 
 @query(dense_sql(where="label IS NOT NULL"))
-def filtered_dense_exists(spark, d, n=5):
-    return _filtered(spark, d, {"must": [{"key": "label", "exists": True}, {"key": "none.such", "exists": False}]}, n)
+def filtered_dense_exists(spark, d):
+    return _filtered(spark, d, {"must": [{"key": "label", "exists": True}, {"key": "none.such", "exists": False}]})
 
 
 @query(dense_sql(where="label <> 0 AND label NOT IN (5, 6)"))
-def filtered_dense_must_not(spark, d, n=5):
-    return _filtered(spark, d, {"must_not": [{"key": "label", "match": 0}, {"key": "label", "any_of": [5, 6]}]}, n)
+def filtered_dense_must_not(spark, d):
+    return _filtered(spark, d, {"must_not": [{"key": "label", "match": 0}, {"key": "label", "any_of": [5, 6]}]})
 
 
 @query(dense_sql(where="label = 1 OR label > 7"))
-def filtered_dense_should(spark, d, n=5):
-    return _filtered(spark, d, {"should": [{"key": "label", "match": 1}, {"key": "label", "range": {"gt": 7}}]}, n)
+def filtered_dense_should(spark, d):
+    return _filtered(spark, d, {"should": [{"key": "label", "match": 1}, {"key": "label", "range": {"gt": 7}}]})
 
 
 @query(dense_sql(where="label < 8 AND (label = 2 OR NOT label < 6)"))
-def filtered_dense_nested(spark, d, n=5):
+def filtered_dense_nested(spark, d):
     inner = {"should": [{"key": "label", "match": 2}, {"filter": {"must_not": [{"key": "label", "range": {"lt": 6}}]}}]}
-    return _filtered(spark, d, {"must": [{"key": "label", "range": {"lt": 8}}, {"filter": inner}]}, n)
+    return _filtered(spark, d, {"must": [{"key": "label", "range": {"lt": 8}}, {"filter": inner}]})
 
 
 @query(dense_sql(extra="AND CAST(id AS BIGINT) % 2 = 0"))
-def filter_ids_semi(spark, d, n=5):
+def filter_ids_semi(spark, d):
     allowed = points(spark, d).where("cast(id as long) % 2 = 0").select("id")
-    return _out(topk.restrict(dense.exact(points(spark, d), asked(spark, d, n), Metric.COSINE, 10), allowed))
+    return _out(topk.restrict(dense.exact(points(spark, d), asked(spark, d), Metric.COSINE, 10), allowed))
 
 
 def _events(spark, d):
@@ -278,16 +280,8 @@ def sparse_topk(spark, d):
     return _out(lexical.sparse_search(lexical.sparse_postings(_sparse_points(spark, d)), q, 10))
 
 
-@query(f"WITH p AS ({SPARSE}) SELECT a.id AS a, b.id AS b, round(sum(a.weight * b.weight), 6) AS product FROM p a JOIN p b ON a.idx = b.idx WHERE CAST(a.id AS INT) < 5 AND CAST(b.id AS INT) BETWEEN 5 AND 9 GROUP BY 1, 2")
+@query(f"WITH p AS MATERIALIZED ({SPARSE}) SELECT a.id AS a, b.id AS b, round(sum(a.weight * b.weight), 6) AS product FROM p a JOIN p b ON a.idx = b.idx WHERE CAST(a.id AS BIGINT) % 20 = 0 GROUP BY 1, 2")
 def sparse_dot_pairs(spark, d):
-    p = _sparse_points(spark, d)
-    a = p.where("cast(id as int) < 5").select(F.col("id").alias("a"), F.col("sparse").alias("x"))
-    b = p.where("cast(id as int) between 5 and 9").select(F.col("id").alias("b"), F.col("sparse").alias("y"))
-    return a.crossJoin(F.broadcast(b)).select("a", "b", F.round(V.sparse_dot(F.col("x"), F.col("y")), 6).alias("product"))
-
-
-@query()
-def sparse_dot_pairs_whole(spark, d):
     """Documents whose id is divisible by 20 with all documents that share an index, by postings."""
     p = lexical.sparse_postings(_sparse_points(spark, d))
     a = p.where("cast(id as long) % 20 = 0").select(F.col("id").alias("a"), "idx", F.col("weight").alias("x"))
@@ -295,72 +289,83 @@ def sparse_dot_pairs_whole(spark, d):
     return a.join(b, "idx").groupBy("a", "b").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("product"))
 
 
-def _fusion_lists(spark, d, n, k=20):
-    h, q = hybrid(spark, d), asked(spark, d, n)
-    dense_hits = dense.exact(h, q, Metric.COSINE, k)
+@query(f"""WITH p AS MATERIALIZED ({SPARSE}) SELECT a.id AS id, round(sum(a.weight * a.weight), 6) AS product FROM p a GROUP BY 1""")
+def sparse_dot_expression(spark, d):
+    """Each document with itself, by the expression on two sparse vectors."""
+    return _sparse_points(spark, d).select("id", F.round(V.sparse_dot(F.col("sparse"), F.col("sparse")), 6).alias("product"))
+
+
+def _fusion_lists(spark, d, k=20):
+    h, q = hybrid(spark, d), asked(spark, d)
+    dense_hits = dense.batch(h, q, Metric.COSINE, k)
     return dense_hits, lexical.bm25_search(texts(spark, d), q.select("query_id", F.lit("The idiot, released").alias("text")), k)
 
 
-FUSION = f"""{bm25_sql(ASK, 20)}, ds AS (SELECT CAST(0 AS BIGINT) AS query_id, id, list_cosine_similarity(v, q) AS score FROM ({E_SQL}) JOIN documents ON CAST(doc_id AS VARCHAR) = id, ({Q_SQL}) WHERE query_id = 0),
-dn AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ds) WHERE rank <= 20)"""
-RRF = f"WITH {FUSION}, u AS (SELECT id, rank FROM dn UNION ALL SELECT id, rank FROM bm), f AS (SELECT id, sum(1.0 / (60 + rank)) AS score FROM u GROUP BY id), r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM f)"
+FUSION = f"""{bm25_sql(ASK, 20)}, lx AS (SELECT q.query_id, bm.id, bm.score, bm.rank FROM bm, ({Q_SQL}) q),
+ds AS (SELECT query_id, id, list_cosine_similarity(v, q) AS score FROM ({E_SQL}) JOIN documents ON CAST(doc_id AS VARCHAR) = id, ({Q_SQL})),
+dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ds) WHERE rank <= 20)"""
+RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)"
+RRF = f"WITH {FUSION}, u AS (SELECT query_id, id, rank FROM dn UNION ALL SELECT query_id, id, rank FROM lx), f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM u GROUP BY query_id, id), r AS (SELECT query_id, id, score, {RANK} AS rank FROM f)"
+HITS = "query_id, id, round(score, 6) AS score"
 
 
-@query(f"{RRF} SELECT CAST(0 AS BIGINT) AS query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
-def hybrid_rrf(spark, d, n=1):
-    return _out(topk.rrf(list(_fusion_lists(spark, d, n)), 10))
+@query(f"{RRF} SELECT {HITS}, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
+def hybrid_rrf(spark, d):
+    return _out(topk.rrf(list(_fusion_lists(spark, d)), 10))
 
 
-@query(f"WITH {FUSION} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM dn WHERE rank <= 10")
-def hybrid_rrf_single_list(spark, d, n=1):
-    dense_hits, other = _fusion_lists(spark, d, n)
+@query(f"WITH {FUSION} SELECT {HITS}, CAST(rank AS INT) AS rank FROM dn WHERE rank <= 10")
+def hybrid_rrf_single_list(spark, d):
+    dense_hits, other = _fusion_lists(spark, d)
     return _out(topk.rrf([dense_hits, other.where("false")], 10))
 
 
-@query(f"{RRF}, t AS (SELECT * FROM r WHERE rank <= 10) SELECT CAST(0 AS BIGINT) AS query_id, id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank FROM t JOIN documents ON CAST(doc_id AS VARCHAR) = id WHERE lang = 'en'")
-def hybrid_rrf_filtered(spark, d, n=1):
-    hits = topk.rrf(list(_fusion_lists(spark, d, n)), 10)
+@query(f"{RRF}, t AS (SELECT * FROM r WHERE rank <= 10) SELECT {HITS}, CAST({RANK} AS INT) AS rank FROM t JOIN documents ON CAST(doc_id AS VARCHAR) = id WHERE lang = 'en'")
+def hybrid_rrf_filtered(spark, d):
+    hits = topk.rrf(list(_fusion_lists(spark, d)), 10)
     passed = _t(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("id"))
     return _out(topk.ranked(hits.drop("rank").join(passed, "id", "left_semi"), 10))
 
 
+SPAN = "(score - min(score) OVER w) / greatest(max(score) OVER w - min(score) OVER w, 1e-6)"
+
+
 def weighted_sql(alpha: float) -> str:
-    return f"""WITH {FUSION}, n AS (SELECT id, {alpha} * (score - min(score) OVER ()) / greatest(max(score) OVER () - min(score) OVER (), 1e-6) AS s FROM dn
-    UNION ALL SELECT id, {1 - alpha} * (score - min(score) OVER ()) / greatest(max(score) OVER () - min(score) OVER (), 1e-6) FROM bm),
-    f AS (SELECT id, sum(s) AS score FROM n GROUP BY id) SELECT CAST(0 AS BIGINT) AS query_id, id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank FROM f QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 10"""
+    return f"""WITH {FUSION}, n AS (SELECT query_id, id, {alpha} * {SPAN} AS s FROM dn WINDOW w AS (PARTITION BY query_id) UNION ALL SELECT query_id, id, {1 - alpha} * {SPAN} FROM lx WINDOW w AS (PARTITION BY query_id)),
+    f AS (SELECT query_id, id, sum(s) AS score FROM n GROUP BY query_id, id) SELECT {HITS}, CAST({RANK} AS INT) AS rank FROM f QUALIFY {RANK} <= 10"""
 
 
 @query(weighted_sql(0.5))
-def hybrid_weighted(spark, d, n=1):
-    a, b = _fusion_lists(spark, d, n)
+def hybrid_weighted(spark, d):
+    a, b = _fusion_lists(spark, d)
     return _out(topk.weighted(a, [b], 0.5, 10))
 
 
 @query(weighted_sql(0.75))
-def hybrid_weighted_dense(spark, d, n=1):
-    a, b = _fusion_lists(spark, d, n)
+def hybrid_weighted_dense(spark, d):
+    a, b = _fusion_lists(spark, d)
     return _out(topk.weighted(a, [b], 0.75, 10))
 
 
-@query(f"""WITH {FUSION}, l AS (SELECT id, score, 0 AS n FROM dn UNION ALL SELECT id, score, 1 FROM bm),
-m AS (SELECT id, n, (score - min(score) OVER ()) / greatest(max(score) OVER () - min(score) OVER (), 1e-6) AS s FROM l), o AS (SELECT id, arg_max(s, n) AS s FROM m GROUP BY id)
-SELECT CAST(0 AS BIGINT) AS query_id, id, round(s, 6) AS score, CAST(row_number() OVER (ORDER BY s DESC, id) AS INT) AS rank FROM o QUALIFY row_number() OVER (ORDER BY s DESC, id) <= 10""")
-def hybrid_weighted_lexical_concat(spark, d, n=1):
-    a, b = _fusion_lists(spark, d, n)
+@query(f"""WITH {FUSION}, l AS (SELECT query_id, id, score, 0 AS n FROM dn UNION ALL SELECT query_id, id, score, 1 FROM lx),
+m AS (SELECT query_id, id, n, {SPAN} AS s FROM l WINDOW w AS (PARTITION BY query_id)), o AS (SELECT query_id, id, arg_max(s, n) AS score FROM m GROUP BY query_id, id)
+SELECT {HITS}, CAST({RANK} AS INT) AS rank FROM o QUALIFY {RANK} <= 10""")
+def hybrid_weighted_lexical_concat(spark, d):
+    a, b = _fusion_lists(spark, d)
     return _out(topk.weighted(a.where("false"), [a, b], 0.0, 10))
 
 
 @query(f"""WITH s AS (SELECT query_id, id, {SCORES['cosine']} AS score FROM ({E_SQL}), ({Q_SQL}))
-SELECT query_id, id, round((score - min(score) OVER w) / greatest(max(score) OVER w - min(score) OVER w, 1e-6), 6) AS score FROM s WINDOW w AS (PARTITION BY query_id)""")
-def minmax_normalize(spark, d, n=5):
-    pairs = points(spark, d).crossJoin(F.broadcast(asked(spark, d, n))).select("query_id", "id", V.cosine(V.doubles("values"), F.col("query")).alias("score"))
+SELECT query_id, id, round({SPAN}, 6) AS score FROM s WINDOW w AS (PARTITION BY query_id)""")
+def minmax_normalize(spark, d):
+    pairs = points(spark, d).crossJoin(F.broadcast(asked(spark, d))).select("query_id", "id", V.cosine(V.doubles("values"), F.col("query")).alias("score"))
     return topk.normalized(pairs).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query(dense_sql())
-def shard_merge_topk(spark, d, n=5):
+def shard_merge_topk(spark, d):
     p = points(spark, d)
-    return _out(topk.merge_top_k([dense.exact(p.where(F.expr(f"pmod(cast(id as long), 4) = {part}")), asked(spark, d, n), Metric.COSINE, 20) for part in range(4)], 10))
+    return _out(topk.merge_top_k([dense.exact(p.where(F.expr(f"pmod(cast(id as long), 4) = {part}")), asked(spark, d), Metric.COSINE, 20) for part in range(4)], 10))
 
 
 @query("SELECT CAST(vec_id AS VARCHAR) AS id, label FROM embeddings WHERE CAST(vec_id AS VARCHAR) > '25' ORDER BY 1 LIMIT 33")
@@ -451,18 +456,22 @@ def quantize_online(spark, d):
 
 @query(f"""WITH s AS (SELECT query_id, id, label, {SCORES['cosine']} AS score FROM ({E_SQL}), ({Q_SQL}) WHERE id <> CAST(query_id AS VARCHAR)),
 t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 15) SELECT query_id, label, count(*) AS votes FROM t GROUP BY 1, 2""")
-def knn_label_vote(spark, d, n=5):
+def knn_label_vote(spark, d):
     """An extension: labels among a vector's neighbours."""
-    hits = dense.exact(points(spark, d), asked(spark, d, n), Metric.COSINE, 16).where(F.col("id") != F.col("query_id").cast("string"))
+    hits = dense.exact(points(spark, d), asked(spark, d), Metric.COSINE, 16).where(F.col("id") != F.col("query_id").cast("string"))
     hits = topk.ranked(hits.drop("rank"), 15)
     labels = points(spark, d).select("id", F.get_json_object("payload", "$.label").cast("int").alias("label"))
     return hits.join(labels, "id").groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("votes"))
 
 
-@query("SELECT 1.0::DOUBLE AS recall")
-def recall_ground_truth(spark, d, n=40):
-    truth = dense.exact(points(spark, d), asked(spark, d, n), Metric.COSINE, 10)
-    return dense.recall(truth, dense.batch(points(spark, d), asked(spark, d, n), Metric.COSINE, 10), 10)
+@query(f"""WITH s AS (SELECT query_id, id, {SCORES['cosine']} AS score FROM ({E_SQL}), ({Q_SQL})), t AS (SELECT query_id, id FROM s QUALIFY {RANK} <= 10)
+SELECT 1.0::DOUBLE AS recall, count(*) AS neighbours, md5(string_agg(query_id || ':' || id, ',' ORDER BY query_id || ':' || id)) AS digest FROM t""")
+def recall_ground_truth(spark, d):
+    """The true neighbours, and the share of them that matrix blocks find."""
+    truth = dense.exact(points(spark, d), asked(spark, d), Metric.COSINE, 10)
+    found = dense.recall(truth, dense.batch(points(spark, d), asked(spark, d), Metric.COSINE, 10), 10)
+    named = F.array_sort(F.collect_list(F.concat(F.col("query_id").cast("string"), F.lit(":"), "id")))
+    return found.crossJoin(truth.agg(F.count(F.lit(1)).alias("neighbours"), F.md5(F.array_join(named, ",").cast("binary")).alias("digest")))
 
 
 #: What the index is registered with.
@@ -471,13 +480,13 @@ IVF_LISTS, IVF_PROBES = 16, 10
 
 @query()
 def ann_ivf_topk(spark, d):
-    return _out(dense.Ivf.build(points(spark, d), IVF_LISTS).search(asked(spark, d, None), 10, IVF_PROBES))
+    return _out(dense.Ivf.build(points(spark, d), IVF_LISTS).search(asked(spark, d), 10, IVF_PROBES))
 
 
 @query()
 def ann_ivf_recall(spark, d):
     """Of the true neighbours, the share that the index finds."""
-    truth = dense.batch(points(spark, d), asked(spark, d, None), Metric.COSINE, 10)
+    truth = dense.batch(points(spark, d), asked(spark, d), Metric.COSINE, 10)
     return dense.recall(truth, ann_ivf_topk(spark, d), 10)
 
 
@@ -497,12 +506,18 @@ def rag_overlap_rerank(spark, d):
     return placed.select("query_id", "id", F.round("score", 6).alias("score"), F.round("reranked", 6).alias("reranked"), "rank")
 
 
-@query(f"""WITH s AS (SELECT query_id, id, {SCORES['cosine']} AS score FROM ({E_SQL}), ({Q_SQL})), r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 20),
-f AS (SELECT id, sum(1.0 / (60 + rank)) AS score FROM r WHERE query_id < 3 GROUP BY id) SELECT id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank FROM f QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 10""")
+@query(f"""WITH s AS (SELECT query_id // 60 AS query_id, query_id // 20 % 3 AS variant, id, {SCORES['cosine']} AS score FROM ({E_SQL}), ({Q_SQL})),
+r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 20),
+f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM r GROUP BY query_id, id HAVING count(*) > 0),
+n AS (SELECT query_id FROM s GROUP BY query_id HAVING count(DISTINCT variant) = 3)
+SELECT {HITS}, CAST({RANK} AS INT) AS rank FROM f JOIN n USING (query_id) QUALIFY {RANK} <= 10""")
 def rag_multi_query_rrf(spark, d):
-    hits = dense.exact(points(spark, d), asked(spark, d, 3), Metric.COSINE, 20)
-    lists = [hits.where(F.col("query_id") == n).select(F.lit(0).cast("long").alias("query_id"), "id", "score") for n in range(3)]
-    return _out(topk.rrf(lists, 10)).drop("query_id")
+    """Queries in threes, as three variants of one."""
+    hits = dense.exact(points(spark, d), asked(spark, d), Metric.COSINE, 20)
+    own = hits.select(F.floor(F.col("query_id") / 60).alias("of"), F.pmod(F.floor(F.col("query_id") / 20), F.lit(3)).alias("variant"), "id", "score")
+    whole = own.groupBy("of").agg(F.count_distinct("variant").alias("n")).where("n = 3").select("of")
+    lists = [own.join(whole, "of").where(F.col("variant") == n).select(F.col("of").alias("query_id"), "id", "score") for n in range(3)]
+    return _out(topk.rrf(lists, 10))
 
 
 @query("SELECT doc_id, md5(trim(regexp_replace(text, '[\\s\\x{00A0}]+', ' ', 'g'))) AS digest FROM documents")
@@ -510,14 +525,33 @@ def normalize_whitespace(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.md5(T.normalize_whitespace(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query()
+BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def chunk_sql(size: int = 512, shared: int = 64) -> str:
+    """Chunks one after another: a window, cut back to its last space past the start; idx counts those that aren't blank."""
+    def stop(at):
+        window = f"substr(t, {at} + 2, {size} - 1)"  # past the start
+        return f"CASE WHEN {at} + {size} >= n THEN n WHEN strpos({window}, ' ') > 0 THEN {at} + {size} - strpos(reverse({window}), ' ') ELSE {at} + {size} END"
+
+    following = f"greatest(stop - {shared}, spot + 1)"
+    return f"""x AS (SELECT CAST(doc_id AS VARCHAR) AS id, trim(text, {BLANK}) AS t FROM documents), y AS (SELECT id, t, len(t) AS n FROM x WHERE t <> ''),
+    c(id, t, n, spot, stop) AS (SELECT id, t, n, 0, {stop('0')} FROM y UNION ALL SELECT id, t, n, {following}, {stop(following)} FROM c WHERE stop < n),
+    p AS (SELECT id, spot, trim(substr(t, spot + 1, stop - spot), {BLANK}) AS piece FROM c), k AS (SELECT id, piece, row_number() OVER (PARTITION BY id ORDER BY spot) - 1 AS idx FROM p WHERE piece <> '')"""
+
+
+@query(f"WITH RECURSIVE {chunk_sql()} SELECT id || '#' || idx AS id, CAST(len(piece) AS INT) AS chars, md5(piece) AS digest FROM k")
 def chunk_text(spark, d):
-    return texts(spark, d).select("id", F.explode(T.chunks(F.col("text"))).alias("c")).select(F.concat_ws("#", "id", "c.idx").alias("id"), F.char_length("c.text").alias("chars"))
+    rows = texts(spark, d).select("id", F.explode(T.chunks(F.col("text"))).alias("c"))
+    return rows.select(F.concat_ws("#", "id", "c.idx").alias("id"), F.char_length("c.text").alias("chars"), F.md5(F.col("c.text").cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"WITH RECURSIVE {chunk_sql()} SELECT id || '#' || idx AS id, 64 AS dimension, id AS document_id, CAST(idx AS VARCHAR) AS chunk_index, md5(piece) AS digest FROM k")
 def rag_ingest(spark, d):
-    return rag.chunk_points(texts(spark, d), 64).select("id", F.size("values").alias("dimension"), F.get_json_object("payload", "$.document_id").alias("document_id"))
+    """Chunks as points: their vectors are checked by hash_embed's test."""
+    found = rag.chunk_points(texts(spark, d), 64)
+    field = lambda key: F.get_json_object("payload", f"$.{key}")
+    return found.select("id", F.size("values").alias("dimension"), field("document_id").alias("document_id"), field("chunk_index").alias("chunk_index"), F.md5(field("text").cast("binary")).alias("digest"))
 
 
 @query()
@@ -541,38 +575,103 @@ def latency_percentiles(spark, d):
     return mutations.latency_summary(_t(spark, d, "events"), "value").withColumn("avg", F.round("avg", 6))
 
 
-def _whole(f):
-    """The same with every row whose id is divisible by 20 as a query. The SQL of f asks a prefix of the ids, so this has none."""
-
-    def run(spark, d):
-        return f(spark, d, None)
-
-    return run
-
-
-QUERIES |= {f"{f.__name__}_whole": _whole(f) for f in (
-    dense_cosine_topk,
-    dense_euclidean_topk,
-    dense_dot_topk,
-    dense_batch_topk,
-    dense_batch_euclidean,
-    dense_overfetch_2k,
-    filtered_dense_match,
-    filtered_dense_any_of,
-    filtered_dense_range,
-    filtered_dense_exists,
-    filtered_dense_must_not,
-    filtered_dense_should,
-    filtered_dense_nested,
-    filter_ids_semi,
-    hybrid_rrf,
-    hybrid_rrf_single_list,
-    hybrid_rrf_filtered,
-    hybrid_weighted,
-    hybrid_weighted_dense,
-    hybrid_weighted_lexical_concat,
-    minmax_normalize,
-    shard_merge_topk,
-    knn_label_vote,
-    recall_ground_truth,
-)}
+def _vector(spark, d, id: int = 0) -> list[float]:
+    return [float(x) for x in _t(spark, d, "embeddings").where(F.col("vec_id") == id).first().embedding]
+
+
+def _searched(spark, d, **request) -> DataFrame:
+    """One request through the engine's search, over vectors with their documents' text and language."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text", "lang")
+    rows = _t(spark, d, "embeddings").join(docs, "vec_id").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("values"), F.to_json(F.struct("label", "lang", "text")).alias("payload"), F.lit(None).cast("struct<indices:array<bigint>,values:array<float>>").alias("sparse"))
+    return _out(run_search(rows, CollectionConfig("vectors", 64, bm25_text_field="text"), SearchRequest(**request)))
+
+
+#: Queries over the documents that have a vector alone, and for vector 0 alone.
+def _joined(sql: str) -> str:
+    return sql.replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))").replace(Q_SQL, Q_SQL.replace("vec_id % 20 = 0", "vec_id = 0"))
+
+
+@query(_joined(dense_sql(where="label IN (1, 4) OR label >= 7")))
+def search_dense_wire_filter(spark, d):
+    rule = {"should": [{"key": "label", "any_of": {"any": [1, 4]}}, {"filter": {"must": [{"key": "label", "range": {"gte": 7}}, {"key": "label", "exists": {"exists": True}}], "must_not": [{"key": "lang", "match": {"value": "none"}}]}}]}
+    return _searched(spark, d, vector=_vector(spark, d), filter=rule)
+
+
+@query(_joined(f"WITH {bm25_sql(ASK, 20)} SELECT CAST(query_id AS BIGINT) AS query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM bm JOIN documents ON CAST(doc_id AS VARCHAR) = id WHERE lang = 'en' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10"))
+def search_bm25_filtered(spark, d):
+    return _searched(spark, d, text="The idiot, released", mode="lexical", filter={"must": [{"key": "lang", "match": {"value": "en"}}]})
+
+
+@query(_joined(f"{RRF} SELECT {HITS}, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"))
+def search_hybrid_rrf(spark, d):
+    return _searched(spark, d, vector=_vector(spark, d), text="The idiot, released", mode="hybrid")
+
+
+@query(_joined(weighted_sql(0.75)))
+def search_hybrid_weighted(spark, d):
+    return _searched(spark, d, vector=_vector(spark, d), text="The idiot, released", mode="weighted", alpha=0.75)
+
+
+def _scratch(spark) -> str:
+    """A new folder that driver and executors share."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{root or 'file://' + tempfile.mkdtemp(prefix='vexel-')}/engine-{uuid.uuid4().hex}"
+
+
+def _stored(spark, d) -> Engine:
+    """A collection after upserts, a compaction, upserts of thirds anew and deletes of sevenths."""
+    engine = Engine(spark, _scratch(spark))
+    engine.create_collection("vectors", 64, payload_indexes={"label": "numeric", "lang": "keyword"}, bm25_text_field="text")
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text", "lang")
+    rows = _t(spark, d, "embeddings").join(docs, "vec_id")
+    point = lambda df, label: df.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("values"), F.to_json(F.struct(label.alias("label"), "lang", "text")).alias("payload"))
+    engine.bulk_upsert("vectors", point(rows, F.col("label")))
+    engine.compact("vectors")
+    engine.bulk_upsert("vectors", point(rows.where("vec_id % 3 = 0"), F.col("label") + 100))
+    engine.store.append("vectors", "delete", rows.where("vec_id % 7 = 0").select(F.col("vec_id").cast("string").alias("id")))
+    return engine
+
+
+LIVE = "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id IN (SELECT doc_id FROM documents)"
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS id, CAST(label AS INT) AS label FROM ({LIVE})")
+def engine_live_points(spark, d):
+    return _stored(spark, d).store.points("vectors").select("id", F.get_json_object("payload", "$.label").cast("int").alias("label"))
+
+
+@query(f"SELECT 'vectors' AS name, count(*) AS count, 64 AS dimension, 'cosine' AS metric FROM ({LIVE})")
+def engine_describe(spark, d):
+    engine = _stored(spark, d)
+    found = [engine.describe(name) for name in engine.list_collections()]
+    return spark.createDataFrame([(r["name"], r["count"], r["dimension"], r["metric"]) for r in found], "name string, count long, dimension int, metric string")
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS id, CAST(label AS INT) AS label FROM ({LIVE}) WHERE label >= 104 AND vec_id IN (SELECT doc_id FROM documents WHERE lang IN ('en', 'fr'))")
+def engine_indexed_filter(spark, d):
+    """A filter whose bounds on the index columns reach the base's scan."""
+    from .plans.filters import index_bounds
+
+    engine = _stored(spark, d)
+    rule = {"must": [{"key": "label", "range": {"gte": 104}}, {"key": "lang", "any_of": ["en", "fr"]}]}
+    near = engine.store.points("vectors").where(index_bounds(rule, engine.store.config("vectors").payload_indexes))
+    return near.where(compile_filter(rule, payload_variant(F.col("payload")))).select("id", F.get_json_object("payload", "$.label").cast("int").alias("label"))
+
+
+@query(f"WITH {bm25_sql(ASK, 20)} {BM_OUT} WHERE rank <= 10".replace("FROM documents", f"FROM (SELECT * FROM documents WHERE doc_id IN (SELECT vec_id FROM ({LIVE.replace('FROM documents', 'FROM documents AS x')})))"))
+def engine_stored_bm25(spark, d):
+    """BM25 from the base's postings and those of what changed since."""
+    return _out(_stored(spark, d).search("vectors", text="The idiot, released", mode="bm25"))
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS id FROM ({LIVE}) WHERE CAST(vec_id AS VARCHAR) > '25' ORDER BY 1 LIMIT 40")
+def engine_scroll(spark, d):
+    engine, cursor, found = _stored(spark, d), "25", []
+    for _ in range(4):
+        rows, cursor = engine.scroll("vectors", cursor, 10)
+        found += [(r.id,) for r in rows]
+        if not cursor:
+            break
+    return spark.createDataFrame(found, "id string")

@@ -2,52 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.ring import plan_rebalance
+from .functions.ring import plan_rebalance, rebalance_report, shard_column
 from .operators import dense, lexical, topk
-from .plans.filters import compile_filter, is_empty, parse_filter, payload_variant
-from .sources.store import Store
+from .plans.filters import compile_filter, index_bounds, is_empty, parse_filter, payload_variant
+from .sources.store import Store, text_of
 from .streaming.imports import import_stream
 from .types import CollectionConfig, InvalidRequest, Mode, SearchRequest
 
 
-def run_search(points: DataFrame, config: CollectionConfig, request: SearchRequest) -> DataFrame:
+@dataclass(frozen=True)
+class Stored:
+    """What a store keeps beside the points, each read only when a search needs it."""
+
+    sparse: Callable[[], DataFrame]
+    terms: Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+    index: Callable[[], tuple | None]
+
+
+def run_search(points: DataFrame, config: CollectionConfig, request: SearchRequest, stored: Stored | None = None) -> DataFrame:
     """query_id, id, score, rank of one request over points (id, values, payload, sparse).
 
     The filter is applied to the points before the dense ranking, and to fused hits after it (filter_mode `pre` applies
     it to all lists). Each list has 2k hits before fusion. A mode whose index or query is missing gives an empty list.
+    Points with index columns are cut by them first. Postings that are stored serve lists over all points; inverted lists
+    serve a dense list without a filter if the request isn't for exact hits.
     """
     spark, k, mode = points.sparkSession, request.k, Mode.parse(request.mode)
     fetch = 2 * k
     rule = parse_filter(request.filter)
-    passes = compile_filter(rule, payload_variant(F.col("payload")))
-    allowed = points if is_empty(rule) else points.where(passes)
-    pool = allowed if request.filter_mode == "pre" else points
+    bounds = index_bounds(rule, config.payload_indexes) if any(c.startswith("ix") for c in points.columns) else None
+    near = points if bounds is None else points.where(bounds)
+    allowed = points if is_empty(rule) else near.where(compile_filter(rule, payload_variant(F.col("payload"))))
+    everything = is_empty(rule) or request.filter_mode != "pre"
+    pool = points if everything else allowed
     empty = spark.createDataFrame([], dense.HIT_TYPE + ", rank int")
 
     def dense_hits():
         if request.vector is None or len(request.vector) != config.dimension:
             raise InvalidRequest(f"the query vector of {config.name} needs {config.dimension} numbers")
         query = spark.createDataFrame([(0, [float(x) for x in request.vector])], "query_id long, query array<double>")
-        return dense.exact(allowed, query, config.metric, fetch)
+        found = stored.index() if stored and not request.exact and is_empty(rule) else None
+        if found is None:
+            return dense.exact(allowed, query, config.metric, fetch)
+        lists, changed, fresh = found
+        return topk.merge_top_k([lists.search(query, fetch, request.probes, without=changed), dense.exact(fresh, query, config.metric, fetch)], fetch)
 
     def sparse_hits():
         if not config.sparse_enabled or not request.sparse:
             return empty
         query = spark.createDataFrame([(0, int(i), float(w)) for i, w in request.sparse.items()], "query_id long, idx long, weight double")
-        return lexical.sparse_search(lexical.sparse_postings(pool), query, fetch)
+        return lexical.sparse_search(stored.sparse() if stored and everything else lexical.sparse_postings(pool), query, fetch)
 
     def bm25_hits():
         if not config.bm25_text_field or not request.text:
             return empty
-        v = payload_variant(F.col("payload"))
-        key = config.bm25_text_field
-        path = "$['" + key.replace("'", "\\'") + "']"
-        dotted = "$" + "".join(f"['{p}']" for p in key.split("."))
-        texts = pool.select("id", F.coalesce(F.try_variant_get(v, path, "string"), F.try_variant_get(v, dotted, "string")).alias("text"))
-        return lexical.bm25_search(texts, spark.createDataFrame([(0, request.text)], "query_id long, text string"), fetch)
+        query = spark.createDataFrame([(0, request.text)], "query_id long, text string")
+        if stored and everything:
+            wanted = lexical.query_terms(query)
+            return lexical.bm25_scores(*stored.terms(wanted), wanted, fetch)
+        return lexical.bm25_search(pool.select("id", text_of(F.col("payload"), config.bm25_text_field).alias("text")), query, fetch)
 
     if mode is Mode.DENSE:
         hits = dense_hits()
@@ -60,7 +79,7 @@ def run_search(points: DataFrame, config: CollectionConfig, request: SearchReque
     else:
         hits = topk.weighted(dense_hits(), [sparse_hits(), bm25_hits()], request.weight, k)
     if not is_empty(rule) and mode is not Mode.DENSE:
-        hits = hits.join(points.where(passes).select("id"), "id", "left_semi")
+        hits = hits.join(allowed.select("id"), "id", "left_semi")
     hits = topk.ranked(hits.select("query_id", "id", "score"), fetch if request.raw_overfetch and is_empty(rule) else k)
     if request.filter_ids:
         hits = hits.where(F.col("id").isin(list(request.filter_ids)))
@@ -107,7 +126,9 @@ class Engine:
         return self.store.scroll(name, cursor, limit)
 
     def search(self, name: str, request: SearchRequest | None = None, **settings) -> DataFrame:
-        return run_search(self.store.points(name), self.store.config(name), request or SearchRequest(**settings))
+        store = self.store
+        stored = Stored(lambda: store.sparse_postings(name), lambda terms: store.term_postings(name, terms), lambda: store.index(name))
+        return run_search(store.points(name), store.config(name), request or SearchRequest(**settings), stored)
 
     def search_batch(self, name: str, queries: DataFrame, k: int = 10, filter: dict | None = None) -> DataFrame:
         config, points = self.store.config(name), self.store.points(name)
@@ -121,7 +142,11 @@ class Engine:
         return self.store.snapshot(name)
 
     def snapshot_and_compact(self, name: str) -> dict:
-        return {"snapshot": self.store.snapshot(name)} | self.store.compact(name)
+        """A snapshot, a compaction, and a mark that the log before is in the snapshot."""
+        id = self.store.snapshot(name)
+        found = self.store.compact(name)
+        self.store.checkpoint(name, id)
+        return {"snapshot": id} | found
 
     def snapshots(self, name: str) -> list[dict]:
         return self.store.snapshots(name)
@@ -132,8 +157,41 @@ class Engine:
     def restore(self, name: str, id: str) -> int:
         return self.store.restore(name, id)
 
-    def reindex(self, name: str, lists: int = 16) -> dense.Ivf:
-        return dense.Ivf.build(self.store.points(name), lists, self.store.config(name).metric)
+    def reindex(self, name: str, lists: int = 16) -> int:
+        """Builds and keeps the inverted lists anew; the number of points in them."""
+        return self.store.reindex(name, lists)
 
     def plan_rebalance(self, name: str, old_shards: int, new_shards: int) -> DataFrame:
         return plan_rebalance(self.store.points(name), old_shards, new_shards)
+
+    def rebalance(self, target: str, names: list[str], old_shards: int, new_shards: int, dry_run: bool = False, most: int | None = None) -> DataFrame:
+        """Deals collections over `new_shards` stores below the target; collection (null for all), moved, kept, failed.
+
+        Every shard's points become its store's collection. With dry_run nothing is
+        written; `most` stops before the first collection that would bring the points moved above it.
+        """
+        spark, placed, moved = self.spark, None, 0
+        for name in names:
+            points = self.store.points(name).select("id", "values", "payload", "sparse").withColumns({"shard_from": shard_column(F.col("id"), old_shards), "shard_to": shard_column(F.col("id"), new_shards)})
+            moves = points.where("shard_from <> shard_to").count()
+            if most is not None and moved + moves > most:
+                break
+            moved += moves
+            if not dry_run:
+                for shard in range(new_shards):
+                    store = Store(spark, f"{target}/shard-{shard}")
+                    if name not in store.names():
+                        store.create(self.store.config(name))
+                    store.append(name, "upsert", points.where(F.col("shard_to") == shard).drop("shard_from", "shard_to"))
+            own = points.select(F.lit(name).alias("collection"), "shard_from", "shard_to")
+            placed = own if placed is None else placed.unionByName(own)
+        if placed is None:
+            placed = spark.createDataFrame([], "collection string, shard_from int, shard_to int")
+        return rebalance_report(placed)
+
+    def bootstrap(self, source: Engine) -> list[str]:
+        """Copies the collections that the source has and this engine lacks; their names."""
+        there = self.spark.createDataFrame([(n,) for n in source.list_collections()], "name string")
+        here = self.spark.createDataFrame([(n,) for n in self.list_collections()], "name string")
+        missing = sorted(r.name for r in there.join(here, "name", "left_anti").collect())
+        return [n for n in missing if source.store.copy(n, self.store)]

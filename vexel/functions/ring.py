@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,23 +27,48 @@ def shard_of(key: str, shards: int) -> int:
     return points[at % len(points)][1]
 
 
+def xxh64(key: Column) -> Column:
+    """XXH64 with seed 0 of a string column, as a long; null for a null."""
+    jvm = SparkContext._active_spark_context._jvm
+    bridge = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    hashed = jvm.org.apache.spark.sql.catalyst.expressions.XxHash64(jvm.scala.jdk.javaapi.CollectionConverters.asScala(jvm.java.util.List.of(bridge.expression(key.cast("string")._jc))).toSeq(), 0)
+    return F.when(key.isNotNull(), Column(bridge.column(hashed)))
+
+
 def shard_column(key: Column, shards: int) -> Column:
-    """The shard of the first ring point at or after the key's hash, around the end."""
+    """The shard of the first ring point at or after the key's hash, around the end; null for a null."""
 
     @F.pandas_udf("int")
-    def place(keys: pd.Series) -> pd.Series:
-        import numpy as np
-
+    def place(hashes: pd.Series) -> pd.Series:
         points = ring(shards)
-        hashes = np.array([h for h, _ in points], np.uint64)
-        owners = np.array([s for _, s in points])
-        own = np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64)
-        return pd.Series(owners[np.searchsorted(hashes, own) % len(points)], dtype="int32")
+        at = np.searchsorted(np.array([h for h, _ in points], np.uint64), hashes.fillna(0).to_numpy().astype(np.int64).view(np.uint64))
+        owners = np.array([s for _, s in points], np.int32)
+        return pd.Series(owners[at % len(points)], dtype="Int32").where(hashes.notna())
+
+    return place(xxh64(key))
+
 
-    return place(key)
+def route(key: str, shards: int, nodes: list[str], placed: dict[int, list[str]] | None = None) -> tuple[int, str | None]:
+    """The shard of a key and the first node that holds it: one that `placed` names for the shard, else the nodes in turn."""
+    shard = shard_of(key, shards)
+    held = (placed or {}).get(shard) or [nodes[shard % len(nodes)]] if nodes or (placed or {}).get(shard) else []
+    return shard, held[0] if held else None
+
+
+def replicas(shards: int, nodes: dict[str, list[int]]) -> dict[int, list[str]]:
+    """The nodes of each shard: those that name it, then those that name none, which hold every shard."""
+    return {s: [n for n, own in nodes.items() if s in own] + [n for n, own in nodes.items() if not own] for s in range(shards)}
 
 
 def plan_rebalance(points: DataFrame, old_shards: int, new_shards: int) -> DataFrame:
-    """shard_from, shard_to, points: what a change of the number of shards moves and keeps."""
+    """shard_from, shard_to, points, moved: what a change of the number of shards moves and keeps."""
     placed = points.select(shard_column(F.col("id"), old_shards).alias("shard_from"), shard_column(F.col("id"), new_shards).alias("shard_to"))
     return placed.groupBy("shard_from", "shard_to").agg(F.count(F.lit(1)).alias("points")).withColumn("moved", F.col("shard_from") != F.col("shard_to"))
+
+
+def rebalance_report(placed: DataFrame) -> DataFrame:
+    """collection (null for the total), moved, kept, failed from rows collection, shard_from, shard_to; without a shard to go to, a row has failed."""
+    count = lambda c: F.count(F.when(c, F.lit(1)))
+    to, at = F.col("shard_to"), F.col("shard_from")
+    sums = [count(to.isNotNull() & ~at.eqNullSafe(to)).alias("moved"), count(to.isNotNull() & at.eqNullSafe(to)).alias("kept"), count(to.isNull()).alias("failed")]
+    return placed.rollup("collection").agg(*sums)

@@ -13,8 +13,8 @@ from ..functions import vectors as V
 from ..types import InvalidRequest, Metric
 from .topk import ranked
 
-#: Queries in one broadcast; more are answered block by block.
-QUERY_BLOCK = 4096
+#: Queries in one broadcast; more are answered block by block. Vectors that are scored at once.
+QUERY_BLOCK, ROW_BLOCK = 4096, 1024
 HIT_TYPE = "query_id long, id string, score double"
 
 
@@ -23,7 +23,12 @@ def with_norm(points: DataFrame, column: str = "values") -> DataFrame:
 
 
 def exact(points: DataFrame, queries: DataFrame, metric: Metric | str, k: int) -> DataFrame:
-    """query_id, id, score, rank of each query (query_id, query array<double>) over all points (id, values)."""
+    """query_id, id, score, rank of each query (query_id, query array<double>) over all points (id, values).
+
+    At most QUERY_BLOCK queries are broadcast; more go the way of batch().
+    """
+    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        return batch(points, queries, metric, k)
     pairs = points.select("id", V.doubles("values").alias("v")).crossJoin(F.broadcast(queries.select("query_id", V.doubles("query").alias("q"))))
     return ranked(pairs.select("query_id", "id", V.score(F.col("v"), F.col("q"), metric).alias("score")), k)
 
@@ -58,8 +63,9 @@ def batch(points: DataFrame, queries: DataFrame, metric: Metric | str, k: int, b
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             who, q = shared.value
             for b in batches:
-                if len(b):
-                    yield _best(b["id"].to_numpy(), _scores(q, np.stack(b["v"].to_numpy()), metric), who, k)
+                for at in range(0, len(b), ROW_BLOCK):
+                    part = b.iloc[at : at + ROW_BLOCK]
+                    yield _best(part["id"].to_numpy(), _scores(q, np.stack(part["v"].to_numpy()), metric), who, k)
 
         return ranked(points.select("id", V.doubles("values").alias("v")).mapInPandas(run, HIT_TYPE), k)
 
@@ -81,10 +87,14 @@ def check_dimension(points: DataFrame, dimension: int) -> DataFrame:
 
 
 class Ivf:
-    """Inverted lists: k-means centroids on the driver (lists * dimension numbers), points with the numbers of their two nearest lists."""
+    """Inverted lists: k-means centroids on the driver (lists * dimension numbers), and a row for each point and each of its two nearest lists.
+
+    Rows have id, v, list and first, the nearest one. Saved, they lie in a folder for each list, and a search reads the
+    lists that its queries probe alone.
+    """
 
-    def __init__(self, centroids: np.ndarray, assigned: DataFrame, metric: Metric):
-        self.centroids, self.assigned, self.metric = centroids, assigned, metric
+    def __init__(self, centroids: np.ndarray, rows: DataFrame, metric: Metric):
+        self.centroids, self.rows, self.metric = centroids, rows, metric
 
     @classmethod
     def build(cls, points: DataFrame, lists: int, metric: Metric | str = Metric.COSINE, rounds: int = 8, fit_rows: int = 50_000, seed: int = 3) -> Ivf:
@@ -108,14 +118,24 @@ class Ivf:
             c = shared.value
             return pd.Series(list(np.argsort((c * c).sum(1)[None] - 2 * y @ c.T, axis=1, kind="stable")[:, :2].astype("int32")))
 
-        return cls(centers, points.select("id", "values").withColumn("lists", nearest("values")), metric)
+        assigned = points.select("id", V.doubles("values").alias("v")).withColumn("lists", nearest("v"))
+        return cls(centers, assigned.select("id", "v", F.explode("lists").alias("list"), F.col("lists")[0].alias("first")), metric)
+
+    def save(self, path: str) -> None:
+        self.rows.write.partitionBy("list").parquet(f"{path}/lists")
+
+    @classmethod
+    def load(cls, spark, path: str, centroids: list, metric: Metric) -> Ivf:
+        rows = spark.read.schema("id string, v array<double>, first int, list int").parquet(f"{path}/lists")
+        return cls(np.array(centroids), rows, metric)
 
     @staticmethod
     def _scale(x: np.ndarray, metric: Metric) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if metric is Metric.COSINE else x
 
-    def search(self, queries: DataFrame, k: int, probes: int = 8, block: int = QUERY_BLOCK) -> DataFrame:
-        """Blocks of queries travel to the points; a query meets those whose first or second list is among its nearest lists. Scores are exact."""
+    def search(self, queries: DataFrame, k: int, probes: int = 8, block: int = QUERY_BLOCK, without: DataFrame | None = None) -> DataFrame:
+        """Blocks of queries travel to the points of the lists that they probe; a query meets a point in the first or second list of
+        it that it probes. Scores are exact. The ids in `without` are left out."""
         centers, metric, scale, spark = self.centroids, self.metric, self._scale, queries.sparkSession
         out, names, rows = None, [], []
 
@@ -130,20 +150,19 @@ class Ivf:
             def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 who, q, probed = shared.value
                 for b in batches:
-                    if not len(b):
-                        continue
-                    ids, v, lists = b["id"].to_numpy(), np.stack(b["v"].to_numpy()), np.stack(b["lists"].to_numpy())
-                    for c in np.unique(lists):
-                        some, own = np.flatnonzero(probed[:, c]), np.flatnonzero((lists == c).any(axis=1))
-                        if not len(some):
-                            continue
-                        first = lists[own, 0]
-                        # a point is met through its second list only where its first isn't probed
-                        met = (first == c)[None] | ~probed[some][:, first]
-                        hits = _best(ids[own], np.where(met, _scores(q[some], v[own], metric), -np.inf), who[some], k)
-                        yield hits[np.isfinite(hits["score"])]
-
-            return ranked(self.assigned.select("id", V.doubles("values").alias("v"), "lists").mapInPandas(run, HIT_TYPE), k)
+                    for c, own in b.groupby("list"):
+                        some = np.flatnonzero(probed[:, c])
+                        for at in range(0, len(own), ROW_BLOCK):
+                            part = own.iloc[at : at + ROW_BLOCK]
+                            first = part["first"].to_numpy()
+                            # a point is met through its second list only where its first isn't probed
+                            met = (first == c)[None] | ~probed[some][:, first]
+                            hits = _best(part["id"].to_numpy(), np.where(met, _scores(q[some], np.stack(part["v"].to_numpy()), metric), -np.inf), who[some], k)
+                            yield hits[np.isfinite(hits["score"])]
+
+            here = self.rows.where(F.col("list").isin(np.flatnonzero(probed.any(axis=0)).tolist()))
+            here = here if without is None else here.join(without.select("id"), "id", "left_anti")
+            return ranked(here.select("id", "v", "list", "first").mapInPandas(run, HIT_TYPE), k)
 
         for r in queries.select("query_id", V.doubles("query").alias("query")).toLocalIterator():
             names.append(r.query_id)

@@ -10,6 +10,8 @@ from .topk import ranked
 
 #: fixed values of the ranking formula
 K1, B = 1.2, 0.75
+#: Terms that are looked up in each text's own list of words, at most.
+FEW_TERMS = 64
 
 
 def sparse_postings(points: DataFrame) -> DataFrame:
@@ -31,7 +33,17 @@ def term_postings(documents: DataFrame, id_col: str = "id", text_col: str = "tex
 
 def corpus_stats(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: docs, avg_length."""
-    return documents.where(F.col(text_col).isNotNull()).select(F.size(tokens(F.col(text_col))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg_length"))
+    return length_stats(documents.where(F.col(text_col).isNotNull()).select(F.size(tokens(F.col(text_col))).alias("length")))
+
+
+def lengths(documents: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """id, length of each document with a text."""
+    return documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.size(tokens(F.col(text_col))).alias("length"))
+
+
+def length_stats(rows: DataFrame) -> DataFrame:
+    """One row: docs, avg_length, from lengths()."""
+    return rows.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("avg_length"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -43,13 +55,27 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def bm25_search(documents: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """queries has query_id, text. Frequencies and lengths are those of all documents."""
-    wanted = query_terms(queries)
-    postings = term_postings(documents, id_col, text_col).join(wanted.select("term").distinct(), "term", "left_semi")
-    df = document_frequency(postings)
-    stats = corpus_stats(documents, text_col)
-    scored = postings.join(wanted, "term").join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
+def wanted_postings(documents: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """term_postings() of the terms given. Few terms cut each text before any row is made; more are joined."""
+    terms = terms.select("term").distinct()
+    if terms.limit(FEW_TERMS + 1).count() > FEW_TERMS:
+        return term_postings(documents, id_col, text_col).join(terms, "term", "left_semi")
+    listed = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
+    asked = terms.agg(F.collect_set("term").alias("asked"))  # one row
+    cut = listed.crossJoin(F.broadcast(asked)).select("id", F.size("t").alias("length"), F.filter("t", lambda x: F.array_contains("asked", x)).alias("t"))
+    return cut.select("id", "length", F.explode("t").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def bm25_scores(postings: DataFrame, stats: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """The k best of each query (query_id, term, times) from all postings of its terms and the one row of stats."""
+    terms = wanted.join(document_frequency(postings), "term")
+    scored = postings.join(terms, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     room = F.greatest(F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest("avg_length", F.lit(1.0))), F.lit(1e-6))
     return ranked(scored.groupBy("query_id", "id").agg(F.sum(F.col("times") * idf * F.col("tf") * (K1 + 1) / room).alias("score")), k)
+
+
+def bm25_search(documents: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """queries has query_id, text. Frequencies and lengths are those of all documents."""
+    wanted = query_terms(queries)
+    return bm25_scores(wanted_postings(documents, wanted, id_col, text_col), corpus_stats(documents, text_col), wanted, k)

@@ -32,3 +32,22 @@ def latency_summary(values: DataFrame, column: str) -> DataFrame:
     placed = counts.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(every)})
     pick = lambda q: F.min(F.when(F.col("upto") > F.round((F.col("all") - 1) * q), F.col("x")))
     return placed.agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("avg"), *[pick(q / 100).alias(f"p{q}") for q in (50, 95, 99)])
+
+
+def histogram(values: DataFrame, column: str, bounds: list[float]) -> DataFrame:
+    """le (null: no bound), count, sum: how many values are at most each bound, as cumulative buckets, and what they add up to."""
+    edges = sorted(bounds)
+    x = F.col(column)
+    each = values.where(x.isNotNull()).agg(*[F.count(F.when(x <= b, 1)).alias(f"n{k}") for k, b in enumerate(edges)], *[F.sum(F.when(x <= b, x)).alias(f"s{k}") for k, b in enumerate(edges)], F.count(x).alias("n"), F.sum(x).alias("s"))
+    row = lambda le, n, s: F.struct(F.lit(le).cast("double").alias("le"), F.col(n).alias("count"), F.coalesce(F.col(s), F.lit(0)).cast("double").alias("sum"))
+    return each.select(F.inline(F.array(*[row(float(b), f"n{k}", f"s{k}") for k, b in enumerate(edges)], row(None, "n", "s"))))
+
+
+def merged_by_id(*sources: DataFrame) -> DataFrame:
+    """Rows of several sources with an id; of those with one id, that of the last source stays."""
+    rest = [c for c in sources[0].columns if c != "id"]
+    every = None
+    for k, s in enumerate(sources):
+        own = s.select("id", F.struct(*rest).alias("row"), F.lit(k).alias("seq"))
+        every = own if every is None else every.unionByName(own)
+    return every.groupBy("id").agg(F.max_by("row", "seq").alias("row")).select("id", "row.*")

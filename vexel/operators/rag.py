@@ -19,6 +19,13 @@ def chunk_points(documents: DataFrame, dimension: int, size: int = 512, overlap_
     return rows.select(F.concat_ws("#", "id", F.col("c.idx")).alias("id"), F.to_json(F.map_concat(base, own)).alias("payload"), F.col("c.text").alias("text")).withColumn("values", T.embedder(dimension, embed)("text")).select("id", "values", "payload")
 
 
+def page_points(pages: DataFrame, dimension: int, text_field: str = "text", size: int = 1200, overlap_chars: int = 150, embed=None) -> DataFrame:
+    """Points `source-00000`, values, payload (text, source, chunk, page, char_start, char_end) from pages (id: the source, page, text)."""
+    rows = T.page_chunks(pages, size, overlap_chars)
+    payload = F.struct(F.col("text").alias(text_field), F.col("id").alias("source"), F.col("idx").alias("chunk"), "page", "char_start", "char_end")
+    return rows.select(F.concat_ws("-", "id", F.format_string("%05d", "idx")).alias("id"), F.to_json(payload).alias("payload"), "text").withColumn("values", T.embedder(dimension, embed)("text")).select("id", "values", "payload")
+
+
 def rerank(hits: DataFrame, query_col: str = "query", text_col: str = "text") -> DataFrame:
     """hits (query_id, id, score, query, text) by score plus word overlap; the score stays, ties keep their order."""
     order = Window.partitionBy("query_id").orderBy(F.desc("reranked"), F.desc("score"), "id")

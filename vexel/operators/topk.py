@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 
 def union(lists: list[DataFrame]) -> DataFrame:
-    """All rows. Parts that are partitioned alike but into different numbers can't be zipped, so they are only appended."""
-    lists[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
-    return reduce(DataFrame.unionByName, lists)
+    """All rows. Lists that are partitioned by query_id into different numbers can't be appended as they are, so it is computed anew."""
+    return reduce(DataFrame.unionByName, [x.withColumn("query_id", F.col("query_id") + F.lit(0).cast("long")) for x in lists])
 
 
 def ranked(hits: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -30,9 +29,9 @@ def rrf(lists: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion: the sum of 1 / (constant + rank). A query that one list alone answers keeps its raw scores."""
     both = union([x.select("query_id", "id", "score", F.lit(n).alias("list")) for n, x in enumerate(lists)])
     marked = both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "list").orderBy(F.desc("score"), F.asc("id"))))
-    fused = marked.groupBy("query_id", "id").agg(F.sum(1 / (F.lit(constant) + F.col("rank"))).alias("fused"), F.first("score").alias("raw"))
-    answered = marked.groupBy("query_id").agg(F.count_distinct("list").alias("answered"))
-    return ranked(fused.join(answered, "query_id").select("query_id", "id", F.when(F.col("answered") == 1, F.col("raw")).otherwise(F.col("fused")).alias("score")), k)
+    lists_of = F.size(F.collect_set("list").over(Window.partitionBy("query_id")))  # as many as there are lists, at most
+    fused = marked.withColumn("answered", lists_of).groupBy("query_id", "id").agg(F.sum(1 / (F.lit(constant) + F.col("rank"))).alias("fused"), F.first("score").alias("raw"), F.first("answered").alias("answered"))
+    return ranked(fused.select("query_id", "id", F.when(F.col("answered") == 1, F.col("raw")).otherwise(F.col("fused")).alias("score")), k)
 
 
 def normalized(hits: DataFrame) -> DataFrame:

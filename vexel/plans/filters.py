@@ -1,7 +1,9 @@
-"""The JSON filter language, compiled to one boolean column over a JSON payload (or typed columns made from it).
+"""The JSON filter language, compiled to one boolean column over a JSON payload.
 
 {"must": [...], "must_not": [...], "should": [...]}; a condition is {"key": path, op: value} with op match, any_of,
-range or exists, or a nested filter. A row without a payload never passes a filter that isn't empty.
+range or exists, or a nested filter. Values stand plainly, {"match": 3}, {"any_of": [1, 2]}, {"exists": true}, or as on
+the wire, {"match": {"value": 3}}, {"any_of": {"any": [1, 2]}}, {"exists": {"exists": true}}. A row without a payload
+never passes a filter that isn't empty.
 """
 
 from __future__ import annotations
@@ -12,38 +14,59 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..types import InvalidRequest
+from ..types import IndexKind, InvalidRequest
 
 EPSILON = 2.220446049250313e-16
 BOUNDS = {"gte": lambda x, b: x >= b, "lte": lambda x, b: x <= b, "gt": lambda x, b: x > b, "lt": lambda x, b: x < b}
 SIDES = ("must", "must_not", "should")
+#: fixed values: the key under which an operator's value stands on the wire
+WIRE = {"match": "value", "any_of": "any", "exists": "exists"}
+#: Lists within lists that an index flattens.
+NESTED_LISTS = 8
 
 
 def parse_filter(text: str | dict | None) -> dict:
-    """A filter from JSON; blank is the empty filter, anything malformed an InvalidRequest."""
+    """A filter from JSON, values plain; blank is the empty filter, anything malformed an InvalidRequest."""
     if text is None or isinstance(text, str) and not text.strip():
         return {}
     try:
         found = json.loads(text) if isinstance(text, str) else text
     except ValueError as e:
         raise InvalidRequest(f"filter isn't JSON: {e}") from e
-    _check(found)
-    return found
+    return _plain(found)
 
 
-def _check(f) -> None:
+def _plain(f) -> dict:
     if not isinstance(f, dict) or set(f) - set(SIDES):
         raise InvalidRequest(f"a filter has must, must_not and should only: {f!r}")
-    for side in SIDES:
-        for c in f.get(side) or []:
-            if not isinstance(c, dict):
-                raise InvalidRequest(f"not a condition: {c!r}")
-            if "filter" in c:
-                _check(c["filter"])
-            elif set(c) & set(SIDES):
-                _check(c)
-            elif "key" not in c or len(ops := set(c) - {"key"}) != 1 or ops - {"match", "any_of", "range", "exists"}:
-                raise InvalidRequest(f"a condition has key and one of match, any_of, range, exists: {c!r}")
+    for side, own in f.items():
+        if own is not None and not isinstance(own, list | tuple):
+            raise InvalidRequest(f"{side} takes a list of conditions: {own!r}")
+    return {side: [_condition(c) for c in own or []] for side, own in f.items()}
+
+
+def _condition(c) -> dict:
+    if not isinstance(c, dict):
+        raise InvalidRequest(f"not a condition: {c!r}")
+    if set(c) == {"filter"}:
+        return {"filter": _plain(c["filter"])}
+    if c and not set(c) - set(SIDES):
+        return {"filter": _plain(c)}
+    ops = set(c) - {"key"}
+    if not isinstance(c.get("key"), str) or len(ops) != 1 or not ops <= {*WIRE, "range"}:
+        raise InvalidRequest(f"a condition has key and one of match, any_of, range, exists: {c!r}")
+    op = ops.pop()
+    value = c[op]
+    if op in WIRE and isinstance(value, dict):
+        if set(value) != {WIRE[op]}:
+            raise InvalidRequest(f"{op} takes a value or {{{WIRE[op]!r}: value}}: {value!r}")
+        value = value[WIRE[op]]
+    number = lambda x: isinstance(x, int | float) and not isinstance(x, bool)
+    if op == "any_of" and not isinstance(value, list | tuple) or op == "exists" and not isinstance(value, bool):
+        raise InvalidRequest(f"{op} doesn't take {value!r}")
+    if op == "range" and not (isinstance(value, dict) and not set(value) - set(BOUNDS) and all(b is None or number(b) for b in value.values())):
+        raise InvalidRequest(f"range takes numbers for {', '.join(BOUNDS)}: {value!r}")
+    return {"key": c["key"], op: value}
 
 
 def is_empty(f: dict | None) -> bool:
@@ -101,20 +124,14 @@ def _leaf(payload: Column, c: dict) -> Column:
     return reduce(lambda a, b: a & b, [BOUNDS[k](x, F.lit(float(b))) for k, b in c["range"].items() if b is not None], x.isNotNull())
 
 
-def compile_filter(f: dict | None, payload: Column, columns: dict[str, Column] | None = None) -> Column:
-    """The filter over a VARIANT payload. `columns` has typed columns by key: leaves on them reach the Parquet scan."""
+def compile_filter(f: dict | str | None, payload: Column) -> Column:
+    """The filter over a VARIANT payload."""
+    f = parse_filter(f)
     if is_empty(f):
         return F.lit(True)
-    columns = columns or {}
 
     def condition(c: dict) -> Column:
-        if "filter" in c:
-            return tree(c["filter"])
-        if set(c) & set(SIDES):
-            return tree(c)
-        if c["key"] in columns:
-            return F.coalesce(_typed(columns[c["key"]], c), F.lit(False))
-        return F.coalesce(_leaf(payload, c), F.lit(False))
+        return tree(c["filter"]) if "filter" in c else F.coalesce(_leaf(payload, c), F.lit(False))
 
     def tree(x: dict) -> Column:
         out = reduce(lambda a, b: a & b, [condition(c) for c in x.get("must") or []], F.lit(True))
@@ -125,23 +142,71 @@ def compile_filter(f: dict | None, payload: Column, columns: dict[str, Column] |
     return payload.isNotNull() & tree(f)
 
 
-def _typed(x: Column, c: dict) -> Column:
-    if "match" in c:
-        return x == F.lit(c["match"])
-    if "any_of" in c:
-        return x.isin(c["any_of"]) if c["any_of"] else F.lit(False)
-    if "exists" in c:
-        return x.isNotNull() == F.lit(bool(c["exists"]))
-    return reduce(lambda a, b: a & b, [BOUNDS[k](x, F.lit(float(b))) for k, b in c["range"].items() if b is not None], x.isNotNull())
+def _flat(v: Column) -> Column:
+    """The scalars of a payload field, its lists flattened; a list of one for a scalar."""
+    items = F.array(v)
+    for _ in range(NESTED_LISTS):
+        items = F.flatten(F.transform(items, lambda x: F.when(F.startswith(_kind(x), F.lit("ARRAY")), _get(x, "$", "array<variant>")).otherwise(F.array(x))))
+    return items
 
 
 def index_tokens(v: Column) -> Column:
     """What a keyword index holds of a payload field: its text, or its elements'; nothing for objects and null."""
     one = lambda x: F.when(_kind(x).rlike("^(STRING|BOOLEAN|BIGINT|DECIMAL|DOUBLE|FLOAT)"), _get(x, "$", "string"))
-    items = _get(v, "$", "array<variant>")
-    return F.filter(F.when(F.startswith(_kind(v), F.lit("ARRAY")), F.transform(items, one)).otherwise(F.array(one(v))), lambda x: x.isNotNull())
+    return F.filter(F.transform(_flat(v), one), lambda x: x.isNotNull())
 
 
 def index_numbers(v: Column) -> Column:
-    items = _get(v, "$", "array<variant>")
-    return F.filter(F.when(F.startswith(_kind(v), F.lit("ARRAY")), F.transform(items, _number)).otherwise(F.array(_number(v))), lambda x: x.isNotNull())
+    """What a numeric index holds of a payload field: its number, or its elements'."""
+    return F.filter(F.transform(_flat(v), _number), lambda x: x.isNotNull())
+
+
+def index_columns(payload: Column, indexes: dict[str, IndexKind]) -> dict[str, Column]:
+    """For each indexed key the least and greatest of what its index holds, as plain columns: scans skip by them."""
+    out = {}
+    for n, (key, kind) in enumerate(sorted(indexes.items())):
+        field = _get(payload, _path(key), "variant")
+        held = index_numbers(field) if kind is IndexKind.NUMERIC else index_tokens(field)
+        out |= {f"ix{n}_low": F.array_min(held), f"ix{n}_high": F.array_max(held)}
+    return out
+
+
+def index_bounds(f: dict | str | None, indexes: dict[str, IndexKind]) -> Column | None:
+    """What index_columns() must say of every row that passes the filter; None if they say nothing.
+
+    Only leaves of `must` count, nested or not. Comparisons of plain columns with literals reach the Parquet scan.
+    """
+    found = []
+    names = {key: (f"ix{n}", kind) for n, (key, kind) in enumerate(sorted(indexes.items()))}
+
+    def number(x):
+        return isinstance(x, int | float) and not isinstance(x, bool)
+
+    def leaf(c):
+        name, kind = names[c["key"]]
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        if kind is IndexKind.NUMERIC and "range" in c:
+            r = c["range"]
+            for k, b in r.items():
+                if b is not None:
+                    found.append(BOUNDS[k](high if k in ("gte", "gt") else low, F.lit(float(b))))
+            return
+        values = [c["match"]] if "match" in c else list(c.get("any_of") or [])
+        if not values:
+            return
+        if kind is IndexKind.NUMERIC and all(number(x) for x in values):
+            found.extend([low <= max(values) + EPSILON, high >= min(values) - EPSILON])
+        elif kind is not IndexKind.NUMERIC and all(isinstance(x, str | bool) for x in values):
+            texts = [x if isinstance(x, str) else str(x).lower() for x in values]
+            # as Spark compares, by bytes
+            found.extend([low <= max(texts, key=str.encode), high >= min(texts, key=str.encode)])
+
+    def walk(x):
+        for c in x.get("must") or []:
+            if "filter" in c:
+                walk(c["filter"])
+            elif c["key"] in names:
+                leaf(c)
+
+    walk(parse_filter(f))
+    return reduce(lambda a, b: a & b, found) if found else None

@@ -110,6 +110,8 @@ class SearchRequest:
     alpha: float | None = None
     raw_overfetch: bool = False
     filter_mode: str = "post"
+    exact: bool = True
+    probes: int = 8
 
     @property
     def k(self) -> int:
