@@ -82,3 +82,15 @@ def test_long_lines_take_linear_time(spark):
     began = time.time()
     got = {tuple(r) for r in repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(2, 0, "near", 1, 0), (3, 0, "near", 1, 0)} and time.time() - began < 90
+
+
+def test_places_keep_ids_and_lines(spark):
+    from pyspark.sql import functions as F
+
+    from vexel.llm import line_dedup as d
+
+    ids = [0, -1, 7, (1 << 63) - 1, -(1 << 63), None]
+    rows = [(i, "\n" * n) for i in ids for n in (0, 3)]
+    lines = d._lines(spark.createDataFrame(rows, "doc_id long, text string"), "text", "doc_id")
+    got = [tuple(r) for r in lines.orderBy("at").select(d._doc_of(F.col("at")), d._line_of(F.col("at"))).collect()]
+    assert [x for x in got if x[0] is not None] == sorted((i, n) for i in ids if i is not None for n in (0, 0, 1, 2, 3)) and sorted(n for i, n in got if i is None) == [0, 0, 1, 2, 3] and got[-1][0] is None

@@ -43,10 +43,13 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, keep: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder: lost executors lose no part of it. It goes when Python ends."""
+    """df as a Parquet table in the shared folder: lost executors lose no part of it. It goes when Python ends.
+
+    Zstandard, as Parquet's Snappy writers leave buffers outside the heap that only a later collection frees.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/vexel/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not keep:
         atexit.register(_remove_quietly, spark, path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -17,14 +17,19 @@ from ._tables import written
 LEAST_WORDS = 4
 #: Bits of the filter that says which lines' words are fetched; at most a 64th as many rows are broadcast.
 FILTER_BITS = 1 << 26
-#: A place is a number below 2**126: the id, or NO_ID and a hash of the text, then the line, then another hash of the text.
+#: A place is a number below 2**126: the id, counted from the least, or NO_ID and a hash of the text; the line; more of that hash.
 LINES, TEXTS, NO_ID = 1 << 31, 1 << 30, 1 << 64
 #: Words whose running hashes are taken together.
 STRETCH = 64
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+
+
+def _words(trimmed: Column) -> Column:
+    """The words of a trimmed line that isn't empty."""
+    return F.split(trimmed, r"[\x20\x09-\x0D]+")
 
 
 def _half_keys(w: str) -> dict[str, Column]:
@@ -38,26 +43,29 @@ def _half_keys(w: str) -> dict[str, Column]:
     return keys
 
 
-def _place() -> Column:
-    """Of a row of _lines(), its place as one number in order, null ids last: aggregates of it need no sort."""
-    whole = lambda x, digits: F.lit(str(x)).cast(f"decimal({digits},0)")
-    no_id = (whole(NO_ID, 20) + F.col("text_hash").cast("decimal(19,0)")).cast("decimal(20,0)")
-    line = (F.coalesce(F.col("doc_id").cast("decimal(20,0)"), no_id) * whole(LINES, 10) + F.col("line_no").cast("decimal(10,0)")).cast("decimal(29,0)")
-    return (line * whole(TEXTS, 10) + F.pmod(F.col("text_hash"), F.lit(TEXTS)).cast("decimal(10,0)")).cast("decimal(38,0)")
+def _whole_number(x: int, digits: int) -> Column:
+    return F.lit(str(x)).cast(f"decimal({digits},0)")
+
+
+def _first_place(doc_id: Column, text_hash: Column) -> Column:
+    """Of a document, the place of its line 0 as one number in order, null ids last: aggregates of places need no sort."""
+    no_id = (_whole_number(NO_ID, 20) + text_hash.cast("decimal(19,0)")).cast("decimal(20,0)")
+    from_least = (doc_id.cast("decimal(19,0)") + _whole_number(NO_ID // 2, 19)).cast("decimal(20,0)")
+    doc = F.coalesce(from_least, no_id) * _whole_number(LINES * TEXTS, 19)
+    return (doc.cast("decimal(38,0)") + F.pmod(text_hash, F.lit(TEXTS)).cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
-def _line_place(place: Column) -> Column:
-    return F.floor(place / F.lit(TEXTS)).cast("decimal(29,0)")
+def _within(place: Column) -> Column:
+    return place % _whole_number(LINES * TEXTS, 19)
 
 
 def _doc_of(place: Column) -> Column:
-    doc = F.floor(_line_place(place) / F.lit(LINES)).cast("decimal(20,0)")
-    return F.when(doc < F.lit(str(NO_ID)).cast("decimal(20,0)"), doc.cast("long"))
+    doc = ((place - _within(place)) / _whole_number(LINES * TEXTS, 19)).cast("decimal(20,0)")
+    return F.when(doc < _whole_number(NO_ID, 20), (doc - _whole_number(NO_ID // 2, 19)).cast("long"))
 
 
 def _line_of(place: Column) -> Column:
-    line = _line_place(place)
-    return (line - F.floor(line / F.lit(LINES)) * F.lit(LINES)).cast("int")
+    return F.shiftright(_within(place).cast("long"), TEXTS.bit_length() - 1).cast("int")
 
 
 def _let(value: Column, body):
@@ -137,8 +145,10 @@ def _near(a: Column, b: Column) -> Column:
 
 
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """at, raw: the place of each line, and the line, trimmed."""
     text_hash = F.shiftrightunsigned(F.xxhash64(text_col), 1)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash.alias("text_hash"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "raw"))
+    rows = docs.select(_first_place(F.col(id_col).cast("long"), text_hash).alias("first"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "raw"))
+    return rows.select((F.col("first") + F.shiftleft(F.col("line_no").cast("long"), TEXTS.bit_length() - 1).cast("decimal(19,0)")).cast("decimal(38,0)").alias("at"), _trimmed(F.col("raw")).alias("raw"))
 
 
 def _bit(place: Column) -> Column:
@@ -163,9 +173,9 @@ def repeated_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     ones (repeated rows) are one; an empty table gives an empty result.
     """
     raw = _lines(docs, text_col, id_col)
-    lines = raw.select("doc_id", "text_hash", "line_no", _words(F.col("raw")).alias("w")).where(F.size("w") > 0)
+    lines = raw.where("raw <> ''").select("at", _words(F.col("raw")).alias("w"))
     halves = {k: F.when(F.size("w") >= least_words, h) for k, h in _half_keys("w").items()}
-    seen = written(lines.select(_place().alias("at"), F.xxhash64("w").alias("line"), *[h.alias(k) for k, h in halves.items()]))
+    seen = written(lines.select("at", F.xxhash64("w").alias("line"), *[h.alias(k) for k, h in halves.items()]))
     classes = written(seen.groupBy("line").agg(F.min("at").alias("at"), *[F.min(k).alias(k) for k in halves]))
 
     each = F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(i).alias("which")) for i in range(4)])).alias("half")
@@ -174,7 +184,7 @@ def repeated_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     going = written(of_each.join(shared, "key").select("line", "at", "key", (F.col("which") % 2).alias("tail"), F.floor(F.col("which") / 2).cast("int").alias("less")))
     # the words of the first line of each class that goes on
     wanted = going.select("line", "at").distinct()
-    candidates = _only(raw.withColumn("at", _place()).select("at", "raw"), wanted).withColumn("_w", _words(F.col("raw")))
+    candidates = _only(raw, wanted).withColumn("_w", _words(F.col("raw")))
     # the class says which text is meant, should two share a place by their hashes
     words = written(candidates.withColumn("line", F.xxhash64("_w")).join(wanted, ["line", "at"]).groupBy("line", "at").agg(F.min("raw").alias("raw")).select("line", "at", _words(F.col("raw")).alias("w")))
 
