@@ -16,6 +16,8 @@ partitions of the input nor the order in which tasks end have a say in the model
 
 from __future__ import annotations
 
+from copy import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -124,6 +126,17 @@ class Vocabulary:
         #: what a word's share of a flat class adds to its class's log probability
         self.flat = np.where(in_soft, 0.0, self.log_weight - self.log_mass[self.of])
 
+    def __getstate__(self):
+        """Tasks read a word's input number, weight and share; its class and slot are for making these."""
+        return {k: x for k, x in self.__dict__.items() if k not in ("of", "slot")}
+
+    def lean(self) -> Vocabulary:
+        """Without the words: what training and scoring of encoded documents need, bounded by the constants."""
+        out = copy(self)
+        for k in ("words", "input", "log_weight", "flat"):
+            out.__dict__.pop(k)
+        return out
+
     def look(self, hashes):
         """Places in the table, -1 for other words."""
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
@@ -462,10 +475,12 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     v = Vocabulary(frequent.column("word").to_numpy().view(np.uint64), frequent.column("n").to_numpy(), frequent.column("hint").to_numpy(), got.total, got.kinds)
     shared = spark.sparkContext.broadcast(v)
     encoded = written(rows.select("doc_id", "held_out", "text").mapInArrow(_encode(shared), ROW + ", tokens binary").withColumn("row", F.monotonically_increasing_id()))
-    p, seen = trained(spark, v, encoded.where(~F.col("held_out")), int(got.total), shard_tokens, rounds)
+    shared.unpersist()
+    lean = v.lean()
+    p, seen = trained(spark, lean, encoded.where(~F.col("held_out")), int(got.total), shard_tokens, rounds)
     if seen != got.total:
         raise RuntimeError(f"{seen} of {got.total} training tokens were learned")
-    both = spark.sparkContext.broadcast((v, p))
+    both = spark.sparkContext.broadcast((lean, p))
     scored = written(encoded.select(*encoded.columns[:7], "row", "tokens").mapInArrow(_score(both), ROW + ", row bigint, model double"))
     drop(encoded)
     # words outside the table: their own counts, or unseen
