@@ -20,11 +20,13 @@ def running_start(df: DataFrame, key: str, order: list[Column], amount: Column,
     spread is uniform in [0, 1) and must not depend on amount; equal keys are told apart by `order`.
     """
     slices = max(1, min(n_rows // SLICE_ROWS, MAX_SLICES))
-    dealt = df.withColumn("_slice", F.floor(spread * slices).cast("int")).withColumn("_amount", amount.cast("long"))
-    sums = dealt.groupBy(key, "_slice").agg(F.sum("_amount").alias("_sum"))
-    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col(key).alias("_of"), F.col("_slice").alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # never null, so that the sums are joined by the columns that the rows are already dealt by
+    name_of = F.coalesce(F.concat(F.lit("v"), F.col(key).cast("string")), F.lit("n"))
+    dealt = df.withColumns({"_of": name_of, "_slice": F.floor(spread * slices).cast("int"), "_amount": amount.cast("long")})
+    sums = dealt.groupBy("_of", "_slice").agg(F.sum("_amount").alias("_sum"))
+    before = Window.partitionBy("_of").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_of", "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_of", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = dealt.withColumn("_inside", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
-    joined = summed.join(starts, summed[key].eqNullSafe(starts["_of"]) & (summed["_slice"] == starts["_at"]))
-    return joined.withColumn(name, F.col("_start") + F.col("_inside")).drop("_slice", "_amount", "_inside", "_of", "_at", "_start")
+    joined = summed.join(starts, ["_of", "_slice"])
+    return joined.withColumn(name, F.col("_start") + F.col("_inside")).drop("_slice", "_amount", "_inside", "_of", "_start")
