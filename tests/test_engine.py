@@ -12,6 +12,7 @@ from vexel import catalogue
 from vexel.engine import Engine
 from vexel.functions import ring
 from vexel.functions import text as T
+from vexel.functions import vectors as V
 from vexel.operators import dense, lexical, mutations, rag, topk
 from vexel.plans.filters import compile_filter, index_columns, index_numbers, index_tokens, parse_filter, payload_variant
 from vexel.sources.store import Store, read_points
@@ -210,6 +211,26 @@ def test_many_queries_leave_the_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, dense.exact(p, q, "dot", 3).select("query_id", "id", "rank").collect())) == few
 
 
+def pairs_and_expressions(spark, metric, normal):
+    p = [("a", [3.0, 4.0]), ("b", [0.0, 0.0]), ("c", [-1.0, 2.5]), ("d", [1.0]), ("e", None), ("f", [1.0, None]), (None, [0.25, -8.0])] + [("n", [float("nan"), 1.0])] * (not normal)
+    points = spark.createDataFrame(p, "id string, values array<float>")
+    asked = spark.createDataFrame([(0, [1.0, 2.0]), (20, [0.0, 0.0]), (40, [-2.0, 0.5]), (40, [9.0, 1.0]), (60, [7.0, 7.0, 7.0])], "query_id long, query array<double>")
+    every = points.crossJoin(asked).select("query_id", "id", V.score(V.doubles("values"), F.col("query"), metric).alias("score"))
+    every = (topk.normalized(every) if normal else every).select("query_id", "id", F.round("score", 6).alias("score"))
+    found = dense.pairs(points, asked, metric, 6, normal, block=2)
+    assert found.schema == every.schema
+    return [sorted(map(str, map(tuple, x.collect()))) for x in (found, every)]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_all_pairs_by_matrix_against_expressions(spark, sf, monkeypatch, metric):
+    monkeypatch.setattr(dense, "TASK_PAIRS", 9)
+    found, every = pairs_and_expressions(spark, metric, False)
+    assert found == every and len(found) == 40
+    plan = catalogue.dense_cosine_zero_norm(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan  # a join would make a row with both vectors of each pair
+
+
 def ship(id, masts, text, *vector, kind="brig"):
     return {"id": id, "values": list(vector), "payload": json.dumps({"masts": masts, "kind": kind, "log": text})}
 

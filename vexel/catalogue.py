@@ -104,9 +104,9 @@ def dense_overfetch_2k(spark, d):
 @query(f"""WITH e AS ({E_SQL} UNION ALL SELECT 'zero', list_transform(range(64), lambda x: 0.0::DOUBLE), 0)
 SELECT query_id, id, round(CASE WHEN list_inner_product(v, v) = 0 THEN 0.0 ELSE list_cosine_similarity(v, q) END, 6) AS score FROM e, ({Q_SQL}) q""")
 def dense_cosine_zero_norm(spark, d):
-    zero = spark.range(1).select(F.lit("zero").alias("id"), F.array_repeat(F.lit(0.0), 64).alias("v"))
-    both = points(spark, d).select("id", V.doubles("values").alias("v")).unionByName(zero)
-    return both.crossJoin(F.broadcast(asked(spark, d))).select("query_id", "id", F.round(V.cosine(F.col("v"), F.col("query")), 6).alias("score"))
+    zero = spark.range(1).select(F.lit("zero").alias("id"), F.array_repeat(F.lit(0.0), 64).alias("values"))
+    both = points(spark, d).select("id", V.doubles("values").alias("values")).unionByName(zero)
+    return dense.pairs(both, asked(spark, d), Metric.COSINE, 6)
 
 
 @query(f"SELECT id, round(list_cosine_similarity(v, q), 6) AS score FROM ({E_SQL}), ({Q_SQL}) WHERE query_id = 0 ORDER BY list_cosine_similarity(v, q) DESC, id LIMIT 7")

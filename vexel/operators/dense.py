@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from .topk import ranked
 
 #: Queries in one broadcast; more are answered block by block. Vectors that are scored at once.
 QUERY_BLOCK, ROW_BLOCK = 4096, 1024
+#: Where all pairs are returned: pairs of one task, about, and of one Arrow batch.
+TASK_PAIRS, PAIR_BLOCK = 1 << 22, 1 << 18
 HIT_TYPE = "query_id long, id string, score double"
 
 
@@ -81,6 +85,102 @@ def batch(points: DataFrame, queries: DataFrame, metric: Metric | str, k: int, b
     return out if out is not None else spark.createDataFrame([], HIT_TYPE + ", rank int")
 
 
+def _grouped(vectors: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """For each length of vector the places that have it and their matrix; each vector's length, -1 if it is null; which hold a null."""
+    size = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    holed, groups = np.zeros(len(size), bool), []
+    for n in np.unique(size[size >= 0]):
+        at = np.flatnonzero(size == n)
+        flat = vectors.take(pa.array(at)).flatten()
+        if flat.null_count:
+            holed[at] = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(at), n).any(1)
+        groups.append((at, flat.to_numpy(zero_copy_only=False).reshape(len(at), n)))
+    return groups, size, holed
+
+
+def _table(v: tuple, q: tuple, metric: Metric) -> tuple[np.ndarray, np.ndarray]:
+    """A row for each vector and a column for each query, both _grouped(): scores as V.score() has them, and which are null."""
+    (mine, size, holed), (theirs, sizes, holeds) = v, q
+    out = np.zeros((len(size), len(sizes)))  # lists of different lengths score 0
+    with np.errstate(all="ignore"):
+        for at, x in mine:
+            for to, y in theirs:
+                same = x.shape[1] == y.shape[1]
+                if same and x.shape[0] == len(size) and y.shape[0] == len(sizes):
+                    out = _scores(x, y, metric)
+                elif same:
+                    out[np.ix_(at, to)] = _scores(x, y, metric)
+                if same or metric is Metric.COSINE:  # what isn't a number stays so
+                    out[np.ix_(at[np.isnan(x).any(1)], to)] = np.nan
+                    out[np.ix_(at, to[np.isnan(y).any(1)])] = np.nan
+    void = (size < 0)[:, None] | (sizes < 0)[None]
+    if holed.any() or holeds.any():
+        void |= (holed[:, None] | holeds[None]) & ((size[:, None] == sizes[None]) | (metric is Metric.COSINE))
+    return out, void
+
+
+def pairs(points: DataFrame, queries: DataFrame, metric: Metric | str, digits: int, normal: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, id, score of every query (query_id, query) with every point (id, values), by matrix products, rounded to so many digits.
+
+    normal: between the least (0) and the greatest (1) score of the query_id, as topk.normalized() has it. A first pass finds
+    these bounds, so that no pair is shuffled.
+    """
+    metric, spark = Metric.parse(metric), points.sparkSession
+    blocks, names, rows = [], [], []
+
+    def put():
+        blocks.append((np.array(names, np.int64), _grouped(pa.array(rows, pa.list_(pa.float64())))))
+        names.clear()
+        rows.clear()
+
+    for r in queries.select("query_id", V.doubles("query").alias("query")).toLocalIterator():
+        names.append(r.query_id)
+        rows.append(r.query)
+        if len(names) == block:
+            put()
+    if names:
+        put()
+    if not blocks:
+        return spark.createDataFrame([], HIT_TYPE)
+    n = points.count() * sum(len(who) for who, _ in blocks)
+    v, shared = points.select("id", V.doubles("values").alias("v")).repartition(max(1, -(-n // TASK_PAIRS))), spark.sparkContext.broadcast(blocks)
+
+    def tables(batches: Iterator[pa.RecordBatch], step):
+        """(number of the block, ids, scores, nulls)"""
+        for b in batches:
+            for k, (who, q) in enumerate(shared.value):
+                for at in range(0, b.num_rows, rows := step(len(who))):
+                    part = b.slice(at, rows)
+                    yield k, part.column(0), *_table(_grouped(part.column(1)), q, metric)
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(np.full(len(who), np.nan), np.full(len(who), -np.inf)) for who, _ in shared.value]
+        for k, _, s, void in tables(batches, lambda _: ROW_BLOCK):
+            low, high = found[k]
+            np.fmin(low, np.fmin.reduce(np.where(void, np.nan, s)), out=low)  # what isn't a number is the greatest, as in SQL
+            np.maximum(high, np.where(void, -np.inf, s).max(0), out=high)
+        for (who, _), (low, high) in zip(shared.value, found, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(low), pa.array(high)], ["query_id", "low", "high"])
+
+    ends = None
+    if normal:
+        of = {r.query_id: (r.low, max(r.high - r.low, 1e-6) if r.high == r.high else np.nan) for r in v.mapInArrow(bounds, "query_id long, low double, high double").groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()}
+        ends = spark.sparkContext.broadcast([np.array([of[x] for x in who.tolist()]).T for who, _ in blocks])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, ids, s, void in tables(batches, lambda n: max(1, PAIR_BLOCK // n)):
+            who = shared.value[k][0]
+            if ends is not None:
+                low, span = ends.value[k]
+                s = (s - low) / span
+            s = np.copysign(np.floor(np.abs(s) * 10**digits + 0.5), s) / 10**digits + 0.0  # as round() in SQL
+            at = pa.array(np.repeat(np.arange(len(ids), dtype=np.int32), len(who)))
+            score = pa.array(s.ravel(), mask=void.ravel() if void.any() else None)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(who, len(ids))), ids.take(at), score], ["query_id", "id", "score"])
+
+    return v.mapInArrow(run, HIT_TYPE)
+
+
 def check_dimension(points: DataFrame, dimension: int) -> DataFrame:
     """points, failing on a vector of another length."""
     return points.withColumn("values", F.when(F.assert_true(F.size("values") == dimension, F.lit(f"vectors must have {dimension} numbers")).isNull(), F.col("values")))
