@@ -231,6 +231,14 @@ def test_all_pairs_by_matrix_against_expressions(spark, sf, monkeypatch, metric)
     assert "MapInArrow" in plan and "Join" not in plan  # a join would make a row with both vectors of each pair
 
 
+def test_all_pairs_normalised_in_two_passes(spark, sf, monkeypatch):
+    monkeypatch.setattr(dense, "TASK_PAIRS", 9)
+    found, every = pairs_and_expressions(spark, "cosine", True)
+    assert found == every and len(found) == 35
+    plan = catalogue.minmax_normalize(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan  # a window shuffles and sorts all pairs
+
+
 def ship(id, masts, text, *vector, kind="brig"):
     return {"id": id, "values": list(vector), "payload": json.dumps({"masts": masts, "kind": kind, "log": text})}
 

@@ -358,8 +358,7 @@ def hybrid_weighted_lexical_concat(spark, d):
 @query(f"""WITH s AS (SELECT query_id, id, {SCORES['cosine']} AS score FROM ({E_SQL}), ({Q_SQL}))
 SELECT query_id, id, round({SPAN}, 6) AS score FROM s WINDOW w AS (PARTITION BY query_id)""")
 def minmax_normalize(spark, d):
-    pairs = points(spark, d).crossJoin(F.broadcast(asked(spark, d))).select("query_id", "id", V.cosine(V.doubles("values"), F.col("query")).alias("score"))
-    return topk.normalized(pairs).select("query_id", "id", F.round("score", 6).alias("score"))
+    return dense.pairs(points(spark, d), asked(spark, d), Metric.COSINE, 6, normal=True)
 
 
 @query(dense_sql())
