@@ -211,6 +211,23 @@ def test_many_queries_leave_the_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, dense.exact(p, q, "dot", 3).select("query_id", "id", "rank").collect())) == few
 
 
+@pytest.mark.parametrize("name", ["hybrid_rrf"])
+def test_queries_of_the_same_words_are_scored_once(spark, sf, monkeypatch, name):
+    scored = []
+    monkeypatch.setattr(lexical, "ranked", lambda hits, k, **more: scored.append(hits.count()) or topk.ranked(hits, k, **more))
+    who = catalogue.QUERIES[name](spark, sf).select("query_id").distinct().count()
+    assert who > 20 and 0 < sum(scored) <= spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_alike_and_other_queries_of_bm25(spark):
+    pick = random.Random(5)
+    texts = [(f"t{k:02}", " ".join(pick.choice("tide moon salt rope Wind keel".split()) for _ in range(pick.randrange(1, 12)))) for k in range(40)]
+    asked = [(7, "Wind and tide, wind"), (3, "tide WIND wind and"), (9, "wind tide"), (1, "keel"), (5, "!!"), (2, "Keel?")]
+    hits = lexical.bm25_search(spark.createDataFrame(texts, "id string, text string"), spark.createDataFrame(asked, "query_id long, text string"), 7).collect()
+    for q, text in asked:
+        assert [(r.id, round(r.score, 6)) for r in sorted(hits, key=lambda r: r["rank"]) if r.query_id == q] == bm25(texts, text, 7)
+
+
 def pairs_and_expressions(spark, metric, normal):
     p = [("a", [3.0, 4.0]), ("b", [0.0, 0.0]), ("c", [-1.0, 2.5]), ("d", [1.0]), ("e", None), ("f", [1.0, None]), (None, [0.25, -8.0])] + [("n", [float("nan"), 1.0])] * (not normal)
     points = spark.createDataFrame(p, "id string, values array<float>")

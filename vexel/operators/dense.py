@@ -56,7 +56,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, names: np.ndarray, k: int) -> pd.
 
 
 def batch(points: DataFrame, queries: DataFrame, metric: Metric | str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """exact() by matrix products: blocks of queries travel to the points, each Arrow batch keeps its k best."""
+    """exact() by matrix products: blocks of queries travel to the points, a task passes on what is not below the k best so far."""
     metric, spark = Metric.parse(metric), points.sparkSession
     found = queries.select("query_id", V.doubles("query").alias("query"))
     out, names, rows = None, [], []
@@ -66,10 +66,14 @@ def batch(points: DataFrame, queries: DataFrame, metric: Metric | str, k: int, b
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             who, q = shared.value
+            top = np.full((len(q), k), -np.inf)
             for b in batches:
                 for at in range(0, len(b), ROW_BLOCK):
                     part = b.iloc[at : at + ROW_BLOCK]
-                    yield _best(part["id"].to_numpy(), _scores(q, np.stack(part["v"].to_numpy()), metric), who, k)
+                    scores = _scores(q, np.stack(part["v"].to_numpy()), metric)
+                    top = np.partition(np.hstack([top, scores]), -k, axis=1)[:, -k:]  # the least of them first
+                    row, of = np.nonzero(~(scores < top[:, :1]))  # ties are kept for the ranking to settle
+                    yield pd.DataFrame({"query_id": who[row], "id": part["id"].to_numpy()[of], "score": scores[row, of]})
 
         return ranked(points.select("id", V.doubles("values").alias("v")).mapInPandas(run, HIT_TYPE), k)
 

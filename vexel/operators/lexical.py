@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -56,23 +56,31 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def wanted_postings(documents: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """term_postings() of the terms given. Few terms cut each text before any row is made; more are joined."""
+    """term_postings() of the terms given. Few terms are looked up word by word, with no join; more are joined."""
     terms = terms.select("term").distinct()
     if terms.limit(FEW_TERMS + 1).count() > FEW_TERMS:
         return term_postings(documents, id_col, text_col).join(terms, "term", "left_semi")
     listed = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
     asked = terms.agg(F.collect_set("term").alias("asked"))  # one row
-    cut = listed.crossJoin(F.broadcast(asked)).select("id", F.size("t").alias("length"), F.filter("t", lambda x: F.array_contains("asked", x)).alias("t"))
-    return cut.select("id", "length", F.explode("t").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    every = listed.crossJoin(F.broadcast(asked)).select("id", F.size("t").alias("length"), "asked", F.explode("t").alias("term"))
+    return every.where(F.array_contains("asked", F.col("term"))).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_scores(postings: DataFrame, stats: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """The k best of each query (query_id, term, times) from all postings of its terms and the one row of stats."""
-    terms = wanted.join(document_frequency(postings), "term")
+    """The k best of each query (query_id, term, times) from all postings of its terms and the one row of stats.
+
+    Queries of the same words as often have the same hits: the first of them is scored, the others get its hits.
+    """
+    bags = wanted.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "times"))).alias("bag"))
+    alike = bags.select("query_id", F.min("query_id").over(Window.partitionBy("bag")).alias("first"))
+    own = wanted.join(alike.where("query_id = first").select("query_id"), "query_id", "left_semi")
+    # as document_frequency(), from the same columns as the scores, so that Spark makes the postings once
+    terms = own.join(postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")), "term")
     scored = postings.join(terms, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     room = F.greatest(F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest("avg_length", F.lit(1.0))), F.lit(1e-6))
-    return ranked(scored.groupBy("query_id", "id").agg(F.sum(F.col("times") * idf * F.col("tf") * (K1 + 1) / room).alias("score")), k)
+    hits = ranked(scored.groupBy("query_id", "id").agg(F.sum(F.col("times") * idf * F.col("tf") * (K1 + 1) / room).alias("score")), k)
+    return hits.withColumnRenamed("query_id", "first").join(alike, "first").select("query_id", "id", "score", "rank")
 
 
 def bm25_search(documents: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
