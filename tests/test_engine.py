@@ -211,7 +211,7 @@ def test_many_queries_leave_the_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, dense.exact(p, q, "dot", 3).select("query_id", "id", "rank").collect())) == few
 
 
-@pytest.mark.parametrize("name", ["hybrid_rrf", "hybrid_rrf_filtered", "hybrid_weighted", "hybrid_weighted_dense"])
+@pytest.mark.parametrize("name", ["hybrid_rrf", "hybrid_rrf_filtered", "hybrid_weighted", "hybrid_weighted_dense", "hybrid_weighted_lexical_concat"])
 def test_queries_of_the_same_words_are_scored_once(spark, sf, monkeypatch, name):
     scored = []
     monkeypatch.setattr(lexical, "ranked", lambda hits, k, **more: scored.append(hits.count()) or topk.ranked(hits, k, **more))
