@@ -448,3 +448,12 @@ def test_sparse_pairs_with_all_documents(spark, sf):
     want = {(str(a), str(b)): sum(n * y[k] for k, n in x.items()) for a, x in lengths.items() if a % 20 == 0 for b, y in lengths.items() if x.keys() & y.keys()}
     assert len({b for _, b in want}) > 100
     assert {(r.a, r.b): r["product"] for r in catalogue.QUERIES["sparse_dot_pairs"](spark, sf).collect()} == want
+
+
+def test_sparse_pairs_by_matrix(spark, sf):
+    plan = catalogue.QUERIES["sparse_dot_pairs"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan  # a join on the index shuffles rows for each pair
+    rows = [("a", [1, 5], [2.0, -1.0]), ("b", [5], [3.0]), ("c", [1, 5], [1.0, 2.0]), ("d", [8], [1.0]), ("e", [], []), ("f", None, None), (None, [1], [0.5])]
+    p = spark.createDataFrame([(i, None if n is None else (n, w)) for i, n, w in rows], "id string, sparse struct<indices:array<bigint>,values:array<float>>")
+    found = {(r.a, r.b, r["product"]) for r in lexical.sparse_pairs(p.where("id in ('a', 'd')"), p, 3).collect()}
+    assert found == {("a", "a", 5.0), ("a", "b", -3.0), ("a", "c", 0.0), ("a", None, 1.0), ("d", "d", 1.0)}
