@@ -219,6 +219,25 @@ def test_queries_of_the_same_words_are_scored_once(spark, sf, monkeypatch, name)
     assert who > 20 and 0 < sum(scored) <= spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
+@pytest.mark.parametrize("name", ["hybrid_rrf_filtered"])
+def test_texts_are_looked_up_with_no_row_for_a_word(spark, sf, name):
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") >= 2 and "split(" not in plan
+
+
+def test_terms_of_odd_texts(spark):
+    pick = random.Random(6)
+    odd = ["\u212a", "\u0130", "\u03a3\u0391\u03a3", "\u017ft", "a\u0301b", "\u2177", "\u24b6x", "\u0663\u0664", "\U0001d54f\U0001f600y", "_a_b", "\u1e9e", "\u0345", "x\u200dy", "\u00aa1", "the THE th\u00e9", "", " "]
+    rows = [(str(k), " ".join(pick.choice(odd) for _ in range(pick.randrange(6))) + pick.choice(odd)) for k in range(300)] + [("none", None), (None, "the y"), ("long", "The a " * 400_000)]
+    docs = spark.createDataFrame(rows, "id string, text string")
+    every = lexical.term_postings(docs)
+    some = every.select("term").distinct().orderBy("term").limit(lexical.FEW_TERMS)
+    got = lambda x: sorted(map(repr, x.select("id", "length", "term", "tf").collect()))
+    assert got(every.join(some, "term", "left_semi")) == got(lexical.wanted_postings(docs, some)) != []
+    for d in (docs, docs.limit(0)):
+        assert lexical.corpus_stats(d).collect() == lexical.length_stats(lexical.lengths(d)).collect()
+
+
 def test_alike_and_other_queries_of_bm25(spark):
     pick = random.Random(5)
     texts = [(f"t{k:02}", " ".join(pick.choice("tide moon salt rope Wind keel".split()) for _ in range(pick.randrange(1, 12)))) for k in range(40)]

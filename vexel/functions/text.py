@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..types import InvalidRequest
@@ -16,9 +16,24 @@ SPACE = r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 SPACES = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 
 
+TOKEN = r"\p{IsAlphabetic}\p{N}"
+_token_points: list[np.ndarray] = []
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{IsAlphabetic}\p{N}]+"), "")  # compiled, as lambdas are not
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), f"[^{TOKEN}]+"), "")  # compiled, as lambdas are not
+
+
+def token_points(spark: SparkSession) -> np.ndarray:
+    """For each code point whether tokens() keeps it. The JVM is asked, once: Python knows other Unicode versions."""
+    if not _token_points:
+        character = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+        found = spark.range(0x110000).where(character.rlike(f"[{TOKEN}]")).toArrow()
+        kept = np.zeros(0x110000, bool)
+        kept[found["id"].to_numpy()] = True
+        _token_points.append(kept)
+    return _token_points[0]
 
 
 def words(text: Column) -> Column:

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import token_points, tokens
 from .topk import ranked
 
 #: fixed values of the ranking formula
@@ -18,6 +19,8 @@ K1, B = 1.2, 0.75
 FEW_TERMS = 64
 #: Pairs of one task, about, and of one Arrow batch.
 TASK_PAIRS, PAIR_BLOCK = 1 << 23, 1 << 18
+#: Bytes of text that are cut into tokens at once; the working arrays take about 20 times as much.
+TEXT_BLOCK = 1 << 20
 
 
 def sparse_postings(points: DataFrame) -> DataFrame:
@@ -76,9 +79,48 @@ def term_postings(documents: DataFrame, id_col: str = "id", text_col: str = "tex
     return listed.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _cut(kept: np.ndarray, terms: list[str], texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many tokens each lower-cased text has; how often each term is one of them."""
+    bounds = np.cumsum([0, *map(len, texts)])
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = kept[points]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begun = bounds[:-1][bounds[1:] > bounds[:-1]]
+    first[begun] = inside[begun]  # no token spans two texts
+    last = inside.copy()
+    last[:-1] &= first[1:] | ~inside[1:]
+    places = np.flatnonzero(first)
+    sizes = np.flatnonzero(last) + 1 - places if terms else places
+    times = []
+    for term in terms:
+        at = places[sizes == len(term)]
+        for k, c in enumerate(term):
+            at = at[points[at + k] == ord(c)]
+        times.append(np.bincount(np.searchsorted(bounds, at, "right") - 1, minlength=len(texts)))
+    return np.diff(np.searchsorted(places, bounds)), times
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts of about TEXT_BLOCK bytes."""
+    for b in batches:
+        block = np.cumsum(pc.binary_length(b.column(1)).to_numpy().astype(np.int64)) // TEXT_BLOCK
+        cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else []
+        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+            yield b.column(0).slice(at, to - at), b.column(1).slice(at, to - at).to_pylist()
+
+
 def corpus_stats(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: docs, avg_length."""
-    return length_stats(documents.where(F.col(text_col).isNotNull()).select(F.size(tokens(F.col(text_col))).alias("length")))
+    shared = documents.sparkSession.sparkContext.broadcast(token_points(documents.sparkSession))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([len(texts)]), pa.array([int(_cut(shared.value, [], texts)[0].sum())])], ["docs", "length"])
+
+    listed = documents.where(F.col(text_col).isNotNull()).select(F.lit(None).cast("int").alias("id"), F.lower(F.col(text_col)).alias("text"))
+    found = listed.mapInArrow(run, "docs long, length long")
+    return found.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), (F.sum("length") / F.sum("docs")).alias("avg_length"))
 
 
 def lengths(documents: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -101,14 +143,23 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def wanted_postings(documents: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """term_postings() of the terms given. Few terms are looked up word by word, with no join; more are joined."""
-    terms = terms.select("term").distinct()
-    if terms.limit(FEW_TERMS + 1).count() > FEW_TERMS:
+    """term_postings() of the terms given. Few terms are looked up in each text as it stands, with no row for any other; more are joined."""
+    terms, spark = terms.select("term").distinct(), documents.sparkSession
+    few = sorted(r.term for r in terms.limit(FEW_TERMS + 1).collect())
+    if len(few) > FEW_TERMS:
         return term_postings(documents, id_col, text_col).join(terms, "term", "left_semi")
-    listed = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    asked = terms.agg(F.collect_set("term").alias("asked"))  # one row
-    every = listed.crossJoin(F.broadcast(asked)).select("id", F.size("t").alias("length"), "asked", F.explode("t").alias("term"))
-    return every.where(F.array_contains("asked", F.col("term"))).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    shared = spark.sparkContext.broadcast(token_points(spark))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _blocks(batches):
+            sizes, times = _cut(shared.value, few, texts)
+            for term, n in zip(few, times, strict=True):
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(sizes[at].astype(np.int32)), pa.array([term] * len(at), pa.string()), pa.array(n[at].astype(np.int64))], ["id", "length", "term", "tf"])
+
+    listed = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
+    kind = listed.schema["id"].dataType.simpleString()
+    return listed.mapInArrow(run, f"id {kind}, length int, term string, tf bigint")
 
 
 def bm25_scores(postings: DataFrame, stats: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
