@@ -89,6 +89,29 @@ def test_probabilities_sum_to_one():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_scores_in_columns_and_gradients(monkeypatch):
+    pick = np.random.default_rng(4)
+    kinds = np.r_[np.arange(1, 200, dtype=np.uint64), lm.END]
+    counts = pick.integers(1, 50, len(kinds))
+    v = lm.Vocabulary(kinds, counts, np.arange(len(kinds)) % 2, int(counts.sum()) + 9, len(kinds) + 5)
+    p = {k: a + pick.standard_normal(a.shape).astype(np.float32) * 0.1 for k, a in lm.start_weights(v).items()}
+    hs, rows = pick.standard_normal((50, lm.STATE)).astype(np.float32), pick.integers(-1, len(v.soft), 50).astype(np.int16)
+    inner = lm.Inner(p, hs, rows)
+    assert sorted(inner.at) == list(np.flatnonzero(rows >= 0)) and inner.scores.shape == (lm.BAND_WORDS, len(inner.at))
+    assert all(np.allclose(inner.scores[:, k], hs[i] @ p["w"][rows[i]] + p["wb"][rows[i]], atol=1e-5) for k, i in enumerate(inner.at))
+    docs = [v.input[pick.integers(0, len(kinds) - 1, n)].astype(np.uint16) for n in (6, 0, 7)]  # 16 tokens, one window of one lane
+    found = {}
+    monkeypatch.setattr(lm.Learner, "_update", lambda self, g, fill: found.update(g))
+    lm.Learner(v, p).stretch([np.r_[d, np.uint16(v.end_input)] for d in docs])
+    loss = lambda q: -lm.document_scores(v, q, docs).sum() * np.log(10) / 16
+    for name, g in found.items():
+        for at in np.argsort(-abs(g).ravel())[:4]:
+            more, less = ({k: a.copy() for k, a in p.items()} for _ in range(2))
+            more[name].ravel()[at] += 0.01
+            less[name].ravel()[at] -= 0.01
+            assert abs((loss(more) - loss(less)) / 0.02 - g.ravel()[at]) < 2e-3 * max(1, abs(g.ravel()[at]))
+
+
 def test_nulls_empty_and_long_texts_repeated_rows_and_no_rows(spark):
     rows = [(None, "a b A", None), (None, None, "en"), (1, "", "en"), (2, "a  b\tc", "de"), (2, "a  b\tc", "de"), (3, "word " * 100_000, "en"), (6, "unseen", "en"), (11, "b " * 3, None)]
     docs = documents(spark, rows).selectExpr("*", "1 as row", "2 as tokens", "'x' as held_out")

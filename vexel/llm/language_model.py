@@ -171,24 +171,31 @@ def _gates(x, h, u):
     return n + z * (h - n), z, r, n, un
 
 
-def _softmax(x):
-    """In place."""
-    x -= x.max(axis=-1, keepdims=True)
+def _softmax(x, axis=-1):
+    """In place. Along the first axis numpy reduces several times faster than along the last."""
+    x -= x.max(axis=axis, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
+    x /= x.sum(axis=axis, keepdims=True)
     return x
 
 
 def _log_chance(x, at):
-    """Natural log of the softmax of each row of x at one place; x is overwritten."""
-    x -= x.max(axis=-1, keepdims=True)
-    own = x[np.arange(len(x)), at].astype(np.float64)
+    """Natural log of the softmax of each column of x at one place; x is overwritten."""
+    x -= x.max(axis=0)
+    own = x[at, np.arange(len(at))].astype(np.float64)
     np.exp(x, out=x)
-    return own - np.log(x.sum(axis=-1))
+    return own - np.log(x.sum(axis=0))
+
+
+def _classes(p, hs):
+    """The scores of the classes, a column for each state."""
+    out = p["c"].T @ hs.T
+    out += p["cb"][:, None]
+    return out
 
 
 class Inner:
-    """The states of tokens in soft classes, sorted by class, and the scores of their classes' words."""
+    """The states of tokens in soft classes, sorted by class, and the scores of their classes' words, a column for each."""
 
     def __init__(self, p: dict[str, np.ndarray], hs: np.ndarray, rows: np.ndarray):
         order = np.argsort(rows, kind="stable")
@@ -196,21 +203,20 @@ class Inner:
         sorted_rows = rows[self.at].astype(np.int64)
         self.hs, self.weights = hs[self.at], p["w"]
         starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]]) if len(self.at) else []
-        self.starts, self.rows = starts, sorted_rows[starts]
-        self.cuts = [(int(k), int(x), int(y)) for k, x, y in zip(self.rows, starts, np.r_[starts[1:], len(self.at)], strict=True)] if len(self.at) else []
-        self.scores = p["wb"][sorted_rows]
+        self.cuts = [(int(k), int(x), int(y)) for k, x, y in zip(sorted_rows[starts], starts, np.r_[starts[1:], len(self.at)], strict=True)] if len(self.at) else []
+        self.scores = np.empty((p["wb"].shape[1], len(self.at)), np.float32)
         for k, x, y in self.cuts:
-            self.scores[x:y] += self.hs[x:y] @ self.weights[k]
+            np.add(self.weights[k].T @ self.hs[x:y].T, p["wb"][k][:, None], out=self.scores[:, x:y])
 
     def gradients(self, d: np.ndarray, g: dict[str, np.ndarray], d_out: np.ndarray) -> None:
         """From the derivative by the scores, those by the weights, into g, and by the states, added to d_out."""
         back = np.empty_like(self.hs)
         for k, x, y in self.cuts:
-            g["w"][k] = self.hs[x:y].T @ d[x:y]
-            back[x:y] = d[x:y] @ self.weights[k].T
-        if self.cuts:
-            g["wb"][self.rows] = np.add.reduceat(d, self.starts, axis=0)
-            d_out[self.at] += back
+            own = d[:, x:y]
+            g["w"][k] = self.hs[x:y].T @ own.T
+            g["wb"][k] = own.sum(axis=1)
+            back[x:y] = own.T @ self.weights[k].T
+        d_out[self.at] += back
 
 
 class Learner:
@@ -245,36 +251,35 @@ class Learner:
         span, lanes = inputs.shape
         n_used = float(used.sum())
         x = p["x"][inputs]
-        before, after, saved = np.empty((span, lanes, STATE), np.float32), np.empty((span, lanes, STATE), np.float32), []
+        before, after, z, r, n, un = (np.empty((span, lanes, STATE), np.float32) for _ in range(6))
         for t in range(span):
             before[t] = h * keep[t]
-            h, *rest = _gates(x[t], before[t], p["u"])
+            h, z[t], r[t], n[t], un[t] = _gates(x[t], before[t], p["u"])
             after[t] = h
-            saved.append(rest)
         hs, target, share = after.reshape(-1, STATE), targets.ravel(), used.ravel() / n_used
-        prob = _softmax(hs @ p["c"] + p["cb"])
-        prob[np.arange(len(hs)), v.input_class[target]] -= 1
-        prob *= share[:, None]
-        g = {"c": hs.T @ prob, "cb": prob.sum(axis=0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
-        d_out = prob @ p["c"].T
+        prob = _softmax(_classes(p, hs), 0)
+        prob[v.input_class[target], np.arange(len(hs))] -= 1
+        prob *= share
+        g = {"c": hs.T @ prob.T, "cb": prob.sum(axis=1), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
+        d_out = prob.T @ p["c"].T
         inner = Inner(p, hs, np.where(share > 0, v.input_row[target], np.int16(-1)))
-        prob = _softmax(inner.scores)
-        prob[np.arange(len(prob)), v.input_slot[target[inner.at]]] -= 1
+        prob = _softmax(inner.scores, 0)
+        prob[v.input_slot[target[inner.at]], np.arange(len(inner.at))] -= 1
         prob /= n_used
         inner.gradients(prob, g, d_out)
         d_out = d_out.reshape(span, lanes, STATE)
         dx, du = np.empty((span, lanes, 3 * STATE), np.float32), np.empty((span, lanes, 3 * STATE), np.float32)
         back, dh = np.ascontiguousarray(p["u"].T), np.zeros((lanes, STATE), np.float32)
+        # by the derivative of the state: those of both gates and of what is new, as inputs and, behind the reset gate, as products
+        by_new = (1 - z) * (1 - n * n)
+        by_x = np.stack([(before - n) * z * (1 - z), by_new * un * r * (1 - r), by_new], axis=2)
+        by_u = by_new * r
         for t in range(span - 1, -1, -1):
-            z, r, n, un = saved[t]
             d = dh + d_out[t]
-            dn = d * (1 - z) * (1 - n * n)
-            dx[t, :, :STATE] = d * (before[t] - n) * z * (1 - z)
-            dx[t, :, STATE : 2 * STATE] = dn * un * r * (1 - r)
-            dx[t, :, 2 * STATE :] = dn
-            du[t] = dx[t]
-            du[t, :, 2 * STATE :] *= r
-            dh = (d * z + du[t] @ back) * keep[t]
+            np.multiply(d[:, None], by_x[t], out=dx[t].reshape(lanes, 3, STATE))
+            du[t, :, : 2 * STATE] = dx[t, :, : 2 * STATE]
+            np.multiply(d, by_u[t], out=du[t, :, 2 * STATE :])
+            dh = (d * z[t] + du[t] @ back) * keep[t]
         g["u"] = before.reshape(-1, STATE).T @ du.reshape(-1, 3 * STATE)
         flat = inputs.ravel().astype(np.uint16)
         order = np.argsort(flat, kind="stable")
@@ -287,15 +292,24 @@ class Learner:
     def _update(self, g, fill: float):
         """A stretch's last, half empty windows take smaller steps."""
         self.steps += 1
-        size = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
+        size = np.sqrt(sum(float(np.vdot(a, a)) for a in g.values()))
         k = self.steps - self.first
         rate = RATE * min(1.0, CLIP / (size + 1e-9)) * min(1.0, fill) ** 0.5
         rate *= np.sqrt(1 - 0.999**k) / (1 - 0.9**k) / (1 + self.steps / 500) ** 0.5
         for name, a in g.items():
             m1, m2 = self.m1[name], self.m2[name]
-            m1 += 0.1 * (a - m1)
-            m2 += 0.001 * (a * a - m2)
-            self.p[name] -= (rate * m1 / (np.sqrt(m2) + 1e-8)).astype(np.float32)
+            step = a - m1
+            step *= np.float32(0.1)
+            m1 += step
+            np.multiply(a, a, out=a)  # the gradients have been read
+            a -= m2
+            a *= np.float32(0.001)
+            m2 += a
+            np.sqrt(m2, out=a)
+            a += np.float32(1e-8)
+            np.divide(m1, a, out=a)
+            a *= np.float32(rate)
+            self.p[name] -= a
 
 
 SUM_SCHEMA = pa.schema([("tokens", pa.int64()), ("units", pa.int64()), ("steps", pa.int64()), ("weights", pa.binary())])
@@ -394,7 +408,7 @@ def document_scores(v: Vocabulary, p: dict, docs: list[np.ndarray]) -> np.ndarra
                 h[:n] = _gates(x[t, :n], h[:n], p["u"])[0]
                 states.append(h[:n].copy())
             hs, target = np.concatenate(states), np.concatenate([targets[t, :n] for t, n in enumerate(active)])
-            value = _log_chance(hs @ p["c"] + p["cb"], v.input_class[target])
+            value = _log_chance(_classes(p, hs), v.input_class[target])
             inner = Inner(p, hs, v.input_row[target])
             value[inner.at] += _log_chance(inner.scores, v.input_slot[target[inner.at]])
             out[own] += np.bincount(np.concatenate([np.arange(n) for n in active]), value, len(own)) / np.log(10)
