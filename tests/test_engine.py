@@ -219,7 +219,7 @@ def test_queries_of_the_same_words_are_scored_once(spark, sf, monkeypatch, name)
     assert who > 20 and 0 < sum(scored) <= spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
-@pytest.mark.parametrize("name", ["hybrid_rrf_filtered", "hybrid_weighted", "hybrid_weighted_dense"])
+@pytest.mark.parametrize("name", ["hybrid_rrf_filtered", "hybrid_weighted", "hybrid_weighted_dense", "hybrid_weighted_lexical_concat"])
 def test_texts_are_looked_up_with_no_row_for_a_word(spark, sf, name):
     plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") >= 2 and "split(" not in plan
