@@ -225,6 +225,23 @@ def test_texts_are_looked_up_with_no_row_for_a_word(spark, sf, name):
     assert plan.count("MapInArrow") >= 2 and "split(" not in plan
 
 
+def test_texts_are_read_once_for_counts_and_scores(spark):
+    texts = [(f"t{k:02}", "wind " * (k % 3) + "tide " * (k % 5) + "!") for k in range(40)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([*texts, ("none", None), ("empty", "")], "id string, text string").mapInArrow(seen, "id string, text string")
+    asked = spark.createDataFrame([(0, "Wind tide"), (20, "tide")], "query_id long, text string")
+    hits = lexical.bm25_search(docs, asked, 7).collect()
+    assert read.value == 42
+    for q, text in ((0, "Wind tide"), (20, "tide")):
+        assert [(r.id, round(r.score, 6)) for r in sorted(hits, key=lambda r: r["rank"]) if r.query_id == q] == bm25([*texts, ("empty", "")], text, 7)
+
+
 def test_terms_of_odd_texts(spark):
     pick = random.Random(6)
     odd = ["\u212a", "\u0130", "\u03a3\u0391\u03a3", "\u017ft", "a\u0301b", "\u2177", "\u24b6x", "\u0663\u0664", "\U0001d54f\U0001f600y", "_a_b", "\u1e9e", "\u0345", "x\u200dy", "\u00aa1", "the THE th\u00e9", "", " "]

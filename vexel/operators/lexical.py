@@ -79,35 +79,54 @@ def term_postings(documents: DataFrame, id_col: str = "id", text_col: str = "tex
     return listed.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _cut(kept: np.ndarray, terms: list[str], texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """How many tokens each lower-cased text has; how often each term is one of them."""
-    bounds = np.cumsum([0, *map(len, texts)])
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = kept[points]
+def _cut(kept: np.ndarray, terms: list[str], texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many tokens each lower-cased text has; how often each term is one of them. Texts are cut in their UTF-8 bytes."""
+    texts = texts.cast(pa.large_string())  # null is not among them
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    inside = np.frombuffer(bytearray(data.tobytes().translate(kept[:128].tobytes() + bytes(128))), bool)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        more = (data[lead] >= 0xE0).astype(np.int8) + (data[lead] >= 0xF0) + 1  # bytes that follow
+        point = data[lead] & (0x3F >> more).astype(np.uint32)
+        for k in (1, 2, 3):
+            some = more >= k
+            point[some] = point[some] << 6 | data[lead[some] + k] & 0x3F
+        own = kept[point]
+        for k in (0, 1, 2, 3):
+            inside[lead[own & (more >= k)] + k] = True
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     begun = bounds[:-1][bounds[1:] > bounds[:-1]]
     first[begun] = inside[begun]  # no token spans two texts
-    last = inside.copy()
-    last[:-1] &= first[1:] | ~inside[1:]
-    places = np.flatnonzero(first)
-    sizes = np.flatnonzero(last) + 1 - places if terms else places
-    times = []
-    for term in terms:
-        at = places[sizes == len(term)]
-        for k, c in enumerate(term):
-            at = at[points[at + k] == ord(c)]
+    places, times = np.flatnonzero(first), []
+    if terms:
+        last = inside.copy()
+        last[:-1] &= first[1:] | ~inside[1:]
+        initial, following = data[places], np.r_[places[1:], len(data)]
+    for term in (t.encode() for t in terms):
+        some = np.flatnonzero(initial == term[0])
+        at = places[some][following[some] - places[some] >= len(term)]  # up to the next token or the end
+        for k, c in enumerate(term[1:], 1):
+            at = at[data[at + k] == c]
+        at = at[last[at + len(term) - 1]]
         times.append(np.bincount(np.searchsorted(bounds, at, "right") - 1, minlength=len(texts)))
     return np.diff(np.searchsorted(places, bounds)), times
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Ids and texts of about TEXT_BLOCK bytes."""
     for b in batches:
         block = np.cumsum(pc.binary_length(b.column(1)).to_numpy().astype(np.int64)) // TEXT_BLOCK
         cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else []
         for at, to in zip(cuts[:-1], cuts[1:], strict=True):
-            yield b.column(0).slice(at, to - at), b.column(1).slice(at, to - at).to_pylist()
+            yield b.column(0).slice(at, to - at), b.column(1).slice(at, to - at)
+
+
+def _lowered(documents: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
+    """id, text of each document with a text, lower-cased."""
+    return documents.where(F.col(text_col).isNotNull()).select((F.col(id_col) if id_col else F.lit(None).cast("int")).alias("id"), F.lower(F.col(text_col)).alias("text"))
 
 
 def corpus_stats(documents: DataFrame, text_col: str = "text") -> DataFrame:
@@ -118,8 +137,7 @@ def corpus_stats(documents: DataFrame, text_col: str = "text") -> DataFrame:
         for _, texts in _blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([len(texts)]), pa.array([int(_cut(shared.value, [], texts)[0].sum())])], ["docs", "length"])
 
-    listed = documents.where(F.col(text_col).isNotNull()).select(F.lit(None).cast("int").alias("id"), F.lower(F.col(text_col)).alias("text"))
-    found = listed.mapInArrow(run, "docs long, length long")
+    found = _lowered(documents, None, text_col).mapInArrow(run, "docs long, length long")
     return found.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), (F.sum("length") / F.sum("docs")).alias("avg_length"))
 
 
@@ -142,37 +160,63 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def wanted_postings(documents: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """term_postings() of the terms given. Few terms are looked up in each text as it stands, with no row for any other; more are joined."""
-    terms, spark = terms.select("term").distinct(), documents.sparkSession
-    few = sorted(r.term for r in terms.limit(FEW_TERMS + 1).collect())
-    if len(few) > FEW_TERMS:
-        return term_postings(documents, id_col, text_col).join(terms, "term", "left_semi")
-    shared = spark.sparkContext.broadcast(token_points(spark))
+def few_terms(terms: DataFrame) -> list[str] | None:
+    """The distinct terms, if they are FEW_TERMS at most."""
+    few = sorted(r.term for r in terms.select("term").distinct().limit(FEW_TERMS + 1).collect())
+    return few if len(few) <= FEW_TERMS else None
+
+
+def _looked_up(documents: DataFrame, few: list[str], id_col: str, text_col: str, totals: bool = False) -> DataFrame:
+    """term_postings() of few terms, looked up in each text as it stands, with no row for any other.
+
+    totals: each task adds a row of the term "", which no token is: as length how many texts it had, as tf how many tokens.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(token_points(documents.sparkSession))
+    listed = _lowered(documents, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, every, kind = 0, 0, pa.null()
+        row = lambda ids, length, term, tf: pa.RecordBatch.from_arrays([ids, pa.array(length.astype(np.int32)), pa.array([term] * len(ids), pa.string()), pa.array(tf.astype(np.int64))], ["id", "length", "term", "tf"])
         for ids, texts in _blocks(batches):
             sizes, times = _cut(shared.value, few, texts)
+            docs, every, kind = docs + len(texts), every + int(sizes.sum()), ids.type
             for term, n in zip(few, times, strict=True):
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(sizes[at].astype(np.int32)), pa.array([term] * len(at), pa.string()), pa.array(n[at].astype(np.int64))], ["id", "length", "term", "tf"])
+                if len(at := np.flatnonzero(n)):
+                    yield row(ids.take(pa.array(at)), sizes[at], term, n[at])
+        if totals and docs:
+            yield row(pa.nulls(1, kind), np.array([docs]), "", np.array([every]))
+
+    return listed.mapInArrow(run, f"id {listed.schema['id'].dataType.simpleString()}, length int, term string NOT NULL, tf bigint")
 
-    listed = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
-    kind = listed.schema["id"].dataType.simpleString()
-    return listed.mapInArrow(run, f"id {kind}, length int, term string, tf bigint")
+
+def wanted_postings(documents: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """term_postings() of the terms given. Few terms are looked up in each text as it stands; more are joined."""
+    few = few_terms(terms)
+    if few is None:
+        return term_postings(documents, id_col, text_col).join(terms.select("term").distinct(), "term", "left_semi")
+    return _looked_up(documents, few, id_col, text_col)
 
 
-def bm25_scores(postings: DataFrame, stats: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def bm25_scores(postings: DataFrame, stats: DataFrame | None, wanted: DataFrame, k: int) -> DataFrame:
     """The k best of each query (query_id, term, times) from all postings of its terms and the one row of stats.
 
-    Queries of the same words as often have the same hits: the first of them is scored, the others get its hits.
+    Without stats the postings must have totals, see _looked_up(). Queries of the same words as often have the same hits: the
+    first of them is scored, the others get its hits.
     """
     bags = wanted.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "times"))).alias("bag"))
     alike = bags.select("query_id", F.min("query_id").over(Window.partitionBy("bag")).alias("first"))
     own = wanted.join(alike.where("query_id = first").select("query_id"), "query_id", "left_semi")
-    # as document_frequency(), from the same columns as the scores, so that Spark makes the postings once
-    terms = own.join(postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")), "term")
-    scored = postings.join(terms, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    if stats is None:
+        # one pass over the texts: the counts and the scores read the same columns of the same exchange, so that Spark makes it once
+        postings = postings.repartition("id")
+        counted = postings.groupBy("term").agg(F.count_if((F.col("tf") > 0) | F.col("id").isNotNull()).alias("df"), F.sum("length").alias("docs"), F.sum("tf").alias("tokens"))
+        whole = lambda c: F.sum(F.when(F.col("term") == "", F.col(c)))
+        one = counted.agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("dfs"), whole("docs").alias("docs"), (whole("tokens") / whole("docs")).alias("avg_length"))
+        scored = postings.join(own, "term").crossJoin(F.broadcast(one)).withColumn("df", F.col("dfs")[F.col("term")])
+    else:
+        # as document_frequency(), from the same columns as the scores, so that Spark makes the postings once
+        terms = own.join(postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")), "term")
+        scored = postings.join(terms, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     room = F.greatest(F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest("avg_length", F.lit(1.0))), F.lit(1e-6))
     hits = ranked(scored.groupBy("query_id", "id").agg(F.sum(F.col("times") * idf * F.col("tf") * (K1 + 1) / room).alias("score")), k)
@@ -182,4 +226,7 @@ def bm25_scores(postings: DataFrame, stats: DataFrame, wanted: DataFrame, k: int
 def bm25_search(documents: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """queries has query_id, text. Frequencies and lengths are those of all documents."""
     wanted = query_terms(queries)
-    return bm25_scores(wanted_postings(documents, wanted, id_col, text_col), corpus_stats(documents, text_col), wanted, k)
+    few = few_terms(wanted)
+    if few is None:
+        return bm25_scores(wanted_postings(documents, wanted, id_col, text_col), corpus_stats(documents, text_col), wanted, k)
+    return bm25_scores(_looked_up(documents, few, id_col, text_col, totals=True), None, wanted, k)
