@@ -211,6 +211,19 @@ def test_many_queries_leave_the_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, dense.exact(p, q, "dot", 3).select("query_id", "id", "rank").collect())) == few
 
 
+def test_a_task_passes_on_the_best_of_all_its_blocks(spark, monkeypatch):
+    p = spark.createDataFrame([(f"{k:02}", [float(min(k, 55)), 1.0]) for k in range(60)], "id string, values array<float>").coalesce(1)
+    q = spark.createDataFrame([(0, [1.0, 0.0]), (20, [-1.0, 0.0]), (40, [0.0, 0.0])], "query_id long, query array<double>")
+    passed = []
+    monkeypatch.setattr(dense, "ROW_BLOCK", 7)
+    monkeypatch.setattr(dense, "ranked", lambda hits, k: passed.append(hits.groupBy("query_id").count().orderBy("query_id").collect()) or topk.ranked(hits, k))
+    every = sorted(map(tuple, dense.batch(p, q, "dot", 3).select("query_id", "rank", "id").collect()))
+    assert [tuple(r) for r in passed[0]] == [(0, 5), (20, 3), (40, 60)]  # ties are kept
+    assert [x[2] for x in every] == ["55", "56", "57", "00", "01", "02", "00", "01", "02"]
+    monkeypatch.setattr(dense, "HELD_HITS", 0)
+    assert sorted(map(tuple, dense.batch(p, q, "dot", 3).select("query_id", "rank", "id").collect())) == every
+
+
 @pytest.mark.parametrize("name", ["hybrid_rrf", "hybrid_rrf_filtered", "hybrid_weighted", "hybrid_weighted_dense", "hybrid_weighted_lexical_concat"])
 def test_queries_of_the_same_words_are_scored_once(spark, sf, monkeypatch, name):
     scored = []

@@ -17,6 +17,8 @@ from .topk import ranked
 
 #: Queries in one broadcast; more are answered block by block. Vectors that are scored at once.
 QUERY_BLOCK, ROW_BLOCK = 4096, 1024
+#: Hits that a task of batch() holds, about, before it passes them on.
+HELD_HITS = 1 << 20
 #: Where all pairs are returned: pairs of one task, about, and of one Arrow batch.
 TASK_PAIRS, PAIR_BLOCK = 1 << 22, 1 << 18
 HIT_TYPE = "query_id long, id string, score double"
@@ -44,6 +46,8 @@ def _scores(q: np.ndarray, v: np.ndarray, metric: Metric) -> np.ndarray:
     if metric is Metric.EUCLIDEAN:
         return 0.0 - np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * products, 0)
     size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
+    if (size > 0).all():
+        return np.divide(products, size, out=products)
     return np.divide(products, size, out=np.zeros_like(products), where=size > 0)
 
 
@@ -55,6 +59,31 @@ def _best(ids: np.ndarray, scores: np.ndarray, names: np.ndarray, k: int) -> pd.
     return pd.DataFrame({"query_id": names[row], "id": ids[at], "score": scores[row, at]})
 
 
+def _above(top: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values of the scores that are not below their row's k best, after these have been brought up to date in top."""
+    k, above = top.shape[1], ~(scores < top[:, :1])
+    if 8 * np.count_nonzero(above) > above.size:
+        top[:] = np.partition(np.hstack([top, scores]), -k, axis=1)[:, -k:]
+        row, of = np.nonzero(~(scores < top[:, :1]))
+        return row, of, scores[row, of]
+    row, of = np.nonzero(above)
+    found, count = scores[row, of], np.bincount(row, minlength=len(top))
+    if len(row):  # the hits alone, each row's from the left
+        some = np.flatnonzero(count)
+        fresh = np.full((len(some), count.max()), -np.inf)
+        fresh[np.repeat(np.arange(len(some)), count[some]), np.arange(len(row)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])] = found
+        top[some] = np.partition(np.hstack([top[some], fresh]), -k, axis=1)[:, -k:]
+    still = ~(found < top[row, 0])
+    return row[still], of[still], found[still]
+
+
+def _passed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], top: np.ndarray, names: np.ndarray) -> pd.DataFrame:
+    """Of the hits held those that are not below the k best by now."""
+    row, ids, score = (np.concatenate(x) for x in zip(*held, strict=True))
+    still = ~(score < top[row, 0])
+    return pd.DataFrame({"query_id": names[row[still]], "id": ids[still], "score": score[still]})
+
+
 def batch(points: DataFrame, queries: DataFrame, metric: Metric | str, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """exact() by matrix products: blocks of queries travel to the points, a task passes on what is not below the k best so far."""
     metric, spark = Metric.parse(metric), points.sparkSession
@@ -66,18 +95,21 @@ def batch(points: DataFrame, queries: DataFrame, metric: Metric | str, k: int, b
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             who, q = shared.value
-            top = np.full((len(q), k), -np.inf)
+            top, held = np.full((len(q), k), -np.inf), []  # of each query the least of the k best so far first; ties are kept for the ranking to settle
             for b in batches:
                 for at in range(0, len(b), ROW_BLOCK):
                     part = b.iloc[at : at + ROW_BLOCK]
-                    scores = _scores(q, np.stack(part["v"].to_numpy()), metric)
-                    top = np.partition(np.hstack([top, scores]), -k, axis=1)[:, -k:]  # the least of them first
-                    row, of = np.nonzero(~(scores < top[:, :1]))  # ties are kept for the ranking to settle
-                    yield pd.DataFrame({"query_id": who[row], "id": part["id"].to_numpy()[of], "score": scores[row, of]})
+                    row, of, found = _above(top, _scores(q, np.stack(part["v"].to_numpy()), metric))
+                    held.append((row, part["id"].to_numpy()[of], found))
+                    if sum(len(x[0]) for x in held) > HELD_HITS:
+                        yield _passed(held, top, who)
+                        held = []
+            if held:
+                yield _passed(held, top, who)
 
         return ranked(points.select("id", V.doubles("values").alias("v")).mapInPandas(run, HIT_TYPE), k)
 
-    for r in found.toLocalIterator():
+    for r in found.toLocalIterator(prefetchPartitions=True):
         names.append(r.query_id)
         rows.append(r.query)
         if len(names) == block:
