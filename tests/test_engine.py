@@ -211,6 +211,15 @@ def test_many_queries_leave_the_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, dense.exact(p, q, "dot", 3).select("query_id", "id", "rank").collect())) == few
 
 
+def test_hits_of_all_blocks_of_queries_are_ranked_at_once(spark):
+    p = spark.createDataFrame([(str(k), [float(k), 1.0]) for k in range(30)], "id string, values array<float>")
+    q = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(9)], "query_id long, query array<double>")
+    hits = dense.batch(p, q, "dot", 3, block=4)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 3 and len(re.findall(r"\bWindow \[", plan)) == 1
+    assert sorted(map(tuple, hits.select("query_id", "id", "rank").collect())) == sorted(map(tuple, dense.batch(p, q, "dot", 3).select("query_id", "id", "rank").collect()))
+
+
 def test_a_task_passes_on_the_best_of_all_its_blocks(spark, monkeypatch):
     p = spark.createDataFrame([(f"{k:02}", [float(min(k, 55)), 1.0]) for k in range(60)], "id string, values array<float>").coalesce(1)
     q = spark.createDataFrame([(0, [1.0, 0.0]), (20, [-1.0, 0.0]), (40, [0.0, 0.0])], "query_id long, query array<double>")

@@ -107,7 +107,7 @@ def batch(points: DataFrame, queries: DataFrame, metric: Metric | str, k: int, b
             if held:
                 yield _passed(held, top, who)
 
-        return ranked(points.select("id", V.doubles("values").alias("v")).mapInPandas(run, HIT_TYPE), k)
+        return points.select("id", V.doubles("values").alias("v")).mapInPandas(run, HIT_TYPE)
 
     for r in found.toLocalIterator(prefetchPartitions=True):
         names.append(r.query_id)
@@ -118,7 +118,8 @@ def batch(points: DataFrame, queries: DataFrame, metric: Metric | str, k: int, b
     if names:
         part = search(names, rows)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], HIT_TYPE + ", rank int")
+    # a query is in one block, so the hits of all are ranked at once, by one exchange
+    return ranked(out, k) if out is not None else spark.createDataFrame([], HIT_TYPE + ", rank int")
 
 
 def _grouped(vectors: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
