@@ -16,7 +16,7 @@ from vexel.functions import vectors as V
 from vexel.operators import dense, lexical, mutations, rag, topk
 from vexel.plans.filters import compile_filter, index_columns, index_numbers, index_tokens, parse_filter, payload_variant
 from vexel.sources.store import Store, read_points
-from vexel.types import CollectionExists, IndexKind, InvalidRequest, PointNotFound
+from vexel.types import CollectionExists, IndexKind, InvalidRequest, Metric, PointNotFound
 
 SHIP = {"name": "Aurora", "masts": 3, "length": 41.25, "ports": ["Oslo", "Cork", "Faro"], "sails": True, "captain": {"born": 1801, "home": {"town": "Cork"}}, "note": None, "depths": [[4, [2.5]], "7"]}
 
@@ -211,6 +211,19 @@ def test_many_queries_leave_the_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, dense.exact(p, q, "dot", 3).select("query_id", "id", "rank").collect())) == few
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_equal_vectors_tie_wherever_they_stand(spark, monkeypatch, metric):
+    pick = np.random.default_rng(1)
+    few = pick.normal(size=(12, 61))
+    p = spark.createDataFrame([(f"{k:03}", few[k % 12].tolist()) for k in range(240)], "id string, values array<double>").repartition(3)
+    q = spark.createDataFrame([(20 * k, few[k].tolist()) for k in range(12)] + [(240 + 20 * k, pick.normal(size=61).tolist()) for k in range(9)], "query_id long, query array<double>")
+    scores = dense._own_scores(*(np.array(x) for x in zip(*((a.query, few[c]) for a in q.collect() for c in range(12)))), Metric.parse(metric)).reshape(21, 12)
+    want = [(r.query_id, rank + 1, i) for r, s in zip(q.collect(), scores) for rank, (_, i) in enumerate(sorted((-s[k % 12], f"{k:03}") for k in range(240))[:30])]
+    for rows in (7, 13, 1024):
+        monkeypatch.setattr(dense, "ROW_BLOCK", rows)
+        assert sorted(map(tuple, dense.batch(p, q, metric, 30, block=8).select("query_id", "rank", "id").collect())) == sorted(want)
+
+
 def test_hits_of_all_blocks_of_queries_are_ranked_at_once(spark):
     p = spark.createDataFrame([(str(k), [float(k), 1.0]) for k in range(30)], "id string, values array<float>")
     q = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(9)], "query_id long, query array<double>")

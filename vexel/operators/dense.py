@@ -17,8 +17,8 @@ from .topk import ranked
 
 #: Queries in one broadcast; more are answered block by block. Vectors that are scored at once.
 QUERY_BLOCK, ROW_BLOCK = 4096, 1024
-#: Hits that a task of batch() holds, about, before it passes them on.
-HELD_HITS = 1 << 20
+#: Hits that a task of batch() holds, about, before it passes them on, and that get their own scores at once.
+HELD_HITS, OWN_BLOCK = 1 << 20, 1 << 15
 #: Where all pairs are returned: pairs of one task, about, and of one Arrow batch.
 TASK_PAIRS, PAIR_BLOCK = 1 << 22, 1 << 18
 HIT_TYPE = "query_id long, id string, score double"
@@ -59,28 +59,39 @@ def _best(ids: np.ndarray, scores: np.ndarray, names: np.ndarray, k: int) -> pd.
     return pd.DataFrame({"query_id": names[row], "id": ids[at], "score": scores[row, at]})
 
 
-def _above(top: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, columns and values of the scores that are not below their row's k best, after these have been brought up to date in top."""
-    k, above = top.shape[1], ~(scores < top[:, :1])
+def _own_scores(q: np.ndarray, v: np.ndarray, metric: Metric) -> np.ndarray:
+    """The score of each row of q with the same row of v. Unlike a matrix product's it rests on these two alone, so that equal vectors tie."""
+    if metric is Metric.EUCLIDEAN:
+        return 0.0 - ((q - v) ** 2).sum(1)
+    products = (q * v).sum(1)
+    if metric is Metric.DOT:
+        return products
+    size = np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1))
+    return np.divide(products, size, out=np.zeros_like(products), where=size > 0)
+
+
+def _above(top: np.ndarray, scores: np.ndarray, doubt: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the scores that are not below their row's k best by more than doubt, after these have been brought up to date in top."""
+    k, above = top.shape[1], ~(scores < top[:, :1] - doubt)
     if 8 * np.count_nonzero(above) > above.size:
         top[:] = np.partition(np.hstack([top, scores]), -k, axis=1)[:, -k:]
-        row, of = np.nonzero(~(scores < top[:, :1]))
-        return row, of, scores[row, of]
+        return np.nonzero(~(scores < top[:, :1] - doubt))
     row, of = np.nonzero(above)
-    found, count = scores[row, of], np.bincount(row, minlength=len(top))
     if len(row):  # the hits alone, each row's from the left
+        found, count = scores[row, of], np.bincount(row, minlength=len(top))
         some = np.flatnonzero(count)
         fresh = np.full((len(some), count.max()), -np.inf)
         fresh[np.repeat(np.arange(len(some)), count[some]), np.arange(len(row)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])] = found
         top[some] = np.partition(np.hstack([top[some], fresh]), -k, axis=1)[:, -k:]
-    still = ~(found < top[row, 0])
-    return row[still], of[still], found[still]
+        still = ~(found < (top[:, :1] - doubt)[row, 0])
+        row, of = row[still], of[still]
+    return row, of
 
 
-def _passed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], top: np.ndarray, names: np.ndarray) -> pd.DataFrame:
-    """Of the hits held those that are not below the k best by now."""
+def _passed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least: np.ndarray, names: np.ndarray) -> pd.DataFrame:
+    """Of the hits held those that are not below the least score that counts by now."""
     row, ids, score = (np.concatenate(x) for x in zip(*held, strict=True))
-    still = ~(score < top[row, 0])
+    still = ~(score < least[row])
     return pd.DataFrame({"query_id": names[row[still]], "id": ids[still], "score": score[still]})
 
 
@@ -96,16 +107,22 @@ def batch(points: DataFrame, queries: DataFrame, metric: Metric | str, k: int, b
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             who, q = shared.value
             top, held = np.full((len(q), k), -np.inf), []  # of each query the least of the k best so far first; ties are kept for the ranking to settle
+            size, most, doubt = np.linalg.norm(q, axis=1)[:, None], 0.0, 0.0
             for b in batches:
                 for at in range(0, len(b), ROW_BLOCK):
                     part = b.iloc[at : at + ROW_BLOCK]
-                    row, of, found = _above(top, _scores(q, np.stack(part["v"].to_numpy()), metric))
-                    held.append((row, part["id"].to_numpy()[of], found))
+                    v = np.stack(part["v"].to_numpy())
+                    # more than rounding moves a matrix product's scores, which find the hits; each hit then gets its own score
+                    most = max(most, np.linalg.norm(v, axis=1).max())
+                    doubt = 8 * np.finfo(float).eps * (q.shape[1] + 8) * {Metric.COSINE: 1.0, Metric.DOT: size * most, Metric.EUCLIDEAN: (size + most) ** 2}[metric]
+                    row, of = _above(top, _scores(q, v, metric), doubt)
+                    own = [_own_scores(q[row[x : x + OWN_BLOCK]], v[of[x : x + OWN_BLOCK]], metric) for x in range(0, max(len(row), 1), OWN_BLOCK)]
+                    held.append((row, part["id"].to_numpy()[of], np.concatenate(own)))
                     if sum(len(x[0]) for x in held) > HELD_HITS:
-                        yield _passed(held, top, who)
+                        yield _passed(held, (top[:, :1] - doubt)[:, 0], who)
                         held = []
             if held:
-                yield _passed(held, top, who)
+                yield _passed(held, (top[:, :1] - doubt)[:, 0], who)
 
         return points.select("id", V.doubles("values").alias("v")).mapInPandas(run, HIT_TYPE)
 
