@@ -528,3 +528,41 @@ def test_sparse_pairs_by_matrix(spark, sf):
     p = spark.createDataFrame([(i, None if n is None else (n, w)) for i, n, w in rows], "id string, sparse struct<indices:array<bigint>,values:array<float>>")
     found = {(r.a, r.b, r["product"]) for r in lexical.sparse_pairs(p.where("id in ('a', 'd')"), p, 3).collect()}
     assert found == {("a", "a", 5.0), ("a", "b", -3.0), ("a", "c", 0.0), ("a", None, 1.0), ("d", "d", 1.0)}
+
+
+def test_sparse_pairs_shuffle_no_term(spark, sf):
+    plan = catalogue.QUERIES["sparse_dot_pairs"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    keys = {x for found in re.findall(r"hashpartitioning\((.*?), \d+\)", plan) for x in re.findall(r"(\w+)#", found)}
+    assert keys == {"id", "size"}  # a row for each document and length of a token, none for each term
+
+
+def test_sparse_pairs_in_runs(spark):
+    p = spark.range(400).select(F.col("id").cast("string").alias("id"), F.struct(F.array(F.lit(1), F.col("id") % 7 + 2).cast("array<bigint>").alias("indices"), F.array(F.lit(1), F.col("id") % 10 + 1).cast("array<float>").alias("values")).alias("sparse"))
+    rows = lexical.sparse_pairs(p.where("id % 20 = 0"), p, 1).collect()
+    assert len(rows) == len({(r.a, r.b) for r in rows}) == 20 * 400
+    assert sum(x.a != y.a for x, y in zip(rows, rows[1:])) < 20 * 2  # files hold runs of a, in blocks of right points
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_sparse_pairs_over_many_blocks(spark, odd):
+    rng = np.random.default_rng(3)
+    n, m, columns = 1030, 270, 1100
+    made = lambda k: (np.sort(rng.choice(columns, 5)) - 3, rng.integers(1, 9, 5) / 4 * (rng.choice([-1, 0, 1], 5) if odd else 1))  # noqa: E731  # an index may come twice
+    left, right = ([made(k) for k in range(c)] for c in (n, m))
+    if odd:
+        left[7][1][0] = right[8][1][1] = np.inf
+        right[9][1][2] = np.nan
+    frame = lambda rows: spark.createDataFrame([(str(k), (i.tolist(), w.tolist())) for k, (i, w) in enumerate(rows)], "id string, sparse struct<indices:array<bigint>,values:array<float>>")
+    at = {}
+    for k, (i, w) in enumerate(right):
+        for x, y in zip(i.tolist(), w.tolist()):
+            at.setdefault(x, []).append((k, y))
+    want = {}
+    for k, (i, w) in enumerate(left):
+        for x, y in zip(i.tolist(), w.tolist()):
+            for b, z in at.get(x, ()):
+                want[str(k), str(b)] = want.get((str(k), str(b)), 0.0) + y * z
+    rows = lexical.sparse_pairs(frame(left), frame(right), 2).collect()
+    found = {(r.a, r.b): r["product"] for r in rows}
+    assert len(rows) == len(found) and found.keys() == want.keys()
+    np.testing.assert_array_equal([found[k] for k in want], list(want.values()))
